@@ -61,10 +61,11 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    with tempfile.TemporaryDirectory() as at:
-        stage = os.path.join(at, "stage")
-        shutil.copytree(top, os.path.join(stage, os.path.basename(top)), ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
-        sc.addPyFile(shutil.make_archive(os.path.join(at, "graniteql_shipped"), "zip", stage))
+    at = tempfile.mkdtemp(prefix="graniteql-package-")  # executors fetch it from the driver, at any time
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    stage = os.path.join(at, "stage")
+    shutil.copytree(top, os.path.join(stage, os.path.basename(top)), ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+    sc.addPyFile(shutil.make_archive(os.path.join(at, "graniteql_shipped"), "zip", stage))
     _shipped.add(sc.applicationId)
 
 
