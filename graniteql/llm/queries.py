@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteql.llm import bpe
+from graniteql.llm import bpe, mixing, sstable, syncmer
 from graniteql.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -26,3 +26,21 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, codec).drop("text")
+
+
+@query("op3_sstable")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        encoder = sstable.LibraryEncoder(f.read())
+    shards = sstable.write_shards(table(spark, sf_dir, "documents"), encoder, 2, sstable.new_folder(spark))
+    return sstable.read_shards(spark, shards)
+
+
+@query("op7_mixture")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@query("op8_syncmers")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmer.compared(table(spark, sf_dir, "documents"))
