@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteql.llm import bpe, mixing, sstable, syncmer
+from graniteql.llm import bpe, mixing, quality, sstable, syncmer, toxicity
 from graniteql.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -44,3 +44,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_syncmers")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmer.compared(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.predictions(docs, quality.fitted(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predictions(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
