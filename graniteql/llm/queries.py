@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteql.llm import bpe, mixing, quality, sstable, syncmer, toxicity
+from graniteql.llm import ann, bpe, mixing, quality, sstable, syncmer, toxicity, url_reputation
 from graniteql.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -56,3 +56,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.predictions(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op5_one_bit_codes")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+#: The rules of the query: verdict, host, start of the path.
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+@query("op6_host_reputation")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_reputation.judged(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
