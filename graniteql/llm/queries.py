@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteql.llm import ann, bpe, mixing, quality, sstable, syncmer, toxicity, url_reputation
+from graniteql.llm import ann, bpe, jaccard, mixing, quality, sstable, syncmer, toxicity, url_reputation
 from graniteql.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -71,3 +71,8 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_reputation.judged(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_ngram_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
