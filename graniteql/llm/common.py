@@ -8,7 +8,9 @@ import shutil
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the word definition, `[^\x20\x09-\x0D]+` being a word.
@@ -76,3 +78,16 @@ def fold(doc_id) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def groups(texts: pa.Array, chars: int = 1 << 21) -> Iterator[list[str]]:
+    """Lists of texts of about so many characters; null is empty."""
+    part, n = [], 0
+    for x in texts:
+        part.append(x.as_py() or "")
+        n += len(part[-1])
+        if n >= chars:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: At most so many documents of either class, and characters of all, enter a fit.
-PER_CLASS, CHARS = 3000, 24_000_000
+PER_CLASS, CHARS = 2000, 12_000_000
 
 
 def held_out(doc_id) -> F.Column:

@@ -19,6 +19,31 @@ _latin = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{S
 #: Longer texts are split piece by piece, so that the list of their pre-tokens stays short.
 LONG = 1_000_000
 
+#: Longest pre-token that is remembered.
+KEPT_CHARS = 64
+
+
+class Known(dict):
+    """What a worker has resolved, of a bounded size: when the table is full it becomes the older one, from which
+    what is still in use comes back, and what was older goes."""
+
+    def __init__(self, most: int, find):
+        self.most, self.find, self.old = most, find, {}
+
+    def __missing__(self, word: str):
+        value = self.old.get(word)
+        if value is None:
+            value = self.find(word)
+        self.keep(word, value)
+        return value
+
+    def keep(self, word: str, value) -> None:
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[word] = value
+
 
 class Splitter:
     def __init__(self, pattern: str):

@@ -14,7 +14,6 @@ scores; extra columns take no part.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graniteql.llm import labelled
-from graniteql.llm.common import ship
+from graniteql.llm.common import groups, ship
 
 PASSAGE, LAGS, HIDDEN, ATTENTION = 512, (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16), 24, 16
 #: Characters that are turned into code points at once.
@@ -159,19 +158,6 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     return Model().fit(labelled.sample(docs, labels, label))
 
 
-def groups(texts: pa.Array, chars: int = AT_ONCE) -> Iterator[list[str]]:
-    """Lists of texts of about so many characters; null is empty."""
-    part, n = [], 0
-    for x in texts:
-        part.append(x.as_py() or "")
-        n += len(part[-1])
-        if n >= chars:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
-
-
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """Adds the score of the column text; a column of that name is replaced."""
     ship(docs.sparkSession)
@@ -189,3 +175,8 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 def predictions(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
     return out.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows whose score reaches the threshold, with their columns. labels: doc_id, quality."""
+    return scored(docs, fitted(docs, labels), "__quality").where(F.col("__quality") >= threshold).drop("__quality")

@@ -26,15 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graniteql.llm import labelled
-from graniteql.llm.common import ship
-from graniteql.llm.quality import _sigmoid, groups
+from graniteql.llm.common import groups, ship
+from graniteql.llm.pretokens import Known
+from graniteql.llm.quality import _sigmoid
 
 #: A word, or the end of a sentence, at which the chain starts anew.
 TOKEN = re.compile(r"[^\W\d_]+|[.?\n]")
 ENDS = frozenset(".?\n")
 HASHED, MOST_WORDS = 1 << 18, 20_000
 #: Sentences without a tagged word that enter the fit, for each one with; words known to a worker at once.
-PLAIN, REMEMBERED = 4, 400_000
+PLAIN, REMEMBERED = 4, 300_000
 
 
 def features(word: str) -> list[int]:
@@ -66,7 +67,7 @@ class Chain:
         first, so that a step is one operation over those that are not yet over."""
         if not len(scores):
             return np.zeros(0)
-        forward, backward, order, n, begins = self._messages(scores, lengths)
+        forward, backward = self._messages(scores, lengths)
         return _sigmoid(forward + backward)
 
     def _messages(self, scores, lengths):
@@ -91,12 +92,13 @@ class Chain:
                 b = np.logaddexp(nxt + t[1, 1], t[1, 0]) - np.logaddexp(nxt + t[0, 1], t[0, 0])
             b = np.concatenate([b, np.zeros(k - len(b))])  # chains that end here
             backward[begins[:k] + i] = b
-        return forward, backward, order, n, begins
+        return forward, backward
 
     # -- fit ---------------------------------------------------------------------------------------------------
 
-    def _fit_chain(self, rows: np.ndarray, lengths: np.ndarray, tags: np.ndarray, epochs: int = 60, rate: float = 1.0, decay: float = 1e-3) -> None:
-        """rows: the features of each word. Full-batch gradient steps on the conditional likelihood (Adagrad)."""
+    def _fit_chain(self, rows: np.ndarray, words: np.ndarray, lengths: np.ndarray, tags: np.ndarray, epochs: int = 50, rate: float = 1.0, decay: float = 1e-3) -> None:
+        """rows: each known word's features; words: the sentences' words. Full gradient steps on the conditional
+        likelihood (Adagrad)."""
         begins = np.cumsum(lengths) - lengths
         inner = np.ones(len(tags), bool)
         inner[begins] = False
@@ -111,10 +113,11 @@ class Chain:
         self.trans = np.log((real + 0.1) / (real + 0.1).sum(1, keepdims=True))  # tags alone; then all is learned together
         self.start = np.log((first + 0.1) / (first + 0.1).sum())
         for _ in range(epochs):
-            scores = w[local].sum(1)
-            f, b, *_ = self._messages(scores, lengths)
+            scores = w[local].sum(1)[words]
+            f, b = self._messages(scores, lengths)
             p = _sigmoid(f + b)
-            gw = np.bincount(local.ravel(), np.repeat(tags - p, local.shape[1]), len(w)) - decay * w
+            off = np.bincount(words, tags - p, len(rows))
+            gw = np.bincount(local.ravel(), np.repeat(off, local.shape[1]), len(w)) - decay * w
             # pair marginals, from the messages around each step
             logs = np.stack([self.trans[i, j] + i * f[at - 1] + j * (scores[at] + b[at]) for i in (0, 1) for j in (0, 1)])
             logs -= logs.max(0)
@@ -132,31 +135,28 @@ class Chain:
         if len(set(y.tolist())) < 2:
             self.constant = float((y.sum() + 1) / (len(y) + 2))
             return self
-        tokens = [TOKEN.findall(t.lower()) for t, _ in rows]
-        marked = toxic_words(tokens, y)
-        sentences: list[tuple[list[str], list[int]]] = []
-        plain, n = [], 0
-        for words, label in zip(tokens, y, strict=True):
+        marked = toxic_words(rows)
+        number: dict[str, int] = {}
+        telling: list[tuple[np.ndarray, np.ndarray]] = []
+        plain: list[tuple[np.ndarray, np.ndarray]] = []
+        for text, label in rows:
             part: list[str] = []
-            for w in (*words, "."):
+            for w in (*TOKEN.findall(text.lower()), "."):
                 if w not in ENDS:
                     part.append(w)
                 elif part:
-                    tags = [int(label == 1 and x in marked) for x in part]
-                    (sentences if any(tags) else plain).append((part, tags))
+                    tags = np.array([label == 1 and x in marked for x in part])
+                    words = np.array([number.setdefault(x, len(number)) for x in part], np.int32)
+                    (telling if tags.any() else plain).append((words, tags))
                     part = []
-        step = max(1, len(plain) // max(1000, PLAIN * len(sentences)))
-        sentences += plain[::step]
-        known: dict[str, list[int]] = {}
-        for s, _ in sentences:
-            for w in s:
-                if w not in known:
-                    known[w] = features(w)
-        flat = np.array([known[w] for s, _ in sentences for w in s], np.int64)
-        if len(flat):
-            self._fit_chain(flat, np.array([len(s) for s, _ in sentences]), np.array([t for _, ts in sentences for t in ts]))
-        del flat, sentences, plain
-        x = np.concatenate([self.summaries(tokens[i : i + 500])[0] for i in range(0, len(tokens), 500)])
+        sentences = telling + plain[:: max(1, len(plain) // max(1000, PLAIN * len(telling)))]
+        if sentences:
+            words, tags = np.concatenate([s[0] for s in sentences]), np.concatenate([s[1] for s in sentences]).astype(np.int64)
+            kept, words = np.unique(words, return_inverse=True)
+            every = list(number)
+            self._fit_chain(np.array([features(every[i]) for i in kept.tolist()], np.int64), words, np.array([len(s[0]) for s in sentences]), tags)
+        del sentences, telling, plain, number
+        x = np.concatenate([self.summaries([TOKEN.findall(t.lower()) for t, _ in rows[i : i + 100]])[0] for i in range(0, len(rows), 100)])
         self.calibration = _logistic(x, y)
         return self
 
@@ -164,23 +164,12 @@ class Chain:
 
     def ready(self) -> Chain:
         if not self._ready:
-            self.known: dict[str, float] = {}
+            self.known = Known(REMEMBERED, lambda w: float(self.weights[features(w)].sum()))
             self._ready = True
         return self
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        self.ready()
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), float, len(words))
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in dict.fromkeys(words):
-            if w not in known:
-                known[w] = float(self.weights[features(w)].sum())
-        return np.fromiter(map(known.__getitem__, words), float, len(words))
+        return np.fromiter(map(self.ready().known.__getitem__, words), float, len(words))
 
     def tagged(self, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Of several documents' tokens, one after another: each token's marginal (0 for ends), and how many each has."""
@@ -233,17 +222,17 @@ class Chain:
         return out
 
 
-def toxic_words(tokens: list[list[str]], y: np.ndarray) -> set[str]:
+def toxic_words(rows: list[tuple[str, int]]) -> set[str]:
     """Words of which at least half of the documents are toxic, and so many that the likelihood ratio against the
     general share of toxic documents exceeds the number of words tested: about one is expected by chance. At most
-    MOST_WORDS of them, the surest first."""
+    MOST_WORDS of them, the surest first. rows: text, label."""
     toxic, every = Counter(), Counter()
-    for words, label in zip(tokens, y, strict=True):
-        distinct = set(words) - ENDS
+    for text, label in rows:
+        distinct = set(TOKEN.findall(text.lower())) - ENDS
         every.update(distinct)
         if label:
             toxic.update(distinct)
-    share, found = float(y.mean()), []
+    share, found = sum(r[1] for r in rows) / len(rows), []
     tested = sum(n >= 3 for n in every.values())
     for w, a in toxic.items():
         n = every[w]
@@ -296,3 +285,8 @@ def scored(docs: DataFrame, model: Chain, name: str = "score", spans: str | None
 def predictions(docs: DataFrame, model: Chain, threshold: float = 0.7) -> DataFrame:
     out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
     return out.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows whose score stays below the threshold, with their columns. labels: doc_id, toxic."""
+    return scored(docs, fitted(docs, labels), "__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
