@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from graniteql.plans import corpus, inputs, relational, scalars, streams, udfs
+from graniteql.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-from graniteql.plans import relational
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-for part in (relational,):
-    QUERIES |= part.QUERIES
-    ORACLE |= part.ORACLE
+for part in (inputs, relational, scalars, corpus, streams, udfs):
+    QUERIES |= part.query.queries
+    ORACLE |= part.query.oracle

@@ -1,35 +1,181 @@
-"""Scans, projections, joins, aggregates, windows and set operations over the star schema."""
+"""Projections, filters, joins, aggregates, windows, sorts and set operations over the star schema."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graniteql.session import table
+from graniteql.operators import joins, ranking
+from graniteql.plans.registry import Registry
+from graniteql.session import register, table
 
-QUERIES, ORACLE = {}, {}
+query = Registry()
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a query, and the DuckDB statement with the same rows."""
+def money(c: str):
+    return F.col(c).cast("decimal(18,2)")
 
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
 
-    return keep
+#: The same in SQL; both engines compute it exactly.
+REVENUE = "CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))"
 
 
-def money(c: str):
-    return F.col(c).cast("decimal(18,2)")
+def revenue():
+    return money("l_extendedprice") * (1 - money("l_discount"))
+
+
+# -- projections and filters ---------------------------------------------------------------------------------------
+
+
+@query("pf1_project", f"SELECT l_orderkey, l_linenumber, {REVENUE} AS revenue, upper(l_returnflag) || '-' || l_linestatus AS status FROM lineitem")
+def pf1(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", revenue().alias("revenue"), F.concat(F.upper("l_returnflag"), F.lit("-"), F.col("l_linestatus")).alias("status"))
+
+
+@query("pf2_filter", "SELECT l_orderkey, l_quantity, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24 AND l_returnflag IN ('A', 'R')")
+def pf2(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    rows = table(spark, d, "lineitem").where((c("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & (c("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz")) & c("l_discount").between(0.05, 0.07) & (c("l_quantity") < 24) & c("l_returnflag").isin("A", "R"))
+    return rows.select("l_orderkey", "l_quantity", "l_shipdate")
+
+
+@query("pf3_case", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'large' WHEN o_totalprice > 100000 THEN 'middle' ELSE 'small' END AS size, coalesce(nullif(o_orderstatus, 'P'), '-') AS status FROM orders")
+def pf3(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("o_totalprice")
+    return table(spark, d, "orders").select("o_orderkey", F.when(p > 300000, "large").when(p > 100000, "middle").otherwise("small").alias("size"), F.coalesce(F.nullif("o_orderstatus", F.lit("P")), F.lit("-")).alias("status"))
+
+
+@query("pf4_contains", "SELECT p_partkey, p_name FROM part WHERE contains(p_name, substr(p_name, 2, 3)) AND contains(p_type, 'A')")
+def pf4(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").where(F.contains("p_name", F.substring("p_name", 2, 3)) & F.contains("p_type", F.lit("A"))).select("p_partkey", "p_name")
+
+
+@query("pf5_regex", "SELECT doc_id, n_chars FROM documents WHERE regexp_matches(text, '[0-9]{3}-[0-9]{4}') OR text LIKE '%License%'")
+def pf5(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(F.rlike("text", F.lit("[0-9]{3}-[0-9]{4}")) | F.col("text").like("%License%")).select("doc_id", "n_chars")
+
+
+@query("pf6_sample")
+def pf6(spark: SparkSession, d: str) -> DataFrame:
+    """A Bernoulli sample of ten per cent, the same in each run over the same files."""
+    return table(spark, d, "lineitem").sample(0.1, seed=1).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+query.sql(
+    "pf7_pivot",
+    "events",
+    "SELECT * FROM (SELECT user_id, event_type, value FROM events) PIVOT (count(value) FOR event_type IN ('click' AS click, 'view' AS viewed, 'purchase' AS purchase))",
+    "SELECT user_id, nullif(count(*) FILTER (WHERE event_type = 'click'), 0) AS click, nullif(count(*) FILTER (WHERE event_type = 'view'), 0) AS viewed, nullif(count(*) FILTER (WHERE event_type = 'purchase'), 0) AS purchase FROM events GROUP BY user_id",
+)
+query.sql("pf8_unpivot", "labels", "SELECT doc_id, kind, mark FROM labels UNPIVOT (mark FOR kind IN (quality, toxic))")
+
+
+# -- joins ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "j1_revenue_by_nation",
+    f"""SELECT n_name, sum({REVENUE}) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+    JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    WHERE r_name = 'ASIA' GROUP BY n_name""",
+)
+def j1(spark: SparkSession, d: str) -> DataFrame:
+    t = lambda n: table(spark, d, n)
+    here = t("nation").join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    sellers = t("supplier").join(here, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
+    lines = t("lineitem").join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+    buyers = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    return lines.join(buyers, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))).groupBy("n_name").agg(F.sum(revenue()).alias("revenue"))
+
+
+@query("j2_left_outer", "SELECT o_orderkey, count(l_linenumber) AS lines, sum(CAST(l_quantity AS DECIMAL(18,2))) AS quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def j2(spark: SparkSession, d: str) -> DataFrame:
+    # lines are summed before the join: one row an order meets one row an order
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("l_linenumber").alias("lines"), F.sum(money("l_quantity")).alias("quantity"))
+    out = table(spark, d, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return out.select("o_orderkey", F.coalesce("lines", F.lit(0)).alias("lines"), "quantity")
+
+
+query.sql("j2_full_outer", "labels benchmark", "SELECT doc_id, item_id, quality FROM labels FULL OUTER JOIN benchmark ON doc_id = item_id")
+query.sql("j2_right_outer", "nation region", "SELECT r_name, n_name FROM nation RIGHT JOIN region ON n_regionkey = r_regionkey AND n_nationkey > 10")
+
+
+@query("j3_left_semi", "SELECT o_orderkey, o_orderpriority FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
+def j3(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("l_quantity > 45")
+    return table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_orderpriority")
+
+
+@query("j3_left_anti", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def j3a(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+query.sql("j4_cross", "nation region", "SELECT n_name, r_name FROM nation CROSS JOIN region")
+
+
+@query("j5_broadcast_hash", "SELECT n_name, count(*) AS customers, sum(CAST(c_acctbal AS DECIMAL(18,2))) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def j5(spark: SparkSession, d: str) -> DataFrame:
+    """nation has 25 rows at any scale, so it is broadcast."""
+    return table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("customers"), F.sum(money("c_acctbal")).alias("balance"))
+
+
+@query("j6_sort_merge", f"SELECT o_orderpriority, count(*) AS n, sum({REVENUE}) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority")
+def j6(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").join(table(spark, d, "orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum(revenue()).alias("revenue"))
+
+
+@query("j6_shuffle_hash", "SELECT p_brand, CAST(sum(l_linenumber) AS BIGINT) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
+def j6h(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").join(table(spark, d, "part").hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.sum("l_linenumber").alias("n"))
+
+
+@query("j6_salted", "SELECT l_suppkey, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_suppkey")
+def j6s(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    return joins.salted(table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), s, "l_suppkey", 8).groupBy("l_suppkey").agg(F.count("*").alias("n"))
+
+
+query.sql("j7_theta", "nation", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
+
+
+@query(
+    "j7_range_without_key",
+    "SELECT p.event_id, count(*) AS near FROM events p JOIN events v ON v.ts BETWEEN p.ts - INTERVAL 10 MINUTE AND p.ts AND v.event_type = 'view' WHERE p.event_type = 'purchase' GROUP BY p.event_id",
+)
+def j7(spark: SparkSession, d: str) -> DataFrame:
+    """A range join without a key, by buckets of time."""
+    e = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    span = 10 * 60 * 1_000_000
+    p = e.where("event_type = 'purchase'").select("event_id", F.col("us").alias("at"))
+    v = e.where("event_type = 'view'").select(F.col("us"))
+    return joins.in_range(v, p, F.col("us"), F.col("at") - span, F.col("at"), span).groupBy("event_id").agg(F.count("*").alias("near"))
+
+
+query.sql("j8_interval", "events", "SELECT p.event_id AS purchase, v.event_id AS viewed FROM events p JOIN events v ON p.user_id = v.user_id AND v.ts BETWEEN p.ts - INTERVAL 1 DAY AND p.ts WHERE p.event_type = 'purchase' AND v.event_type = 'view'")
+
+
+@query(
+    "j9_asof",
+    "SELECT p.event_id, p.user_id, v.event_id AS right_event_id, v.ts AS right_ts FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts",
+)
+def j9(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    p, v = e.where("event_type = 'purchase'"), e.where("event_type = 'view'")
+    return joins.asof(p, v, ["user_id"], "ts", ["event_id"]).select("event_id", "user_id", "right_event_id", "right_ts")
+
+
+query.sql("j11_lateral", "customer orders", "SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)")
+query.sql("j12_scalar_subquery", "lineitem", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem a WHERE l_quantity > (SELECT 1.5 * avg(l_quantity) FROM lineitem b WHERE b.l_partkey = a.l_partkey)")
+query.sql("j12_not_in", "customer orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+
+
+# -- aggregates ----------------------------------------------------------------------------------------------------
 
 
 @query(
     "a1_pricing_summary",
-    """SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS DECIMAL(18,2))) AS sum_qty,
-       sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))) AS revenue,
+    f"""SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS DECIMAL(18,2))) AS sum_qty, sum({REVENUE}) AS revenue,
        count(*) AS n_lines, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship
        FROM lineitem GROUP BY l_returnflag, l_linestatus""",
 )
@@ -37,5 +183,98 @@ def a1(spark: SparkSession, d: str) -> DataFrame:
     return (
         table(spark, d, "lineitem")
         .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum(money("l_quantity")).alias("sum_qty"), F.sum(money("l_extendedprice") * (1 - money("l_discount"))).alias("revenue"), F.count("*").alias("n_lines"), F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+        .agg(F.sum(money("l_quantity")).alias("sum_qty"), F.sum(revenue()).alias("revenue"), F.count("*").alias("n_lines"), F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+    )
+
+
+query.sql("a1b_max_by_group", "orders", "SELECT o_custkey, max(o_totalprice) AS most, min(o_totalprice) AS least, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean FROM orders GROUP BY o_custkey")
+query.sql("a2_multi_distinct", "lineitem", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+query.sql("a3_filtered", "orders", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_totalprice > 250000) AS dear FROM orders GROUP BY o_orderpriority")
+query.sql("a4_having", "lineitem", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 6 AND max(l_quantity) > 40")
+_CUBE = "count(*) AS n, CAST(grouping(l_returnflag) AS INT) AS gf, CAST(grouping(l_linestatus) AS INT) AS gs"
+query.sql("a5_rollup", "lineitem", f"SELECT l_returnflag, l_linestatus, {_CUBE} FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+query.sql("a5_cube", "lineitem", f"SELECT l_returnflag, l_linestatus, {_CUBE} FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+query.sql("a5_grouping_sets", "lineitem", f"SELECT l_returnflag, l_linestatus, {_CUBE} FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+query.sql("a6_exact_quantile", "orders", "SELECT o_orderpriority, percentile(o_totalprice, 0.5) AS median FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, quantile_cont(o_totalprice, 0.5) AS median FROM orders GROUP BY o_orderpriority")
+
+
+@query("a7_approximate", "SELECT l_returnflag, true AS distinct_near, true AS quantile_near FROM lineitem GROUP BY l_returnflag")
+def a7(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate distinct count and quantile, each within five per cent of the exact one."""
+    near = lambda a, b: F.abs(a - b) <= 0.05 * b
+    return (
+        table(spark, d, "lineitem")
+        .groupBy("l_returnflag")
+        .agg(near(F.approx_count_distinct("l_orderkey", 0.01), F.countDistinct("l_orderkey")).alias("distinct_near"), near(F.percentile_approx("l_extendedprice", 0.5, 10000), F.percentile("l_extendedprice", 0.5)).alias("quantile_near"))
     )
+
+
+query.sql("a8_max_by", "orders", "SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS dearest, min_by(o_orderkey, o_totalprice) AS cheapest FROM orders GROUP BY o_custkey")
+query.sql("a9_moments", "lineitem", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r, round(covar_pop(l_quantity, l_discount), 6) AS c, round(var_samp(l_quantity), 6) AS v, round(stddev_pop(l_tax), 6) AS s FROM lineitem GROUP BY l_returnflag")
+query.sql("a10_listagg", "nation", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+
+
+@query("a11_ordered_list", "SELECT conv_id, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def a11(spark: SparkSession, d: str) -> DataFrame:
+    pairs = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(pairs, lambda x: x["role"]).alias("roles"))
+
+
+@query("a12_mode", "SELECT event_type, min(k) AS mode_k FROM (SELECT event_type, k, rank() OVER (PARTITION BY event_type ORDER BY n DESC) AS r FROM (SELECT event_type, floor(value / 50) AS k, count(*) AS n FROM events GROUP BY 1, 2)) WHERE r = 1 GROUP BY event_type")
+def a12(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent value, the smallest of equally frequent ones: counted first, so that no value list is held."""
+    counts = table(spark, d, "events").groupBy("event_type", F.floor(F.col("value") / 50).cast("double").alias("k")).count()
+    return counts.groupBy("event_type").agg(F.max_by("k", F.struct("count", -F.col("k"))).alias("mode_k"))
+
+
+@query("a13_sketches", "SELECT true AS hll_near, true AS theta_near, true AS kll_near, true AS common_kept FROM lineitem LIMIT 1")
+def a13(spark: SparkSession, d: str) -> DataFrame:
+    """Mergeable sketches by group, merged and held against exact values."""
+    rows = table(spark, d, "lineitem")
+    parts = rows.groupBy("l_suppkey").agg(F.hll_sketch_agg("l_orderkey", F.lit(14)).alias("h"), F.theta_sketch_agg("l_orderkey", F.lit(14)).alias("t"))
+    merged = parts.agg(F.hll_sketch_estimate(F.hll_union_agg("h")).alias("h"), F.theta_sketch_estimate(F.theta_union_agg("t")).alias("t"))
+    exact = rows.agg(F.countDistinct("l_orderkey").alias("n"), F.percentile("l_orderkey", 0.5).alias("m"), F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint("l_orderkey"), F.lit(0.5)).alias("k"), F.max("l_orderkey").alias("top"), F.expr("approx_top_k(l_linenumber, 3)").alias("c"))
+    near = lambda a, b, of, share: F.abs(F.col(a) - F.col(b)) <= share * F.col(of)
+    return merged.crossJoin(exact).select(near("h", "n", "n", 0.05).alias("hll_near"), near("t", "n", "n", 0.05).alias("theta_near"), near("k", "m", "top", 0.05).alias("kll_near"), (F.size("c") == 3).alias("common_kept"))
+
+
+# -- windows -------------------------------------------------------------------------------------------------------
+
+query.sql("w1_row_number", "orders", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS n FROM orders")
+query.sql("w2_rank", "lineitem", "SELECT l_orderkey, l_linenumber, l_quantity, CAST(rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS INT) AS r FROM lineitem")
+query.sql("w3_distribution", "customer", "SELECT c_custkey, CAST(ntile(4) OVER w AS INT) AS quarter, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)")
+query.sql("w4_neighbours", "orders", "SELECT o_orderkey, lag(o_orderkey, 1) OVER w AS before, nth_value(o_orderkey, 2) OVER w AS second, first_value(o_orderkey) OVER w AS earliest FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+query.sql(
+    "w5_ignore_nulls",
+    "events",
+    "SELECT event_id, lead(CASE WHEN event_type = 'purchase' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_purchase FROM events",
+    "SELECT event_id, lead(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_purchase FROM events",
+)
+query.sql("w6_rows_frame", "orders", "SELECT o_orderkey, sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last_three FROM orders")
+query.sql("w7_range_frame", "events", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_a_day FROM events")
+query.sql("w8_dense_rank", "part", "SELECT p_partkey, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS INT) AS r FROM part")
+
+
+# -- sorts, limits, sets -------------------------------------------------------------------------------------------
+
+query.sql("s1_limit_offset", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
+query.sql("s1_sort_nulls", "events", "SELECT event_id, CASE WHEN event_type = 'click' THEN value END AS v FROM events ORDER BY v ASC NULLS LAST, event_id")
+
+
+@query("s2_top_k", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 25")
+def s2(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey").limit(25)
+
+
+@query("s3_top_k_per_group", "SELECT o_custkey, o_orderkey, o_totalprice, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3")
+def s3(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.top_k(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3)
+
+
+query.sql("s4_union", "customer supplier", "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
+query.sql("s4_union_all", "customer supplier", "SELECT c_nationkey AS nation, 'c' AS side FROM customer UNION ALL SELECT s_nationkey, 's' FROM supplier")
+query.sql("s5_except_all", "lineitem orders", "SELECT l_orderkey AS k FROM lineitem EXCEPT ALL SELECT o_orderkey FROM orders")
+query.sql("s5_intersect_all", "customer supplier", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+query.sql("s5_except", "orders lineitem", "SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
+query.sql("s6_intersect", "part lineitem", "SELECT p_partkey AS k FROM part INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity > 49")
+query.sql("s7_recursive", "nation", "WITH RECURSIVE r(n, depth) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n + 1, depth + 1 FROM r WHERE depth < 20) SELECT n, depth FROM r")

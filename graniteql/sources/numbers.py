@@ -1,0 +1,40 @@
+"""A data source in Python: whole numbers and their squares, read in partitions and written as Arrow batches."""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+class Range(InputPartition):
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+
+class Reader(DataSourceReader):
+    def __init__(self, count: int, parts: int):
+        self.count, self.parts = count, parts
+
+    def partitions(self):
+        return [Range(self.count * i // self.parts, self.count * (i + 1) // self.parts) for i in range(self.parts)]
+
+    def read(self, partition):
+        n = pa.array(range(partition.low, partition.high), pa.int64())
+        yield pa.RecordBatch.from_arrays([n, pa.array([x * x for x in range(partition.low, partition.high)], pa.int64())], names=["n", "square"])
+
+
+class Squares(DataSource):
+    @classmethod
+    def name(cls):
+        return "squares"
+
+    def schema(self):
+        return "n long, square long"
+
+    def reader(self, schema):
+        return Reader(int(self.options.get("count", "100")), int(self.options.get("parts", "4")))
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(Squares)
