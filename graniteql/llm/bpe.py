@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from graniteql.llm.common import ship
-from graniteql.llm.pretokens import Splitter
+from graniteql.llm.common import groups, ship
+from graniteql.llm.pretokens import Known, Splitter
 
-#: Entries in a worker's table of resolved pre-tokens, and the longest pre-token kept there.
-REMEMBERED, KEPT_CHARS = 400_000, 64
+#: Entries in a worker's table of resolved pre-tokens.
+REMEMBERED = 300_000
 _M64 = (1 << 64) - 1
 _GOLDEN, _ODD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -117,7 +117,7 @@ class Codec:
             self.bytes_of = [b""] * (max(self.ids, default=-1) + 1)
             for token, i in zip(self.tokens, self.ids, strict=True):
                 self.bytes_of[i] = token
-            self.known: dict[str, bytes] = {}
+            self.known = Known(REMEMBERED, self.resolve)
             self._ready = True
         return self
 
@@ -166,21 +166,7 @@ class Codec:
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         self.ready()
-        known, out = self.known, []
-        for part in self.splitter.parts(text or ""):
-            try:
-                out.append(b"".join(map(known.__getitem__, part)))
-                continue
-            except KeyError:
-                pass
-            if len(known) > REMEMBERED:
-                known.clear()
-            long = {}
-            for w in dict.fromkeys(part):
-                if w not in known:
-                    (known if len(w) <= KEPT_CHARS else long)[w] = self.resolve(w)
-            out.append(b"".join([known[w] if w in known else long[w] for w in part] if long else map(known.__getitem__, part)))
-        return b"".join(out)
+        return b"".join([b"".join(map(self.known.__getitem__, part)) for part in self.splitter.parts(text or "")])
 
     def decode(self, packed: bytes) -> bytes:
         self.ready()
@@ -260,3 +246,30 @@ def digests(df: DataFrame, codec: Codec, text: str = "text") -> DataFrame:
 
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return df.mapInArrow(run, schema)
+
+
+def tokenized(docs: DataFrame, codec: Codec, text: str = "text") -> DataFrame:
+    """All columns but the text, and in place of it n_tokens, ids (array of int) and round_trip: whether the decoded ids
+    are the text's bytes."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(codec)
+    names = ["n_tokens", "ids", "round_trip"]
+    fields = [f for f in docs.schema.fields if f.name not in (*names, text)]
+
+    def run(batches):
+        own = shared.value.ready()
+        for batch in batches:
+            at = 0
+            for part in groups(batch.column(text)):
+                packed = [own.encode(x) for x in part]
+                whole = [own.decode(p) == x.encode("utf-8", "surrogatepass") for p, x in zip(packed, part, strict=True)]
+                counts = np.array([len(p) // 4 for p in packed], np.int64)
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                own_rows = [batch.column(f.name).slice(at, len(part)) for f in fields]
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([*own_rows, pa.array(counts), ids, pa.array(whole)], names=[*(f.name for f in fields), *names])
+
+    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+    return docs.mapInArrow(run, schema)

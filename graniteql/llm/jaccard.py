@@ -354,3 +354,11 @@ def joined(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     alone = classes.where("size = 0 or doc is null").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("doc").alias("component_id"))
     rows = classes.where("size > 0 and doc is not null").join(names, "name").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id")
     return rows.unionByName(alone)
+
+
+def kept(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """One row of each component, the one with the smallest identifier, with its columns. Of rows that repeat an
+    identifier one stays; rows without identifier all stay."""
+    first = joined(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__doc")).distinct()
+    rows = docs.join(first, docs["doc_id"] == first["__doc"]).drop("__doc").dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where("doc_id is null"))

@@ -234,3 +234,17 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = 6
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "size", "source_size", "target")), pa.array(n)], names=["doc_id", "size", "source_size", "target", "taken"])
 
     return placed(own, sources, seed).mapInArrow(draw, "doc_id long, size long, source_size long, target double, taken long")
+
+
+def resampled(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+    """The mix in whole documents, with their columns: a row comes as often as the mix takes its words, and a rest of
+    its words is rounded up or down by a hash of the row, so that a source's words come near its target. Rows without
+    identifier are told apart by text and source; rows alike in all that come equally often; rows without words come
+    once."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", "source"))
+    docs = docs.withColumn("__key", key)
+    drawn = taken(docs.select(F.col("__key").alias("doc_id"), "source", "text"), weights, seed=seed)
+    part = F.col("taken") / F.col("size") + F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = drawn.select(F.col("doc_id").alias("__key"), F.when(F.col("size") == 0, 1).otherwise(F.floor(part)).cast("int").alias("__times")).groupBy("__key").agg(F.max("__times").alias("__times"))
+    rows = docs.join(drawn.where("__times > 0"), "__key")
+    return rows.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__key", "__times", "__time")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteql.llm import ann, bpe, jaccard, mixing, quality, sstable, syncmer, toxicity, url_reputation
+from graniteql.llm import ann, bpe, jaccard, license_scan, mixing, quality, sstable, syncmer, toxicity, url_reputation
 from graniteql.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -76,3 +76,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ngram_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
+@query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.summary(docs, license_scan.fitted(docs))
