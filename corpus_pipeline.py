@@ -1,10 +1,54 @@
-"""The corpus pipeline."""
-STAGES: list = []
+"""The corpus pipeline: rejects toxic and poor documents, keeps one of each group of near copies, mixes the sources to
+their target weights and turns the texts into token ids. Each stage takes what the one before it kept, written as
+Parquet and read again; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from graniteql.llm import bpe, jaccard, mixing, quality, toxicity
+from graniteql.llm.common import fresh_path, table
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.7 or more go. Labels of documents that are not held out train it."""
+    return toxicity.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score below 0.5 go."""
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest identifier: five-word shingles, a
+    similarity of 0.8 or more."""
+    return jaccard.kept(docs, n=5, percent=80)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as their source's target asks for: not at all, once, or up to four times."""
+    return mixing.resampled(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in place of texts, and whether decoding gives the text back."""
+    return bpe.tokenized(docs, bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+STAGES = [("toxicity", toxic), ("quality", poor), ("near copies", near_copies), ("mixture", mixture), ("tokens", tokens)]
+
+#: Trained models and a hashed draw: no SQL statement has these rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the result of the last one."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        path = fresh_path(spark, f"pipeline-{i}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
