@@ -19,10 +19,12 @@ identifiers lie side by side, all are kept; an empty table gives no shard; other
 from __future__ import annotations
 
 import math
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,9 +33,10 @@ import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
-from graniteql.llm.common import fresh_path, ship
-from graniteql.llm.pretokens import LATIN, LONG, _latin
+from graniteql.llm.common import fresh_path, groups, ship
+from graniteql.llm.pretokens import KEPT_CHARS, LATIN, LONG, _latin
 
 MAGIC = b"GQLSST01"
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -216,35 +219,43 @@ class LibraryEncoder:
 
     def ready(self) -> LibraryEncoder:
         if self.tokenizer is None:
-            import os
-
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-            from tokenizers import Tokenizer
-
-            self.tokenizer = Tokenizer.from_str(self.json)
-            self.tokenizer.encode_special_tokens = True
+            self.tokenizer, self.split = (Tokenizer.from_str(self.json) for _ in range(2))
+            self.tokenizer.encode_special_tokens = self.split.encode_special_tokens = True
+            self.split.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # for single pre-tokens
             self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
             self.known: dict[str, bytes] = {}
+            self.older: dict[str, bytes] = {}
         return self
 
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, f"<u{self.width}").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if len(text) >= LONG or not LATIN.match(text):
-            return self._packed([text])[0]
-        part, known = _latin.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, part))
-        except KeyError:
-            pass
-        if len(known) > self.REMEMBERED:
-            known.clear()
-        new = [w for w in dict.fromkeys(part) if w not in known]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+
+    def _packed(self, pretokens: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(pretokens), 2000):
+            got = self.split.encode(pretokens[i : i + 2000], is_pretokenized=True, add_special_tokens=False)
+            packed, word = np.array(got.ids, f"<u{self.width}").tobytes(), np.array(got.word_ids)
+            ends = [*((np.flatnonzero(word[1:] != word[:-1]) + 1) * self.width).tolist(), len(packed)]
+            out += [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text; pre-tokens that are new to this worker go to the library in one call. When the
+        table of known ones is full it becomes the older table, from which what is still in use comes back."""
+        parts = [_latin.findall(t) if len(t) < LONG and LATIN.match(t) else None for t in texts]
+        new = set(chain.from_iterable(p for p in parts if p)).difference(self.known)
+        if len(self.known) + len(new) > self.REMEMBERED:
+            new = new.union(w for p in parts if p for w in p)
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        back = [w for w in new if w in older]
+        known.update(zip(back, map(older.__getitem__, back), strict=True))
+        new = list(new.difference(back))
         known.update(zip(new, self._packed(new), strict=True))
-        out = b"".join(map(known.__getitem__, part))
+        out = [self._whole(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
         for w in new:
-            if len(w) > 64:
+            if len(w) > KEPT_CHARS:
                 del known[w]
         return out
 
@@ -260,7 +271,7 @@ def write_shards(docs: DataFrame, encoder: LibraryEncoder, end_id: int, folder:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars = 2 * min(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes(), 1 << 50)  # a guess, for the number of shards only; files are compressed
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, math.ceil(chars / shard_chars), min(2 * deal, math.ceil(chars / 250_000)))
     at = [i / n for i in range(1, n)]
@@ -273,7 +284,7 @@ def write_shards(docs: DataFrame, encoder: LibraryEncoder, end_id: int, folder:
         for batch in batches:
             ids = batch.column(0)
             shard = np.searchsorted(edges, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "left")
-            packed = [own.encode(x.as_py() or "") + end for x in batch.column(1)]
+            packed = [ids + end for part in groups(batch.column(1)) for ids in own.encode(part)]
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array(packed, pa.binary())], names=["shard", "doc_id", "packed"])
 
     def stored(group: pa.Table) -> pa.Table:
