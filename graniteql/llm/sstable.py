@@ -41,6 +41,8 @@ from graniteql.llm.pretokens import KEPT_CHARS, LATIN, LONG, _latin
 MAGIC = b"GQLSST01"
 FOOTER = struct.Struct("<QQQQQQI8s")
 RESTART, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 16, 64 * 1024, 10, 7
+#: Shards become larger rather than more than this.
+MOST_SHARDS = 200_000
 _SIGN = 1 << 63
 
 
@@ -265,15 +267,26 @@ def _opened(path: str):
     return fs, at
 
 
+def _size(docs: DataFrame) -> int:
+    """About how many characters the texts have, for the number of shards. Of files Spark knows the compressed size,
+    taken twice; other tables are measured."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() == "Project":
+        plan = plan.child()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        return 2 * int(str(plan.stats().sizeInBytes()))
+    return docs.agg(F.sum(F.length("text"))).first()[0] or 0
+
+
 def write_shards(docs: DataFrame, encoder: LibraryEncoder, end_id: int, folder: str, shard_chars: int = 64_000_000) -> list[dict]:
     """Encodes doc_id, text and writes shards into a shared folder. Returns a row for each shard, in order of the
     identifiers: path, documents, tokens. The list is as long as there are shards."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    chars = 2 * min(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes(), 1 << 50)  # a guess, for the number of shards only; files are compressed
+    chars = _size(docs)
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, math.ceil(chars / shard_chars), min(2 * deal, math.ceil(chars / 250_000)))
+    n = min(MOST_SHARDS, max(1, math.ceil(chars / shard_chars), min(2 * deal, math.ceil(chars / 250_000))))
     at = [i / n for i in range(1, n)]
     bounds = np.array((docs.agg(F.percentile_approx("doc_id", at, max(10_000, 20 * n))).first()[0] or []) if at else [], np.int64)
     shared = spark.sparkContext.broadcast((encoder, bounds))
