@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteql.llm import ann, bpe, jaccard, license_scan, mixing, quality, sstable, syncmer, toxicity, url_reputation
+from graniteql.llm import ann, bpe, jaccard, license_scan, mixing, oracles, quality, sstable, syncmer, toxicity, url_reputation
 from graniteql.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -67,13 +67,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
-@query("op6_host_reputation")
+@query("op6_host_reputation", oracles.HOST_REPUTATION)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_reputation.judged(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op9_ngram_join")
+@query("op9_ngram_join", oracles.NGRAM_JOIN)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"))
 

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from graniteql.llm import bpe
+from graniteql.llm import bpe, quality, toxicity
 
 from ..conftest import SMALL
 from .test_copies import brute
@@ -32,9 +32,13 @@ def test_columns(steps):
         assert df.columns == steps[0].columns and df.schema.simpleString() == steps[0].schema.simpleString()
 
 
-def test_filters_keep_rows_whole(steps):
-    for before, after in zip(steps[:3], steps[1:4], strict=True):
-        assert 0 < after.count() < before.count() and after.exceptAll(before).count() == 0
+def test_filters_follow_their_scores(spark, steps):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    for before, after, module, keeps in ((steps[0], steps[1], toxicity, lambda s: s < 0.7), (steps[1], steps[2], quality, lambda s: s >= 0.5)):
+        scores = module.scored(before, module.fitted(before, labels)).collect()
+        assert sorted(r["doc_id"] for r in after.collect()) == sorted(r["doc_id"] for r in scores if keeps(r["score"]))
+        assert after.exceptAll(before).count() == 0
+    assert steps[2].count() < steps[0].count()
 
 
 def test_one_of_each_group_stays(steps):
