@@ -6,12 +6,13 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graniteql.shared import forget, fresh_path, shared_dir, written  # noqa: F401  for the operators
 
 #: White space of the word definition, `[^\x20\x09-\x0D]+` being a word.
 WORD_SPACE = " \t\n\x0b\x0c\r"
@@ -19,42 +20,6 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
 _shipped: set[str] = set()
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: `spark.checkpoint.dir`. Only where that is unset, as in
-    local tests, a folder of this process is made and removed when it ends."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="graniteql-")
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return "file://" + _own["dir"]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/graniteql/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back. A lost executor loses nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table made by written() that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/graniteql/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -71,9 +36,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def fold(doc_id) -> int:
-    """crc32 of the id as decimal text, modulo 3: rows with 1 are held out of training."""
-    return zlib.crc32(str(doc_id).encode()) % 3
+def some(df: DataFrame, key: str, k: int) -> DataFrame:
+    """At most k rows, the first ones by a hash of a column; the same in each run. Of a large table only rows whose
+    hash is small are sorted, twice k of them by expectation, so that each task sends the driver a few."""
+    place, n = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 40)), df.count()
+    if n > 4 * k:
+        df = df.where(place < int((1 << 40) * 2 * k / n))
+    return df.orderBy(place, key).limit(k)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -99,10 +99,10 @@ def shingle_sets(data: np.ndarray, edges: np.ndarray, n: int) -> list[np.ndarray
         if b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
         elif b > a:
-            whole = np.uint64(b - a)
-            for w in words[a:b]:
-                whole = _mix(np.array([whole * odd + w], np.uint64))[0]
-            out.append(np.array([whole], np.uint64))
+            whole = np.array([b - a], np.uint64)
+            for i in range(a, b):
+                whole = _mix(whole * odd + words[i : i + 1])
+            out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -96,7 +96,7 @@ class Model:
         rng = np.random.default_rng(seed)
         draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float64)
         self.p = {"W": draw(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, ATTENTION), "U": draw(HIDDEN, ATTENTION), "w": draw(ATTENTION), "c": draw(HIDDEN), "d": np.zeros(1)}
-        self.mean, self.scale, self.constant = np.zeros(FEATURES), np.ones(FEATURES), None
+        self.mean, self.scale, self.constant, self.shift = np.zeros(FEATURES), np.ones(FEATURES), None, 0.0
 
     def forward(self, x: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
         p, starts = self.p, np.cumsum(counts) - counts
@@ -116,7 +116,7 @@ class Model:
         if self.constant is not None:
             return np.full(len(texts), self.constant), np.split(1 / np.repeat(counts, counts), np.cumsum(counts)[:-1])
         f = self.forward(x, counts)
-        return _sigmoid(f["logit"]), np.split(f["a"], f["starts"][1:])
+        return _sigmoid(f["logit"] + self.shift), np.split(f["a"], f["starts"][1:])
 
     def fit(self, rows: list[tuple[str, int]], epochs: int = 10, batch: int = 64, rate: float = 4e-3, decay: float = 1e-4) -> Model:
         y = np.array([r[1] for r in rows], float)
@@ -155,7 +155,10 @@ class Model:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    return Model().fit(labelled.sample(docs, labels, label))
+    rows = labelled.sample(docs, labels, label)
+    model = Model().fit(rows)
+    model.shift = labelled.shift(labels, label, rows)
+    return model
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -33,7 +33,7 @@ from graniteql.llm.quality import _sigmoid
 #: A word, or the end of a sentence, at which the chain starts anew.
 TOKEN = re.compile(r"[^\W\d_]+|[.?\n]")
 ENDS = frozenset(".?\n")
-HASHED, MOST_WORDS = 1 << 18, 20_000
+HASHED, MOST_WORDS, LIKELY = 1 << 18, 20_000, 0.8
 #: Sentences without a tagged word that enter the fit, for each one with; words known to a worker at once.
 PLAIN, REMEMBERED = 4, 300_000
 
@@ -49,17 +49,17 @@ class Chain:
 
     def __init__(self):
         self.weights, self.trans, self.start = np.zeros(HASHED), np.zeros((2, 2)), np.zeros(2)
-        self.calibration, self.constant = np.zeros(5), None
+        self.calibration, self.constant, self.shift = np.zeros(5), None, 0.0
         self._ready = False
 
     def __getstate__(self):
         kept = np.flatnonzero(self.weights)
-        return {"kept": kept, "values": self.weights[kept], "trans": self.trans, "start": self.start, "calibration": self.calibration, "constant": self.constant}
+        return {"kept": kept, "values": self.weights[kept], "trans": self.trans, "start": self.start, "calibration": self.calibration, "constant": self.constant, "shift": self.shift}
 
     def __setstate__(self, state):
         self.__init__()
         self.weights[state["kept"]] = state["values"]
-        for k in ("trans", "start", "calibration", "constant"):
+        for k in ("trans", "start", "calibration", "constant", "shift"):
             setattr(self, k, state[k])
 
     def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -145,9 +145,9 @@ class Chain:
                 if w not in ENDS:
                     part.append(w)
                 elif part:
-                    tags = np.array([label == 1 and x in marked for x in part])
+                    told = np.array([x in marked for x in part])
                     words = np.array([number.setdefault(x, len(number)) for x in part], np.int32)
-                    (telling if tags.any() else plain).append((words, tags))
+                    (telling if told.any() else plain).append((words, told & (label == 1)))
                     part = []
         sentences = telling + plain[:: max(1, len(plain) // max(1000, PLAIN * len(telling)))]
         if sentences:
@@ -188,23 +188,23 @@ class Chain:
         return p, counts
 
     def summaries(self, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each document: log-odds of having a toxic word and of its surest word, log of the expected number, and
-        share of such words."""
+        """Of each document: log-odds of its surest word and of having a toxic word at all; logarithms of the expected
+        number of toxic words among the likely ones and of their share. And all marginals."""
         p, counts = self.tagged(tokens)
         doc = np.repeat(np.arange(len(counts)), counts)
         none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(counts))
-        number = np.bincount(doc, p, len(counts))
         some = -np.expm1(np.minimum(none, -1e-6))
+        likely = np.bincount(doc, np.where(p > LIKELY, p, 0), len(counts))
         most = np.zeros(len(counts))
         np.maximum.at(most, doc, p)
         most = np.clip(most, 1e-6, 1 - 1e-6)
-        return np.stack([(np.log(some) - np.maximum(none, -14)) / 4, np.log(most / (1 - most)) / 4, np.log1p(number), number / np.maximum(counts, 1) * 10], 1), p
+        return np.stack([np.log(most / (1 - most)) / 4, (np.log(some) - np.maximum(none, -14)) / 4, np.log1p(likely), np.log((likely + 0.1) / (counts + 5))], 1), p
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None or not texts:
             return np.full(len(texts), self.constant if self.constant is not None else 0.5)
         x, _ = self.summaries([TOKEN.findall(t.lower()) for t in texts])
-        return _sigmoid(x @ self.calibration[:-1] + self.calibration[-1])
+        return _sigmoid(x @ self.calibration[:-1] + self.calibration[-1] + self.shift)
 
     def spans(self, text: str) -> list[tuple[int, int, float]]:
         """Runs of toxic words: start, end, highest marginal. Offsets are characters of the lower-cased text."""
@@ -257,7 +257,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Chain:
-    return Chain().fit(labelled.sample(docs, labels, label))
+    rows = labelled.sample(docs, labels, label)
+    model = Chain().fit(rows)
+    model.shift = labelled.shift(labels, label, rows)
+    return model
 
 
 def scored(docs: DataFrame, model: Chain, name: str = "score", spans: str | None = None) -> DataFrame:
