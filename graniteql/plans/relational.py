@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniteql.operators import joins, ranking
@@ -165,6 +165,17 @@ def j9(spark: SparkSession, d: str) -> DataFrame:
     return joins.asof(p, v, ["user_id"], "ts", ["event_id"]).select("event_id", "user_id", "right_event_id", "right_ts")
 
 
+@query("j10_pandas_asof", "SELECT p.event_id, v.value AS seen FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts")
+def j10(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the pandas API, which makes the pairs that j9 spares."""
+    from pyspark import pandas  # slow to import
+
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    p = e.where("event_type = 'purchase'").select("ts", "user_id", "event_id").pandas_api()
+    v = e.where("event_type = 'view'").select("ts", "user_id", F.col("value").alias("seen")).pandas_api()
+    return pandas.merge_asof(p, v, on="ts", by="user_id").to_spark().select("event_id", "seen")
+
+
 query.sql("j11_lateral", "customer orders", "SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)")
 query.sql("j12_scalar_subquery", "lineitem", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem a WHERE l_quantity > (SELECT 1.5 * avg(l_quantity) FROM lineitem b WHERE b.l_partkey = a.l_partkey)")
 query.sql("j12_not_in", "customer orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/graniteql/{name}-{uuid.uuid4().hex}"
+    """A path that nothing has, in a folder of this application; the folder goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_dir(spark)}/graniteql-{app}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folders[app])
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{_folders[app]}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -42,6 +51,6 @@ def forget(df: DataFrame) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/graniteql/" in folder:
+        if "/graniteql-" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
