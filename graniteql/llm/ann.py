@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graniteql.llm.common import ship, written
+from graniteql.llm.common import ship, some, written
 
 WIDEN, SURE, SAMPLE = 4, 3.0, 4096
 #: Most queries and candidates in a block, candidates in a lot, queries that are compared at once.
@@ -72,9 +72,9 @@ def index(vectors: DataFrame, seed: int = 11) -> tuple[DataFrame, np.ndarray]:
     spark = vectors.sparkSession
     ship(spark)
     rows = written(usable(vectors), "vectors")
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
-    center = np.mean([r[0] for r in some], 0) if some else np.zeros(0)
-    shared = spark.sparkContext.broadcast((center, rotation(len(center), seed) if some else None))
+    drawn = some(rows, "vec_id", SAMPLE).select("vector").collect()
+    center = np.mean([r[0] for r in drawn], 0) if drawn else np.zeros(0)
+    shared = spark.sparkContext.broadcast((center, rotation(len(center), seed) if drawn else None))
 
     def code(batches):
         middle, turn = shared.value

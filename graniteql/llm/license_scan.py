@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graniteql.llm.common import ship
+from graniteql.llm.common import ship, some
 
 #: Notices and characteristic sentences of public licences, by family.
 TEMPLATES = {
@@ -224,13 +224,13 @@ class Model:
 
 
 def fitted(docs: DataFrame) -> Model:
-    """Counter-examples are at most CORPUS_LINES lines, one of each of the first documents by a hash of their text,
-    of at most MOST_LINE characters, that have no word that only licences have."""
-    cue = r"(?i)licen[sc]|copyright|rights|public|apache|permission|warrant|\bCC\b|creative|spdx|\bMIT\b|\bGPL\b|\bBSD\b"
+    """Counter-examples are at most CORPUS_LINES lines, the last ones of a
+    sample of twice as many documents, of at most MOST_LINE characters, that have no word that licences have."""
+    cue = re.compile(r"licen[sc]|copyright|rights|public|apache|permission|warrant|\bcc\b|creative|spdx|\bmit\b|\bgpl\b|\bbsd\b", re.I)
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    line = docs.select(F.xxhash64("text").alias("h"), F.substring(F.element_at(lines, -1), 1, MOST_LINE).alias("line"))
-    rows = line.where(~F.col("line").rlike(cue)).orderBy("h", "line").limit(CORPUS_LINES).collect()
-    return Model().fit([r["line"] for r in rows])
+    last = docs.select(F.xxhash64("text").alias("h"), F.substring(F.element_at(lines, -1), 1, MOST_LINE).alias("line"))
+    found = [r["line"] for r in some(last, "h", 2 * CORPUS_LINES).collect()]
+    return Model().fit([x for x in found if not cue.search(x)][:CORPUS_LINES])
 
 
 def scanned(docs: DataFrame, model: Model) -> DataFrame:
