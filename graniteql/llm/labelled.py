@@ -44,16 +44,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_
         return []
     spark, texts = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = spark.createDataFrame([(r["doc_id"], r["label"]) for r in ids], "doc_id long, label int")  # 2 * per_class rows at most
-    long = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect()
+    long = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n")).collect()
     keep, total = [], 0
     for r in sorted(long, key=lambda r: (hash((r["doc_id"], 1)), r["doc_id"], r["n"])):
         if total + r["n"] <= chars:
             keep.append(r["doc_id"])
             total += r["n"]
     chosen = spark.createDataFrame([(i,) for i in sorted(set(keep))], "doc_id long")
-    found = {}
-    for r in texts.join(F.broadcast(chosen), "doc_id").collect():
-        text = r["text"] or ""
-        found[r["doc_id"]] = min(text, found.get(r["doc_id"], text))
+    found = {r["doc_id"]: r["text"] for r in texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()}
     label_of = {r["doc_id"]: r["label"] for r in ids}
     return [(found[i], label_of[i]) for i in sorted(found)]

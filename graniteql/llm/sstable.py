@@ -13,7 +13,7 @@ holds more than a shard. Ids of a vocabulary below 65,536 take two bytes. Writer
 only the successful attempt's name is returned, so that a lost executor or a second attempt never mixes files.
 
 Defined cases: a null text is an empty text and yields the end id alone; a null identifier sorts first; repeated
-identifiers lie side by side, all are kept; an empty table gives no shard; other columns take no part.
+identifiers lie side by side, all are kept, over several shards if they are many; an empty table gives no shard; other columns take no part.
 """
 
 from __future__ import annotations
@@ -296,8 +296,10 @@ def write_shards(docs: DataFrame, encoder: LibraryEncoder, end_id: int, folder:
         end = np.array([end_id], f"<u{own.width}").tobytes()
         for batch in batches:
             ids = batch.column(0)
-            shard = np.searchsorted(edges, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "left")
-            packed = [ids + end for part in groups(batch.column(1)) for ids in own.encode(part)]
+            packed = [x + end for part in groups(batch.column(1)) for x in own.encode(part)]
+            low, high = (np.searchsorted(edges, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side) for side in ("left", "right"))
+            # an identifier so frequent that it is several bounds has several shards; a hash of the ids chooses
+            shard = low + np.array([zlib.crc32(x) for x in packed], np.int64) % np.maximum(1, high - low)
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array(packed, pa.binary())], names=["shard", "doc_id", "packed"])
 
     def stored(group: pa.Table) -> pa.Table:

@@ -148,3 +148,11 @@ def test_keys_must_ascend():
     writer.add(sstable.key_of(5), b"")
     with pytest.raises(ValueError):
         writer.add(sstable.key_of(4), b"")
+
+
+def test_frequent_identifier_has_several_shards(spark, encoder):
+    rows = [(7 if i % 2 else i, f"text number {i} " * 20) for i in range(120)]
+    shards = sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), encoder, 2, sstable.new_folder(spark), shard_chars=3000)
+    got = sstable.read_shards(spark, shards).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted(i for i, _ in rows)
+    assert max(s["documents"] for s in shards) < 30 and len(sstable.lookup(shards, 7)) == 60
