@@ -29,7 +29,7 @@ from graniteql.llm.common import groups, ship
 from graniteql.llm.pretokens import Known, Splitter
 
 #: Entries in a worker's table of resolved pre-tokens.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _M64 = (1 << 64) - 1
 _GOLDEN, _ODD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 

@@ -1,4 +1,4 @@
-"""What the training-data operators share: shared folders, written intermediate tables, words, model shipping."""
+"""What the training-data operators share: batches of texts, samples, sending the package to executors."""
 
 from __future__ import annotations
 
@@ -14,17 +14,15 @@ from pyspark.sql import functions as F
 
 from graniteql.shared import forget, fresh_path, shared_dir, written  # noqa: F401  for the operators
 
-#: White space of the word definition, `[^\x20\x09-\x0D]+` being a word.
-WORD_SPACE = " \t\n\x0b\x0c\r"
-#: The same as a regular expression for Spark's (Java's) functions.
-WORD_REGEX = r"[^\x20\x09-\x0D]+"
-
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once an application, for clusters on which it is not installed."""
+    """Sends this package to the executors, once an application, for clusters on which it is not installed. Also makes
+    the batches that go to Python smaller than Spark's default, if that is in force: rows here hold whole texts."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -26,7 +26,7 @@ from graniteql.llm.common import groups, ship
 
 PASSAGE, LAGS, HIDDEN, ATTENTION = 512, (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16), 24, 16
 #: Characters that are turned into code points at once.
-AT_ONCE = PASSAGE * 4096
+AT_ONCE = PASSAGE * 1024
 N = 14
 FEATURES = N * N + len(LAGS) + 2
 
@@ -169,7 +169,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            scores = [shared.value.scores(part)[0] for part in groups(batch.column("text"))]
+            scores = [shared.value.scores(part)[0] for part in groups(batch.column("text"), AT_ONCE)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in fields), pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*fields, name])
 
     return docs.mapInArrow(run, docs.select(*fields).withColumn(name, F.lit(0.0)).schema)

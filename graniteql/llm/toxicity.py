@@ -34,8 +34,9 @@ from graniteql.llm.quality import _sigmoid
 TOKEN = re.compile(r"[^\W\d_]+|[.?\n]")
 ENDS = frozenset(".?\n")
 HASHED, MOST_WORDS, LIKELY = 1 << 18, 20_000, 0.8
-#: Sentences without a tagged word that enter the fit, for each one with; words known to a worker at once.
-PLAIN, REMEMBERED = 4, 300_000
+#: Words of sentences that enter the fit of the chain, at most half of them from sentences with a word to be tagged;
+#: words known to a worker at once.
+TRAINED, REMEMBERED = 600_000, 100_000
 
 
 def features(word: str) -> list[int]:
@@ -149,7 +150,8 @@ class Chain:
                     words = np.array([number.setdefault(x, len(number)) for x in part], np.int32)
                     (telling if told.any() else plain).append((words, told & (label == 1)))
                     part = []
-        sentences = telling + plain[:: max(1, len(plain) // max(1000, PLAIN * len(telling)))]
+        sentences = _thinned(telling, TRAINED // 2)
+        sentences += _thinned(plain, TRAINED - sum(len(s[0]) for s in sentences))
         if sentences:
             words, tags = np.concatenate([s[0] for s in sentences]), np.concatenate([s[1] for s in sentences]).astype(np.int64)
             kept, words = np.unique(words, return_inverse=True)
@@ -222,6 +224,12 @@ class Chain:
         return out
 
 
+def _thinned(sentences: list, words: int) -> list:
+    """Evenly spaced ones of the sentences, of about so many words."""
+    total = sum(len(s[0]) for s in sentences)
+    return sentences[:: max(1, -(-total // max(1, words)))]
+
+
 def toxic_words(rows: list[tuple[str, int]]) -> set[str]:
     """Words of which at least half of the documents are toxic, and so many that the likelihood ratio against the
     general share of toxic documents exceeds the number of words tested: about one is expected by chance. At most
@@ -276,7 +284,7 @@ def scored(docs: DataFrame, model: Chain, name: str = "score", spans: str | None
 
     def run(batches):
         for batch in batches:
-            out = [shared.value.scores(part) for part in groups(batch.column("text"), 1_000_000)]
+            out = [shared.value.scores(part) for part in groups(batch.column("text"), 500_000)]
             columns = [*(batch.column(k) for k in fields), pa.array(np.concatenate([np.zeros(0), *out]))]
             if spans:
                 columns.append(pa.array([[dict(zip(("start", "end", "score"), s, strict=True)) for s in shared.value.spans(x.as_py() or "")] for x in batch.column("text")], kind))
