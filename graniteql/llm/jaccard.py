@@ -27,7 +27,6 @@ no part.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +66,9 @@ def _factors(n: int) -> np.ndarray:
 _weights = _factors(4096)
 
 
-def shingle_sets(data: np.ndarray, edges: np.ndarray, n: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; data: UTF-8 bytes, edges: where texts start and end."""
+def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, and where each text's words start and end. data: UTF-8 bytes, edges: where texts do."""
     global _weights
-    count = len(edges) - 1
     space = _SPACE[data]
     first = ~space
     first[1:] &= space[:-1]
@@ -78,7 +76,7 @@ def shingle_sets(data: np.ndarray, edges: np.ndarray, n: int) -> list[np.ndarray
     first[starts] = ~space[starts]
     begin = np.flatnonzero(first)
     if not len(begin):
-        return [np.zeros(0, np.uint64)] * count
+        return np.zeros(0, np.uint64), np.zeros(len(edges), np.int64)
     letters = np.flatnonzero(~space)
     word_at = np.searchsorted(letters, begin)
     lengths = np.diff(np.r_[word_at, len(letters)])
@@ -87,8 +85,11 @@ def shingle_sets(data: np.ndarray, edges: np.ndarray, n: int) -> list[np.ndarray
     if longest > len(_weights):
         _weights = _factors(2 * longest)
     words = np.add.reduceat((_LOWER[data[letters]].astype(np.uint64) + np.uint64(1)) * _weights[within], word_at)
-    words = _mix(words + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    bounds = np.searchsorted(begin, edges)
+    return _mix(words + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(begin, edges)
+
+
+def shingle_sets(words: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text, of what word_hashes gives."""
     odd = np.uint64(0x9FB21C651E98DF25)
     grams = words[: max(0, len(words) - n + 1)].copy()
     for i in range(1, n):
@@ -108,6 +109,22 @@ def shingle_sets(data: np.ndarray, edges: np.ndarray, n: int) -> list[np.ndarray
     return out
 
 
+def _long_hashes(data: np.ndarray) -> np.ndarray:
+    """The word hashes of one long text, a piece at a time; pieces end at white space."""
+    out, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + AT_ONCE)
+        while end < len(data):
+            space = np.flatnonzero(_SPACE[data[end : end + AT_ONCE]])
+            if len(space):
+                end += int(space[0])
+                break
+            end = min(len(data), end + AT_ONCE)
+        out.append(word_hashes(data[at:end], np.array([0, end - at]))[0])
+        at = end
+    return np.concatenate(out)
+
+
 def sets_of(texts: pa.Array, n: int):
     """The sets of a column of texts, some at a time."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -121,9 +138,13 @@ def sets_of(texts: pa.Array, n: int):
         high = max(low + 1, int(np.searchsorted(edges, edges[low] + AT_ONCE, "right")) - 1)
         high = min(high, size)
         part = edges[low : high + 1]
-        bytes_ = np.frombuffer(data, np.uint8, int(part[-1] - part[0]), int(part[0])) if part[-1] > part[0] else np.zeros(0, np.uint8)
+        raw = np.frombuffer(data, np.uint8, int(part[-1] - part[0]), int(part[0])) if part[-1] > part[0] else np.zeros(0, np.uint8)
         with np.errstate(over="ignore"):
-            yield from shingle_sets(bytes_, part - part[0], n)
+            if len(raw) > 4 * AT_ONCE:  # one text alone
+                words = _long_hashes(raw)
+                yield from shingle_sets(words, np.array([0, len(words)]), n)
+            else:
+                yield from shingle_sets(*word_hashes(raw, part - part[0]), n)
         low = high
 
 

@@ -8,8 +8,8 @@ that use the templates' words otherwise. Probabilities are calibrated on example
 "unknown" has a calibrated probability too. A prediction counts if its family reaches SURE, and it is confirmed if the
 paragraph shares enough of its n-grams with a template of that family.
 
-Only n-grams with a weight take part, a few hundred; a text without any of their words is unknown without being cut.
-Every line of every text is scored otherwise.
+Only n-grams with a weight take part, a few hundred; a paragraph without any of their words is unknown at once. Every
+line of every text is scored.
 
 Defined cases: a null or empty text has no paragraph and no licence; ties go to the family that comes first in order;
 repeated rows get equal results; an empty table is scored by a model without corpus lines; extra columns take no part.
@@ -18,6 +18,8 @@ repeated rows get equal results; an empty table is scored by a model without cor
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -114,16 +116,20 @@ def grams(words: list[str], most: int = 3) -> set[str]:
     return {" ".join(words[i : i + k]) for k in range(1, most + 1) for i in range(len(words) - k + 1)}
 
 
-def pieces(text: str) -> list[tuple[int, list[str]]]:
-    """Offsets and words of a text's paragraphs."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        words = WORD.findall(line.lower())
-        for i in range(0, max(1, len(words) - PIECE // 2), PIECE // 2) if len(words) > PIECE else (0,):
-            if part := words[i : i + PIECE]:
-                out.append((at, part))
-        at += len(line) + 1
-    return out
+def pieces(text: str) -> Iterator[tuple[int, list[str]]]:
+    """Offsets and words of a text's paragraphs, one line after another."""
+    at = 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        found, words = WORD.finditer(text[at:end].lower()), []
+        while more := [m.group() for m in islice(found, PIECE - len(words))]:
+            words += more
+            yield at, words
+            if len(words) < PIECE:
+                break
+            words = words[PIECE // 2 :]
+        at = end + 1
 
 
 class Model:
@@ -208,10 +214,9 @@ class Model:
     def scan(self, text: str) -> tuple[int, list[tuple[int, str, float, float]]]:
         """Number of paragraphs, and offset, family, probability and similarity of those that are licences."""
         found: list[tuple[int, str, float, float]] = []
-        if self.words.isdisjoint(WORD.findall(text.lower())):
-            return sum(not line.isspace() and line != "" for line in text.split("\n")), found
-        every = pieces(text)
-        for at, words in every:
+        count = 0
+        for at, words in pieces(text):
+            count += 1
             if self.words.isdisjoint(words):
                 continue
             p = self.probabilities(words)
@@ -220,7 +225,7 @@ class Model:
                 g = grams(words)
                 alike = max(len(g & t) / min(len(g), len(t)) for t in self.templates[self.families[c]])
                 found.append((at, self.families[c], float(p[c]), alike))
-        return len(every), found
+        return count, found
 
 
 def fitted(docs: DataFrame) -> Model:

@@ -19,6 +19,19 @@ _latin = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{S
 #: Longer texts are split piece by piece, so that the list of their pre-tokens stays short.
 LONG = 1_000_000
 
+#: A blank between two word characters: pre-tokens end before it, whatever stands around.
+_blank = re.compile(r"(?<=\w) (?=\w)")
+
+
+def pieces(text: str, size: int = LONG) -> Iterator[str]:
+    """Parts of a text of about a size, cut only where pre-tokens end; one part if there is no such place."""
+    at = 0
+    while len(text) - at > 2 * size and (found := _blank.search(text, at + size)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 #: Longest pre-token that is remembered.
 KEPT_CHARS = 64
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from graniteql.llm.common import fresh_path, groups, ship
-from graniteql.llm.pretokens import KEPT_CHARS, LATIN, LONG, _latin
+from graniteql.llm.pretokens import KEPT_CHARS, LATIN, LONG, _latin, pieces
 
 MAGIC = b"GQLSST01"
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -245,7 +245,12 @@ class LibraryEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text; pre-tokens that are new to this worker go to the library in one call. When the
         table of known ones is full it becomes the older table, from which what is still in use comes back."""
-        parts = [_latin.findall(t) if len(t) < LONG and LATIN.match(t) else None for t in texts]
+        if any(len(t) > 2 * LONG for t in texts):  # one piece after another, so that lists stay short
+            return [b"".join(self._short([p])[0] for p in pieces(t)) for t in texts]
+        return self._short(texts)
+
+    def _short(self, texts: list[str]) -> list[bytes]:
+        parts = [_latin.findall(t) if LATIN.match(t) else None for t in texts]
         new = set(chain.from_iterable(p for p in parts if p)).difference(self.known)
         if len(self.known) + len(new) > self.REMEMBERED:
             new = new.union(w for p in parts if p for w in p)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ from graniteql.llm.quality import _sigmoid
 
 #: A word, or the end of a sentence, at which the chain starts anew.
 TOKEN = re.compile(r"[^\W\d_]+|[.?\n]")
-ENDS = frozenset(".?\n")
+ENDS, END, BLANK = frozenset(".?\n"), re.compile(r"[.?\n]"), re.compile(r"\s")
+PART = 500_000
 HASHED, MOST_WORDS, LIKELY = 1 << 18, 20_000, 0.8
 #: Words of sentences that enter the fit of the chain, at most half of them from sentences with a word to be tagged;
 #: words known to a worker at once.
@@ -158,7 +160,7 @@ class Chain:
             every = list(number)
             self._fit_chain(np.array([features(every[i]) for i in kept.tolist()], np.int64), words, np.array([len(s[0]) for s in sentences]), tags)
         del sentences, telling, plain, number
-        x = np.concatenate([self.summaries([TOKEN.findall(t.lower()) for t, _ in rows[i : i + 100]])[0] for i in range(0, len(rows), 100)])
+        x = np.concatenate([self.summaries([t for t, _ in rows[i : i + 100]]) for i in range(0, len(rows), 100)])
         self.calibration = _logistic(x, y)
         return self
 
@@ -189,24 +191,38 @@ class Chain:
             p[words] = self.marginals(self.word_scores([flat[i] for i in words]) if end.any() else self.word_scores(flat), lengths)
         return p, counts
 
-    def summaries(self, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each document: log-odds of its surest word and of having a toxic word at all; logarithms of the expected
-        number of toxic words among the likely ones and of their share. And all marginals."""
-        p, counts = self.tagged(tokens)
-        doc = np.repeat(np.arange(len(counts)), counts)
-        none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(counts))
+    def summaries(self, texts: list[str]) -> np.ndarray:
+        """Of each text: log-odds of its surest word and of having a toxic word at all; logarithms of the expected
+        number of toxic words among the likely ones and of their share."""
+        sums, most = np.zeros((len(texts), 3)), np.zeros(len(texts))
+        part: list[list[str]] = []
+        owner: list[int] = []
+
+        def add() -> None:
+            p, counts = self.tagged(part)
+            doc = np.repeat(np.array(owner, np.int64), counts)
+            for k, v in enumerate((np.log1p(-np.minimum(p, 1 - 1e-9)), np.where(p > LIKELY, p, 0), np.ones(len(p)))):
+                sums[:, k] += np.bincount(doc, v, len(texts))
+            np.maximum.at(most, doc, p)
+            part.clear()
+            owner.clear()
+
+        for i, text in enumerate(texts):
+            for piece in sentences_of(text):
+                part.append(TOKEN.findall(piece.lower()))
+                owner.append(i)
+                if sum(map(len, part)) > 200_000:
+                    add()
+        add()
+        none, likely, counts = sums.T
         some = -np.expm1(np.minimum(none, -1e-6))
-        likely = np.bincount(doc, np.where(p > LIKELY, p, 0), len(counts))
-        most = np.zeros(len(counts))
-        np.maximum.at(most, doc, p)
-        most = np.clip(most, 1e-6, 1 - 1e-6)
-        return np.stack([np.log(most / (1 - most)) / 4, (np.log(some) - np.maximum(none, -14)) / 4, np.log1p(likely), np.log((likely + 0.1) / (counts + 5))], 1), p
+        top = np.clip(most, 1e-6, 1 - 1e-6)
+        return np.stack([np.log(top / (1 - top)) / 4, (np.log(some) - np.maximum(none, -14)) / 4, np.log1p(likely), np.log((likely + 0.1) / (counts + 5))], 1)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None or not texts:
             return np.full(len(texts), self.constant if self.constant is not None else 0.5)
-        x, _ = self.summaries([TOKEN.findall(t.lower()) for t in texts])
-        return _sigmoid(x @ self.calibration[:-1] + self.calibration[-1] + self.shift)
+        return _sigmoid(self.summaries(texts) @ self.calibration[:-1] + self.calibration[-1] + self.shift)
 
     def spans(self, text: str) -> list[tuple[int, int, float]]:
         """Runs of toxic words: start, end, highest marginal. Offsets are characters of the lower-cased text."""
@@ -224,6 +240,19 @@ class Chain:
         return out
 
 
+def sentences_of(text: str) -> Iterator[str]:
+    """A text in parts of about PART characters that end where sentences end; a sentence longer than that is cut at a
+    blank, or nowhere if it has none."""
+    at = 0
+    while len(text) - at > 2 * PART:
+        found = END.search(text, at + PART, at + 2 * PART) or BLANK.search(text, at + PART)
+        if not found:
+            break
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:]
+
+
 def _thinned(sentences: list, words: int) -> list:
     """Evenly spaced ones of the sentences, of about so many words."""
     total = sum(len(s[0]) for s in sentences)

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -173,7 +174,7 @@ def test_odd_join(spark, odd, empty, odd_rows):
 def test_shingle_hashes_follow_the_words():
     texts = ["a b c d e", "A  b\tc D e ", "a b c", "c b a", "", "a b c d", "é b c d e", "ab c d e", "a bc d e", "x" * 5000]
     data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
-    sets = jaccard.shingle_sets(np.concatenate(data), np.cumsum([0, *map(len, data)]), 4)
+    sets = jaccard.shingle_sets(*jaccard.word_hashes(np.concatenate(data), np.cumsum([0, *map(len, data)])), 4)
     for i, a in enumerate(texts):
         for j, b in enumerate(texts):
             assert (sets[i].tolist() == sets[j].tolist()) == (shingles(a, 4) == shingles(b, 4)), (a, b)
@@ -196,3 +197,10 @@ def test_components(spark, edges):
             parent[max(x, y)] = min(x, y)
     got = components.components(spark.createDataFrame(edges, "a long, b long"))
     assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in list(parent))
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    text = pa.array([None, " ".join(f"w{i % 977}" for i in range(5000)) + "  " + "y" * 400 + " end", "short one here now"])
+    whole = [s.tolist() for s in jaccard.sets_of(text, 4)]
+    monkeypatch.setattr(jaccard, "AT_ONCE", 64)
+    assert [s.tolist() for s in jaccard.sets_of(text, 4)] == whole

@@ -133,3 +133,18 @@ def test_op1_finds_the_planted_lines(spark):
     for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect():
         lines = r["text"].split("\n")
         assert got[r["doc_id"]] == {f for f, line in planted.items() if line in lines}
+
+
+def test_long_texts_are_tagged_in_parts(monkeypatch):
+    chain = toxicity.Chain().fit([("you are a fool and more", 1), ("you are a friend and more", 0)] * 40)
+    texts = ["he is a friend. " * 50 + "a fool he is. " * 3 + "so. " * 40, "no end here " * 30, "", "x" * 900]
+    whole = chain.summaries(texts)
+    monkeypatch.setattr(toxicity, "PART", 100)
+    assert np.allclose(chain.summaries(texts[:1]), whole[:1]) and np.allclose(chain.summaries(texts)[2:], whole[2:])
+    assert "".join(toxicity.sentences_of(texts[1])) == texts[1] and max(map(len, toxicity.sentences_of(texts[1]))) <= 200
+
+
+def test_paragraphs():
+    got = list(license_scan.pieces("a b\n\n" + " ".join(f"w{i}" for i in range(100)) + "\nend"))
+    assert [(at, len(w)) for at, w in got] == [(0, 2), (5, 64), (5, 64), (5, 36), (5 + 389 + 1, 1)]
+    assert [w for _, w in got][1][32:] == [w for _, w in got][2][:32]

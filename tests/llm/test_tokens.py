@@ -156,3 +156,13 @@ def test_frequent_identifier_has_several_shards(spark, encoder):
     got = sstable.read_shards(spark, shards).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted(i for i, _ in rows)
     assert max(s["documents"] for s in shards) < 30 and len(sstable.lookup(shards, 7)) == 60
+
+
+def test_long_texts_are_cut_where_pretokens_end(encoder):
+    from graniteql.llm import pretokens
+
+    text = "Some words, 'tis 12 of  them\n\tand é more words " * 40 + "x" * 300
+    parts = list(pretokens.pieces(text, 50))
+    assert len(parts) > 10 and "".join(parts) == text
+    assert b"".join(encoder.ready().encode([p])[0] for p in parts) == encoder.encode([text])[0]
+    assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == whole(text)
