@@ -38,7 +38,7 @@ from graniteql.llm.common import forget, ship, written
 from graniteql.llm.components import components
 
 #: Classes in a block, and blocks of a cluster that meet in pairs; larger clusters are dealt by shingle.
-BLOCK, MOST_BLOCKS = 512, 8
+BLOCK, MOST_BLOCKS = 64, 64
 #: The margin of a head, in per cent of the set.
 MARGIN = 10
 #: Bytes of text that are hashed at once.
