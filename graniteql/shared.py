@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,5 +61,7 @@ def forget(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver
     happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees holds what the second one frees
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
