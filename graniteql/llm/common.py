@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniteql.shared import forget, fresh_path, shared_dir, written  # noqa: F401  for the operators
+from graniteql.shared import forget, fresh_path, release, shared_dir, written  # noqa: F401  for the operators
 
 _shipped: set[str] = set()
 

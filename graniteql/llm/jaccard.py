@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graniteql.llm.common import forget, ship, written
+from graniteql.llm.common import forget, release, ship, written
 from graniteql.llm.components import components
 
 #: Classes in a block, and blocks of a cluster that meet in pairs; larger clusters are dealt by shingle.
@@ -300,19 +300,17 @@ def _after(own: list[int], last: int) -> int:
     return low
 
 
-def links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Classes: doc, size, name for every row with words; and links a, b between the smallest documents of classes,
-    enough to connect all that is connected. docs: doc_id, text."""
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    heads = written(_heads(docs, n, percent), "heads")
-    classes = heads.select("doc", "size", "name")
-    first = classes.where("size > 0 and doc is not null").groupBy("name").agg(F.min("doc").alias("doc"))
+def _near(heads: DataFrame, percent: int) -> DataFrame:
+    """doc of the classes (by their smallest document) whose heads have enough in common with others."""
+    first = heads.where("size > 0 and doc is not null").groupBy("name").agg(F.min("doc").alias("doc"))
     single = heads.join(first, ["doc", "name"], "left_semi").select("doc", "size", F.explode("head").alias("item"))
     met = _shared(single).groupBy("doc", "size").agg(F.count("*").alias("n"))
-    near = written(met.where(F.col("n") >= _floor(F.col("size"), percent)).select("doc").distinct(), "near")
+    return written(met.where(F.col("n") >= _floor(F.col("size"), percent)).select("doc").distinct(), "near")
+
 
+def _rest(docs: DataFrame, near: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc, size, items, prefix of the classes whose sets have enough in common with others: the items that others
+    have too, rarest first, and how many of them are the prefix."""
     full = written(_sets(docs.join(near, "doc", "left_semi").dropDuplicates(["doc", "text"]), n), "sets")
     shared = _shared(full.select("doc", "size", F.explode("items").alias("item")))
     rest = shared.groupBy("doc", "size").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
@@ -320,13 +318,27 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Da
     rest = rest.where(F.size("items") >= least)
     rest = written(rest.select("doc", "size", F.transform("items", lambda x: x["item"]).alias("items"), (F.size("items") - least + 1).alias("prefix")), "rest")
     forget(full)
+    return rest
 
+
+def links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+    """Classes: doc, size, name for every row with words; and links a, b between the smallest documents of classes,
+    enough to connect all that is connected. docs: doc_id, text."""
+    spark = docs.sparkSession
+    ship(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    heads = written(_heads(docs, n, percent), "heads")
+    near = _near(heads, percent)
+    release(spark)
+    rest = _rest(docs, near, n, percent)
+    release(spark)
     prefix = rest.select("doc", F.explode(F.slice("items", F.lit(1), F.col("prefix"))).alias("item"))
     stars = prefix.groupBy("item").agg(F.min("doc").alias("star"), F.count("*").alias("n")).where("n > 1").select("item", "star")
     near_edges = prefix.join(stars, "item").where("doc > star").select(F.col("doc").alias("a"), F.col("star").alias("b")).distinct()
     clusters = written(components(near_edges), "clusters")
-    found = _meet(rest, prefix, clusters, percent)
-    return classes, written(found, "links")
+    found = written(_meet(rest, prefix, clusters, percent), "links")
+    release(spark)
+    return heads.select("doc", "size", "name"), found
 
 
 def _blocks(rows: DataFrame, key: str, size_of: DataFrame) -> DataFrame:
