@@ -5,10 +5,10 @@ consecutive units, its inner substrings are the S consecutive units inside it, o
 closed syncmer if its smallest inner substring is the first or the last one. Whether a k-mer is chosen depends on the
 k-mer alone, not on what stands around it; so an edit changes the anchors that it touches and no others.
 
-`anchors` gives all of them with their positions. `fingerprint` keeps the SKETCH smallest distinct hashes of the whole
-text's anchors, each with the position of its first occurrence: a sketch of a fixed size, whatever the text's length,
-that estimates the share of common anchors without bias. `likeness` is that share, 2 |A and B| / (|A| + |B|), and
-`displacement` the shift in units at which most common anchors agree.
+`anchors` gives all of them with their positions. `fingerprint` has each distinct hash of the whole text's anchors with
+the position of its first occurrence, and `repeats` all later occurrences: together they are all anchors. `likeness` is
+the share of common distinct anchors, 2 |A and B| / (|A| + |B|); `shared` is the same share with every occurrence
+counted; `displacement` is the shift in units at which most common anchors agree. None of them is an estimate.
 
 Defined cases: a null text is an empty one; an empty text has no anchor and the fingerprint '', and likeness is 1 to
 another such text and 0 to any other; a text of fewer than K units has one anchor, the whole; positions from 2^24 - 1 on
@@ -20,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNIT, K, S, SKETCH = 24, 4, 2, 128
+UNIT, K, S = 24, 4, 2
+#: Most anchors of a fingerprint; None is all.
+SKETCH = None
 _POS = 24
 _TOP = (1 << _POS) - 1
 
@@ -56,46 +58,86 @@ def anchors(text: Column) -> Column:
     return _bound(F.transform(units, lambda u: F.xxhash64(u)), of_hashes)
 
 
+def _hash(x: Column) -> Column:
+    return F.shiftrightunsigned(x, _POS)
+
+
+def _seen(s: Column, i: Column) -> Column:
+    """Whether the hash at place i of sorted anchors is that of the place before; false for the first one."""
+    return (i > 0) & (_hash(F.get(s, i)) == _hash(F.get(s, F.greatest(i - 1, F.lit(0)))))
+
+
+def in_order(text: Column) -> Column:
+    """All anchors by hash, then by position."""
+    return F.sort_array(anchors(text))
+
+
+def distinct(ordered: Column) -> Column:
+    """Of anchors in order, each hash at its first position."""
+    return F.filter(ordered, lambda x, i: ~_seen(ordered, i))
+
+
+def repeated(ordered: Column) -> Column:
+    """Of anchors in order, what distinct() leaves out."""
+    return F.filter(ordered, lambda x, i: _seen(ordered, i))
+
+
 def sketch(text: Column) -> Column:
-    """The SKETCH smallest distinct anchors by hash, each at its first position."""
-    first = lambda s: F.slice(F.filter(s, lambda x, i: (i == 0) | (F.shiftrightunsigned(x, _POS) != F.shiftrightunsigned(F.get(s, F.greatest(i - 1, F.lit(0))), _POS))), 1, SKETCH)
-    return _bound(F.sort_array(anchors(text)), first)
+    """The distinct anchors by hash, each at its first position."""
+    return _bound(in_order(text), distinct)
 
 
 def as_text(made: Column) -> Column:
-    """A sketch as text: ten hexadecimal digits of hash, a dot, the position; separated by spaces."""
-    return F.array_join(F.transform(made, lambda x: F.concat(F.lpad(F.lower(F.hex(F.shiftrightunsigned(x, _POS))), 10, "0"), F.lit("."), x.bitwiseAND(_long(_TOP)).cast("string"))), " ")
+    """Anchors as text: ten hexadecimal digits of hash, a dot, the position; separated by spaces."""
+    return F.array_join(F.transform(made, lambda x: F.concat(F.lpad(F.lower(F.hex(_hash(x))), 10, "0"), F.lit("."), x.bitwiseAND(_long(_TOP)).cast("string"))), " ")
 
 
 def fingerprint(text: Column) -> Column:
     return as_text(sketch(text))
 
 
+def _share(both: Column, a: Column, b: Column) -> Column:
+    """both common ones of two arrays as a share; two empty arrays are alike."""
+    n = F.size(a) + F.size(b)
+    return F.when(n == 0, 1.0).otherwise(2 * both.cast("double") / n)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """The estimated share of common anchors of two sketches: among the SKETCH smallest hashes of both together, those
-    in both give the Jaccard similarity j, and the share is 2 j / (1 + j)."""
-    hashes = lambda s: F.transform(s, lambda x: F.shiftrightunsigned(x, _POS))
+    """The share of common anchors of two sketches."""
+    return _share(F.size(F.array_intersect(F.transform(a, _hash), F.transform(b, _hash))), a, b)
+
 
-    def of(x: Column, y: Column) -> Column:
-        def share(union: Column) -> Column:
-            both = F.size(F.array_intersect(union, F.array_intersect(x, y))).cast("double")
-            return F.when(F.size(union) == 0, 1.0).otherwise(2 * both / (F.size(union) + both))
+def shared(a: Column, b: Column) -> Column:
+    """The share of common anchors of two texts' anchors in order, an anchor counted as often as both texts have it."""
+    tagged = lambda s, tag: F.transform(s, lambda x: F.shiftleft(_hash(x), 1).bitwiseOR(_long(tag)))
 
-        return _bound(F.slice(F.sort_array(F.array_union(x, y)), 1, SKETCH), share)
+    def step(at: Column, x: Column) -> Column:
+        h, same = F.shiftright(x, 1), F.shiftright(x, 1) == at["h"]
+        first, pair = x.bitwiseAND(_long(1)) == 0, same & (at["open"] > 0)
+        left = F.when(first, F.when(same, at["open"] + 1).otherwise(1)).when(pair, at["open"] - 1).otherwise(0)
+        return F.struct(h.alias("h"), left.alias("open"), F.when(~first & pair, at["both"] + 1).otherwise(at["both"]).alias("both"))
 
-    return _bound(hashes(a), lambda x: _bound(hashes(b), lambda y: of(x, y)))
+    # by hash, a's before b's: each of b's closes one of a's that is open
+    start = F.struct(_long(-1).alias("h"), F.lit(0).alias("open"), F.lit(0).alias("both"))
+    return _share(F.aggregate(F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))), start, step, lambda at: at["both"]), a, b)
 
 
 def displacement(a: Column, b: Column) -> Column:
-    """Positional matching: b's position less a's, for common anchors the most frequent one; null if none is common."""
-    at = lambda s: F.map_from_entries(F.transform(s, lambda x: F.struct(F.shiftrightunsigned(x, _POS), x.bitwiseAND(_long(_TOP)))))
+    """Positional matching: b's position less a's, for common anchors of two sketches the most frequent one; null if
+    none is common."""
+    placed = lambda s, tag: F.transform(s, lambda x: F.struct(_hash(x).alias("h"), F.lit(tag).alias("tag"), x.bitwiseAND(_long(_TOP)).alias("at")))
+
+    def shifts(z: Column) -> Column:  # an anchor of b comes right after a's, if a has it
+        before = lambda i: F.get(z, i - 1)
+        return F.filter(F.transform(z, lambda x, i: F.when((x["tag"] == 1) & (before(i)["h"] == x["h"]), x["at"] - before(i)["at"])), lambda v: v.isNotNull())
 
-    def of(x: Column, y: Column) -> Column:
-        shifts = F.transform(F.filter(F.map_keys(x), lambda h: F.map_contains_key(y, h)), lambda h: F.element_at(y, h) - F.element_at(x, h))
-        most = lambda d: F.element_at(F.array_sort(F.transform(F.array_distinct(d), lambda v: F.struct(-F.size(F.filter(d, lambda w: w == v)), F.abs(v), v.alias("v")))), 1)["v"]
-        return F.when(F.size(shifts) > 0, _bound(shifts, most))
+    def most(d: Column) -> Column:  # d ascends; the longest run, then the smallest shift
+        starts = F.filter(F.transform(d, lambda v, i: F.when((i == 0) | (F.get(d, F.greatest(i - 1, F.lit(0))) != v), i)), lambda i: i.isNotNull())
+        runs = lambda s: F.transform(s, lambda i, k: F.struct(i - F.coalesce(F.get(s, k + 1), F.size(d)), F.abs(F.get(d, i)), F.get(d, i).alias("v")))
+        return F.array_min(_bound(starts, runs))["v"]
 
-    return _bound(at(a), lambda x: _bound(at(b), lambda y: of(x, y)))
+    found = _bound(F.sort_array(F.concat(placed(a, 0), placed(b, 1))), lambda z: F.sort_array(shifts(z)))
+    return _bound(found, most)
 
 
 def range_index(value: Column, bounds: list[int]) -> Column:
@@ -109,10 +151,11 @@ def range_index(value: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """Adds next_text and next_sketch: the next document's by descending doc_id, after the last one the first's.
+    """Adds anchors, next_text and next_anchors: the next document's by descending doc_id, after the last one the first's.
 
     Documents are dealt by quantiles of doc_id, and a window looks ahead inside each range. The first document of each
-    range is also sent to the range before it, where it comes last. The driver holds a few numbers for each range."""
+    range is also sent to the range before it, where it comes last. Anchors, nearly as large as the text, are taken after
+    the texts are dealt. The driver holds a few numbers for each range."""
     at = [i / ranges for i in range(1, ranges)]
     bounds = sorted(set((docs.agg(F.percentile_approx("doc_id", at, max(10_000, 20 * ranges))).first()[0] or []) if at else []))
     docs = docs.withColumn("range", range_index(F.col("doc_id"), bounds))
@@ -124,8 +167,9 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     copy = lambda r, c: F.struct(r.alias("range"), F.lit(c).alias("copy"))
     place = F.when(F.col("doc_id").eqNullSafe(F.get(top, F.col("range"))), F.array(copy(F.col("range"), 0), copy(F.get(sent, F.col("range")), 1))).otherwise(F.array(copy(F.col("range"), 0)))
     docs = docs.withColumn("place", F.explode(place)).withColumn("range", F.col("place.range")).withColumn("copy", F.col("place.copy")).drop("place")
+    docs = docs.repartition("range").withColumn("anchors", in_order(F.col("text")))
     ahead = Window.partitionBy("range").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
-    return docs.withColumn("next_text", F.lead("text").over(ahead)).withColumn("next_sketch", F.lead("sketch").over(ahead)).filter("copy = 0").drop("copy", "range")
+    return docs.withColumn("next_text", F.lead("text").over(ahead)).withColumn("next_anchors", F.lead("anchors").over(ahead)).filter("copy = 0").drop("copy", "range")
 
 
 def compared(docs: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -133,12 +177,13 @@ def compared(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = with_next(docs.withColumn("sketch", sketch(F.col("text"))), ranges)
+    docs = with_next(docs, ranges)
     n = F.length("text")
     part = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - part), F.substring(F.col("next_text"), F.lit(1), part))
-    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
-    docs = docs.select("doc_id", "n_chars", "sketch", "next_sketch", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_sketch"))
+    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "anchors", "next_anchors", edited.alias("edited"))
+    docs = docs.select("doc_id", "n_chars", "anchors", "next_anchors", F.sha2("edited", 256).alias("edited_sha256"), in_order(F.col("edited")).alias("edited_anchors"))
+    docs = docs.select("*", *(distinct(F.col(f"{c}anchors")).alias(f"{c}sketch") for c in ("", "edited_", "next_")))
     return docs.select(
         "doc_id",
         "n_chars",
@@ -147,4 +192,10 @@ def compared(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        as_text(repeated(F.col("anchors"))).alias("repeats"),
+        as_text(repeated(F.col("edited_anchors"))).alias("edited_repeats"),
+        shared(F.col("anchors"), F.col("edited_anchors")).alias("shared_edited"),
+        shared(F.col("anchors"), F.col("next_anchors")).alias("shared_next"),
+        displacement(F.col("sketch"), F.col("edited_sketch")).alias("shift_edited"),
+        displacement(F.col("sketch"), F.col("next_sketch")).alias("shift_next"),
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,26 @@ def test_positions(spark):
     assert r["d"] == 3 and r["l"] > 0.9
 
 
+def test_all_anchors_of_long_texts_count(spark):
+    words = [f"w{i}" for i in range(20_000)]
+    edited = [*words[:9_000], *(f"x{i}" for i in range(10)), *words[9_010:]]
+    other = [*(f"y{i}" for i in range(10_000)), *words[5_000:5_060], *(f"z{i}" for i in range(9_940))]
+    again = ("a b c d e f g " * 300).split()
+    texts = {4: words, 3: edited, 2: other, 1: again, 0: again[:1_000]}
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    got = {r["doc_id"]: r for r in syncmer.compared(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    check_fingerprints(rows, got.values())
+    for i, text in rows:
+        have = Counter(f"{(a & (2**64 - 1)) >> 24:010x}.{a & (2**24 - 1)}" for a in anchors(text))
+        assert Counter(f"{got[i]['fingerprint']} {got[i]['repeats']}".split()) == have
+        a, b = (Counter((x & (2**64 - 1)) >> 24 for x in anchors(t)) for t in (text, dict(rows)[(i - 1) % 5]))
+        assert got[i]["shared_next"] == pytest.approx(2 * (a & b).total() / (a.total() + b.total()))
+    assert 0.99 < got[4]["near_next"] < 1 and got[4]["fingerprint"] != got[3]["fingerprint"] and got[4]["shift_next"] == 0
+    assert got[3]["near_next"] > 0.001 and got[3]["shift_next"] == 5_000
+    assert got[1]["near_next"] == 1 and got[1]["shared_next"] < 0.7 and got[1]["shift_next"] == 0
+    assert got[0]["near_next"] == 0 and got[0]["shift_next"] is None
+
+
 def shingles(text, n):
     w = SPACE.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
