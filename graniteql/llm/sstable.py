@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from graniteql.llm.common import fresh_path, groups, ship
-from graniteql.llm.pretokens import KEPT_CHARS, LATIN, LONG, _latin, pieces
+from graniteql.llm.pretokens import KEPT_CHARS, LATIN, LONG, _blank, _latin, pieces
 
 MAGIC = b"GQLSST01"
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -209,7 +210,8 @@ class Reader:
 
 class LibraryEncoder:
     """Ids by the tokenizers library. Texts of Latin letters are split by the file's own pattern first and the library
-    encodes each distinct pre-token once, which gives the same ids, as its merges never cross pre-tokens."""
+    encodes each distinct pre-token once, which gives the same ids, as its merges never cross pre-tokens. Texts that hold
+    the content of an added token (the end of text, say) are given to it whole, which finds those first."""
 
     REMEMBERED = 400_000
 
@@ -223,7 +225,10 @@ class LibraryEncoder:
         if self.tokenizer is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             self.tokenizer, self.split = (Tokenizer.from_str(self.json) for _ in range(2))
-            self.tokenizer.encode_special_tokens = self.split.encode_special_tokens = True
+            added = self.tokenizer.get_added_tokens_decoder().values()
+            self.added = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)")
+            # whether texts with added tokens can be cut at blanks between words: none has or takes such a blank
+            self.cut = not any(t.lstrip or t.rstrip or _blank.search(t.content) for t in added)
             self.split.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # for single pre-tokens
             self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
             self.known: dict[str, bytes] = {}
@@ -246,11 +251,11 @@ class LibraryEncoder:
         """The packed ids of each text; pre-tokens that are new to this worker go to the library in one call. When the
         table of known ones is full it becomes the older table, from which what is still in use comes back."""
         if any(len(t) > 2 * LONG for t in texts):  # one piece after another, so that lists stay short
-            return [b"".join(self._short([p])[0] for p in pieces(t)) for t in texts]
+            return [b"".join(self._short([p])[0] for p in (pieces(t) if self.cut or not self.added.search(t) else [t])) for t in texts]
         return self._short(texts)
 
     def _short(self, texts: list[str]) -> list[bytes]:
-        parts = [_latin.findall(t) if LATIN.match(t) else None for t in texts]
+        parts = [_latin.findall(t) if LATIN.match(t) and not self.added.search(t) else None for t in texts]
         new = set(chain.from_iterable(p for p in parts if p)).difference(self.known)
         if len(self.known) + len(new) > self.REMEMBERED:
             new = new.union(w for p in parts if p for w in p)

@@ -166,3 +166,38 @@ def test_long_texts_are_cut_where_pretokens_end(encoder):
     assert len(parts) > 10 and "".join(parts) == text
     assert b"".join(encoder.ready().encode([p])[0] for p in parts) == encoder.encode([text])[0]
     assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == whole(text)
+
+
+def test_added_tokens_are_the_library_s(spark, encoder, monkeypatch):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"one{end}two", end, f" {end} {end}{end}\n", f"日本 {end} é", "<|endoftext", f"it's {end}'s 12", "one two"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0].count(50256) == 1
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.ready().encode(texts)] == want
+    shards = sstable.write_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), encoder, 2, sstable.new_folder(spark))
+    at = 0
+    for r, ids in zip(sstable.read_shards(spark, shards).orderBy("doc_id").collect(), want, strict=True):
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids) + 1, zlib.crc32(packed([*ids, 2])))
+        at += len(ids) + 1
+    from graniteql.llm import pretokens
+
+    monkeypatch.setattr(sstable, "LONG", 50)
+    monkeypatch.setattr(sstable, "pieces", lambda t: pretokens.pieces(t, 50))
+    long = f"Some words {end} of them {end}more words " * 40
+    assert np.frombuffer(encoder.encode([long])[0], "<u2").tolist() == library.encode(long, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("rstrip", [False, True])
+def test_added_tokens_with_blanks(monkeypatch, rstrip):
+    from tokenizers import AddedToken
+
+    from graniteql.llm import pretokens
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.add_tokens([AddedToken("end of it", rstrip=rstrip, normalized=False)])
+    own = sstable.LibraryEncoder(library.to_str()).ready()
+    monkeypatch.setattr(sstable, "LONG", 20)
+    monkeypatch.setattr(sstable, "pieces", lambda t: pretokens.pieces(t, 20))
+    for text in ("the end of it and more", "some words at the end of it  some words " * 20):
+        assert np.frombuffer(own.encode([text])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
