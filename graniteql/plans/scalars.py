@@ -17,6 +17,12 @@ def f1(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(F.lower("text")).alias("h"))
 
 
+@query("f1_md5_all", "SELECT doc_id, md5(lower(text)) AS h FROM documents")
+def f1a(spark: SparkSession, d: str) -> DataFrame:
+    """Of every language: letters beyond ASCII have lower cases too."""
+    return table(spark, d, "documents").select("doc_id", F.md5(F.lower("text")).alias("h"))
+
+
 @query("f1_sha256", "SELECT item_id, sha256(text) AS h FROM benchmark")
 def f1s(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.sha2("text", 256).alias("h"))

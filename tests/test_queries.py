@@ -1,5 +1,6 @@
 """Each query with a DuckDB statement has the same columns and rows as that."""
 
+import hashlib
 import math
 
 import duckdb
@@ -51,3 +52,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 6
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_hashes_of_all_languages(spark):
+    want = {r["doc_id"]: hashlib.md5(r["text"].lower().encode()).hexdigest() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["h"] for r in plans.QUERIES["f1_md5_all"](spark, SMALL).collect()} == want
