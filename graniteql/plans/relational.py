@@ -50,6 +50,12 @@ def pf4(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").where(F.contains("p_name", F.substring("p_name", 2, 3)) & F.contains("p_type", F.lit("A"))).select("p_partkey", "p_name")
 
 
+@query("pf4_contains_columns", "SELECT doc_id, lang FROM documents WHERE contains(text, lang)")
+def pf4c(spark: SparkSession, d: str) -> DataFrame:
+    """Of two columns, true of some rows; t5_contamination pairs documents and benchmark texts."""
+    return table(spark, d, "documents").where(F.contains("text", "lang")).select("doc_id", "lang")
+
+
 @query("pf5_regex", "SELECT doc_id, n_chars FROM documents WHERE regexp_matches(text, '[0-9]{3}-[0-9]{4}') OR text LIKE '%License%'")
 def pf5(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.rlike("text", F.lit("[0-9]{3}-[0-9]{4}")) | F.col("text").like("%License%")).select("doc_id", "n_chars")

@@ -57,3 +57,10 @@ def test_entry(spark):
 def test_hashes_of_all_languages(spark):
     want = {r["doc_id"]: hashlib.md5(r["text"].lower().encode()).hexdigest() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     assert {r["doc_id"]: r["h"] for r in plans.QUERIES["f1_md5_all"](spark, SMALL).collect()} == want
+
+
+def test_containment_decides(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    want = {r["doc_id"] for r in docs if r["lang"] in r["text"]}
+    assert 0 < len(want) < len(docs)
+    assert {r["doc_id"] for r in plans.QUERIES["pf4_contains_columns"](spark, SMALL).collect()} == want
