@@ -9,7 +9,10 @@ that use the templates' words otherwise. Probabilities are calibrated on example
 paragraph shares enough of its n-grams with a template of that family.
 
 Only n-grams with a weight take part, a few hundred; a paragraph without any of their words is unknown at once. Every
-line of every text is scored.
+line of every text is scored. Notices wrapped over several lines are found in windows of PIECE words, overlapping by
+half, over consecutive lines that are not blank: a window adds a family that none of its lines has, and if it is unsure
+it is scored again without the lines that are licences by themselves. Lines of a window that are different parts of one
+template are one licence, at the first line's offset; lines that repeat each other are several. n_paragraphs counts lines and their pieces, not windows.
 
 Defined cases: a null or empty text has no paragraph and no licence; ties go to the family that comes first in order;
 repeated rows get equal results; an empty table is scored by a model without corpus lines; extra columns take no part.
@@ -132,6 +135,23 @@ def pieces(text: str) -> Iterator[tuple[int, list[str]]]:
         at = end + 1
 
 
+_blank_line = re.compile(r"\n[^\S\n]*\n")
+
+
+def numbered(text: str) -> Iterator[tuple[int, int, list[str], list[str]]]:
+    """pieces() with the line's number among lines with words, one more after a blank line, and the words that the piece
+    before did not have."""
+    line, last = 0, -1
+    for at, words in pieces(text):
+        new = words
+        if at == last:
+            new = words[PIECE // 2 :]
+        elif last >= 0:
+            line += 2 if _blank_line.search(text, text.find("\n", last), at) else 1
+        last = at
+        yield line, at, words, new
+
+
 class Model:
     def __init__(self):
         self.families = sorted(TEMPLATES)
@@ -206,26 +226,97 @@ class Model:
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         g = grams(words)
-        hits = [self.weights[x] for x in g if x in self.weights]
+        return self._softmax([self.weights[x] for x in g if x in self.weights])
+
+    def _softmax(self, hits: list[np.ndarray]) -> np.ndarray:
         z = ((np.sum(hits, 0) if hits else 0) + self.bias) / self.heat
         p = np.exp(z - z.max())
         return p / p.sum()
 
-    def scan(self, text: str) -> tuple[int, list[tuple[int, str, float, float]]]:
-        """Number of paragraphs, and offset, family, probability and similarity of those that are licences."""
-        found: list[tuple[int, str, float, float]] = []
-        count = 0
-        for at, words in pieces(text):
-            count += 1
-            if self.words.isdisjoint(words):
+    def _weighted(self, words: list[str]) -> dict[str, int]:
+        """The n-grams that have a weight, with the place of the first; their words are all known ones."""
+        found: dict[str, int] = {}
+        run: list[str] = []
+        for i, w in enumerate(words):
+            run = [*run[-2:], w] if w in self.words else []
+            for k in range(1, len(run) + 1):
+                if (x := " ".join(run[-k:])) in self.weights:
+                    found.setdefault(x, i - k + 1)
+        return found
+
+    def _alike(self, words: list[str], c: int) -> float:
+        g = grams(words)
+        return max(len(g & t) / min(len(g), len(t)) for t in self.templates[self.families[c]])
+
+    def _window(self, held: list[tuple[str, int, int]], hits: list[list]) -> list | None:
+        """A licence over several lines that none of them has: first and last line, offset, family, probability,
+        similarity. held: words with their line's number and offset."""
+        own = [h for h in hits if h[1] >= held[0][1] and h[0] <= held[-1][1]]
+        for part in (held, [x for x in held if not any(h[0] <= x[1] <= h[1] for h in own)] if own else []):
+            words = [x[0] for x in part]
+            if not (found := self._weighted(words)):
                 continue
-            p = self.probabilities(words)
+            p = self._softmax([self.weights[x] for x in found])
             c = int(p[:-1].argmax())
             if p[c] >= SURE:
-                g = grams(words)
-                alike = max(len(g & t) / min(len(g), len(t)) for t in self.templates[self.families[c]])
-                found.append((at, self.families[c], float(p[c]), alike))
-        return count, found
+                if same := [h for h in own if h[3] == self.families[c]]:
+                    return self._parts(held, same, c)
+                first = part[min((i for x, i in found.items() if self.weights[x][c] > 0), default=0)]
+                return [first[1], part[-1][1], first[2], self.families[c], float(p[c]), self._alike(words, c)]
+        return None
+
+    def _parts(self, held: list[tuple[str, int, int]], same: list[list], c: int) -> list | None:
+        """Lines that are different parts of one template as one licence; lines that repeat each other stay apart."""
+        if len(same) < 2:
+            return None
+        whole = grams([x[0] for x in held])
+        template = max(self.templates[self.families[c]], key=lambda t: len(whole & t))
+        parts = [{g for g in grams([w for w, line, _ in held if h[0] <= line <= h[1]]) & template if g.count(" ") == 2} for h in same]
+        if 2 * (sum(map(len, parts)) - len(set().union(*parts))) > min(map(len, parts)):
+            return None
+        best = max((h[4:6] for h in same), key=lambda x: (x[1] >= ALIKE, x))
+        return [same[0][0], max(h[1] for h in same), same[0][2], self.families[c], *best]
+
+    def scan(self, text: str) -> tuple[int, list[tuple[int, str, float, float]]]:
+        """Number of paragraphs, and offset, family, probability and similarity of those that are licences."""
+        hits: list[list] = []  # first and last line, offset, family, probability, similarity, whether of a window
+        recent: list[list] = []  # those of lines that the window may hold
+        held: list[tuple[str, int, int]] = []  # the window
+        count, fresh = 0, False
+
+        def look() -> None:
+            if fresh and held and held[0][1] != held[-1][1] and (got := self._window(held, recent)):
+                hits.append([*got, True])
+
+        for line, at, words, new in numbered(text):
+            count += 1
+            if held and line > held[-1][1] + 1:
+                look()
+                held, recent, fresh = [], [], False
+            if not self.words.isdisjoint(words):
+                p = self.probabilities(words)
+                c = int(p[:-1].argmax())
+                if p[c] >= SURE:
+                    hits.append([line, line, at, self.families[c], float(p[c]), self._alike(words, c), False])
+                    recent.append(hits[-1])
+            for w in new:
+                held.append((w, line, at))
+                fresh = True
+                if len(held) == PIECE:
+                    look()
+                    held, fresh = held[PIECE // 2 :], False
+                    recent = [h for h in recent if h[1] >= held[0][1]]
+        look()
+        found: dict[str, list[list]] = {}
+        for h in sorted(hits, key=lambda h: (h[0], not h[6], h[2])):
+            same = found.setdefault(h[3], [])
+            if same and h[0] <= same[-1][1] and (h[6] or same[-1][6]):
+                same[-1][1] = max(same[-1][1], h[1])
+                same[-1][4:6] = max(same[-1][4:6], h[4:6], key=lambda x: (x[1] >= ALIKE, x))
+                same[-1][6] = True
+            else:
+                same.append(h)
+        return count, [tuple(h[2:6]) for h in sorted((h for x in found.values() for h in x), key=lambda h: (h[2], h[3]))]
 
 
 def fitted(docs: DataFrame) -> Model:

@@ -1,5 +1,6 @@
 """Operators 1, 4, 10: held-out accuracy, brute force, odd input."""
 
+import textwrap
 import itertools
 import zlib
 
@@ -148,3 +149,20 @@ def test_paragraphs():
     got = list(license_scan.pieces("a b\n\n" + " ".join(f"w{i}" for i in range(100)) + "\nend"))
     assert [(at, len(w)) for at, w in got] == [(0, 2), (5, 64), (5, 64), (5, 36), (5 + 389 + 1, 1)]
     assert [w for _, w in got][1][32:] == [w for _, w in got][2][:32]
+
+
+def test_wrapped_notices_are_one_licence():
+    model = license_scan.Model().fit([])
+    prose = "Grapes ripen slowly on those hills\nwhile rivers carry silt to valleys\n"
+    for family, notice in [("apache-2.0", license_scan.TEMPLATES["apache-2.0"][1]), ("mit", license_scan.TEMPLATES["mit"][2]), ("mpl-2.0", license_scan.TEMPLATES["mpl-2.0"][0])]:
+        for width in (16, 30, 80):
+            wrapped = "\n".join(f" * {x}" for x in textwrap.wrap(notice, width))
+            count, found = model.scan(f"{prose}\n{wrapped}\n\n{prose}")
+            assert count == len(wrapped.split("\n")) + 4
+            assert [f for _, f, _, alike in found if alike >= license_scan.ALIKE] == [family], (family, width, found)
+            assert all(len(prose) < at <= len(prose) + 1 + len(wrapped) for at, *_ in found)
+    short = "Released\nunder the\nMIT\nLicense."
+    assert [x[1] for x in model.scan(short)[1]] == ["mit"]
+    assert [x[1] for x in model.scan("All rights reserved.\n\nplain words\n\nAll rights reserved.")[1]] == ["proprietary"] * 2
+    assert [x[1] for x in model.scan("All rights reserved.\nplain words\nAll rights reserved.")[1]] == ["proprietary"] * 2
+    assert model.scan(prose * 30)[1] == [] and model.scan("Released\n\nunder the\n\nMIT\n\nLicense.")[1] == [] and model.scan("") == (0, [])
