@@ -13,7 +13,9 @@ holds more than a shard. Ids of a vocabulary below 65,536 take two bytes. Writer
 only the successful attempt's name is returned, so that a lost executor or a second attempt never mixes files.
 
 Defined cases: a null text is an empty text and yields the end id alone; a null identifier sorts first; repeated
-identifiers lie side by side, all are kept, over several shards if they are many; an empty table gives no shard; other columns take no part.
+identifiers lie side by side, all are kept, over several shards if they are many, and so do rows without identifier; a
+very long text is encoded in parts that end where pre-tokens end; an empty table gives no shard; other columns take no
+part.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import re
 import struct
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 
@@ -45,6 +48,8 @@ RESTART, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 16, 64 * 1024, 10, 7
 #: Shards become larger rather than more than this.
 MOST_SHARDS = 200_000
 _SIGN = 1 << 63
+#: What stands between pre-tokens that the library gets in one text.
+BETWEEN = "\0"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -213,7 +218,7 @@ class LibraryEncoder:
     encodes each distinct pre-token once, which gives the same ids, as its merges never cross pre-tokens. Texts that hold
     the content of an added token (the end of text, say) are given to it whole, which finds those first."""
 
-    REMEMBERED = 400_000
+    REMEMBERED = 500_000
 
     def __init__(self, json_text: str):
         self.json, self.tokenizer = json_text, None
@@ -224,13 +229,17 @@ class LibraryEncoder:
     def ready(self) -> LibraryEncoder:
         if self.tokenizer is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-            self.tokenizer, self.split = (Tokenizer.from_str(self.json) for _ in range(2))
+            self.tokenizer, self.split, self.joined = (Tokenizer.from_str(self.json) for _ in range(3))
             added = self.tokenizer.get_added_tokens_decoder().values()
             self.added = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)")
             # whether texts with added tokens can be cut at blanks between words: none has or takes such a blank
             self.cut = not any(t.lstrip or t.rstrip or _blank.search(t.content) for t in added)
             self.split.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # for single pre-tokens
+            self.joined.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(BETWEEN), self.split.pre_tokenizer])  # for many at once
             self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+            self.bytes_of = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.bytes_of[i] = len(token)  # the byte-level alphabet: a character for each byte
             self.known: dict[str, bytes] = {}
             self.older: dict[str, bytes] = {}
         return self
@@ -239,12 +248,22 @@ class LibraryEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
     def _packed(self, pretokens: list[str]) -> list[bytes]:
+        """The packed ids of single pre-tokens. Many go to the library in one text, and the lengths of tokens in bytes
+        tell where each ends; those that the text cannot hold go as a list, as do all if the lengths don't add up."""
         out: list[bytes] = []
         for i in range(0, len(pretokens), 2000):
-            got = self.split.encode(pretokens[i : i + 2000], is_pretokenized=True, add_special_tokens=False)
+            part = pretokens[i : i + 2000]
+            text = BETWEEN.join(part)
+            if text.count(BETWEEN) == len(part) - 1:
+                ids = np.array(self.joined.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
+                ends, want = np.cumsum(self.bytes_of[ids]), np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)))
+                at = np.searchsorted(ends, want)
+                if len(ends) and ends[-1] == want[-1] and (ends[at] == want).all():
+                    out += _cut(ids.tobytes(), ((at + 1) * self.width).tolist())
+                    continue
+            got = self.split.encode(part, is_pretokenized=True, add_special_tokens=False)
             packed, word = np.array(got.ids, f"<u{self.width}").tobytes(), np.array(got.word_ids)
-            ends = [*((np.flatnonzero(word[1:] != word[:-1]) + 1) * self.width).tolist(), len(packed)]
-            out += [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            out += _cut(packed, [*((np.flatnonzero(word[1:] != word[:-1]) + 1) * self.width).tolist(), len(packed)])
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -256,22 +275,30 @@ class LibraryEncoder:
 
     def _short(self, texts: list[str]) -> list[bytes]:
         parts = [_latin.findall(t) if LATIN.match(t) and not self.added.search(t) else None for t in texts]
-        new = set(chain.from_iterable(p for p in parts if p)).difference(self.known)
-        if len(self.known) + len(new) > self.REMEMBERED:
-            new = new.union(w for p in parts if p for w in p)
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        back = [w for w in new if w in older]
-        known.update(zip(back, map(older.__getitem__, back), strict=True))
-        new = list(new.difference(back))
-        known.update(zip(new, self._packed(new), strict=True))
-        out = [self._whole(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
-        for w in new:
-            if len(w) > KEPT_CHARS:
-                del known[w]
+        words = list(chain.from_iterable(p for p in parts if p))
+        found = list(map(self.known.get, words))
+        if None in found:
+            at = [i for i, v in enumerate(found) if v is None]
+            new = dict.fromkeys(words[i] for i in at)
+            missing = [w for w in new if w not in self.older]
+            new.update((w, self.older[w]) for w in new if w in self.older)
+            new.update(zip(missing, self._packed(missing), strict=True))
+            for i in at:
+                found[i] = new[words[i]]
+            if len(self.known) + len(new) > self.REMEMBERED:
+                self.older, self.known = self.known, {}
+            self.known.update((w, v) for w, v in new.items() if len(w) <= KEPT_CHARS)
+        out, low = [], 0
+        for t, p in zip(texts, parts, strict=True):
+            out.append(self._whole(t) if p is None else b"".join(found[low : low + len(p)]))
+            low += len(p or ())
         return out
 
 
+def _cut(data: bytes, ends: list[int]) -> list[bytes]:
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _opened(path: str):
     fs, at = pafs.FileSystem.from_uri(path)
     return fs, at
@@ -290,7 +317,7 @@ def _size(docs: DataFrame) -> int:
 
 def write_shards(docs: DataFrame, encoder: LibraryEncoder, end_id: int, folder: str, shard_chars: int = 64_000_000) -> list[dict]:
     """Encodes doc_id, text and writes shards into a shared folder. Returns a row for each shard, in order of the
-    identifiers: path, documents, tokens. The list is as long as there are shards."""
+    identifiers: path, documents, tokens, first and last key. The list is as long as there are shards."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -298,7 +325,8 @@ def write_shards(docs: DataFrame, encoder: LibraryEncoder, end_id: int, folder:
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = min(MOST_SHARDS, max(1, math.ceil(chars / shard_chars), min(2 * deal, math.ceil(chars / 250_000))))
     at = [i / n for i in range(1, n)]
-    bounds = np.array((docs.agg(F.percentile_approx("doc_id", at, max(10_000, 20 * n))).first()[0] or []) if at else [], np.int64)
+    null_first = F.coalesce("doc_id", F.lit(-_SIGN))
+    bounds = np.array((docs.agg(F.percentile_approx(null_first, at, max(10_000, 20 * n))).first()[0] or []) if at else [], np.int64)
     shared = spark.sparkContext.broadcast((encoder, bounds))
 
     def encoded(batches):
@@ -307,7 +335,9 @@ def write_shards(docs: DataFrame, encoder: LibraryEncoder, end_id: int, folder:
         for batch in batches:
             ids = batch.column(0)
             packed = [x + end for part in groups(batch.column(1)) for x in own.encode(part)]
-            low, high = (np.searchsorted(edges, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side) for side in ("left", "right"))
+            known, null = ids.fill_null(-_SIGN).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
+            low, high = (np.searchsorted(edges, known, side) for side in ("left", "right"))
+            low = np.where((known == -_SIGN) & ~null, np.maximum(low, high - 1), low)  # after all null ones
             # an identifier so frequent that it is several bounds has several shards; a hash of the ids chooses
             shard = low + np.array([zlib.crc32(x) for x in packed], np.int64) % np.maximum(1, high - low)
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array(packed, pa.binary())], names=["shard", "doc_id", "packed"])
@@ -326,11 +356,11 @@ def write_shards(docs: DataFrame, encoder: LibraryEncoder, end_id: int, folder:
             for i in sorted(range(len(keys)), key=lambda i: (keys[i], values[i].as_py() if repeated else b"")):
                 w.add(keys[i], values[i].as_py())
             w.close()
-        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "path": [path], "documents": pa.array([w.documents], pa.int64()), "tokens": pa.array([w.tokens], pa.int64())})
+        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "path": [path], "documents": pa.array([w.documents], pa.int64()), "tokens": pa.array([w.tokens], pa.int64()), "first": pa.array([min(keys)], pa.binary()), "last": pa.array([w.last], pa.binary())})
 
     dealt = docs.mapInArrow(encoded, "shard int, doc_id long, packed binary")
-    rows = dealt.groupBy("shard").applyInArrow(stored, "shard int, path string, documents long, tokens long").collect()
-    return [r.asDict() for r in sorted(rows, key=lambda r: r["shard"])]
+    rows = dealt.groupBy("shard").applyInArrow(stored, "shard int, path string, documents long, tokens long, first binary, last binary").collect()
+    return [r.asDict() | {k: bytes(r[k]) for k in ("first", "last")} for r in sorted(rows, key=lambda r: r["shard"])]
 
 
 def read_shards(spark: SparkSession, shards: list[dict]) -> DataFrame:
@@ -366,13 +396,17 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def lookup(shards: list[dict], doc_id: int | None) -> list[np.ndarray]:
-    """The ids of a document, from the one or two shards that can hold it; a shard's filter spares reading its blocks."""
+    """The ids of a document: one for each row of a repeated identifier. Bisects the shards' key ranges and opens those
+    that can hold it, one unless an identifier is spread; a shard's filter spares reading its blocks."""
     found: list[np.ndarray] = []
-    for s in shards:
+    key = key_of(doc_id)
+    for s in shards[bisect_left(shards, key, key=lambda s: s["last"]) :]:
+        if s["first"] > key:
+            break
         fs, place = _opened(s["path"])
         with fs.open_input_file(place) as file:
             r = Reader(file, file.size())
-            found += [np.frombuffer(v, f"<u{r.width}").astype(np.int64) for v in r.get(key_of(doc_id))]
+            found += [np.frombuffer(v, f"<u{r.width}").astype(np.int64) for v in r.get(key)]
     return found
 
 

@@ -96,9 +96,7 @@ def encoder():
 
 
 def whole(text):
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
 
 
 def check_shards(rows, got):
@@ -158,6 +156,39 @@ def test_frequent_identifier_has_several_shards(spark, encoder):
     assert max(s["documents"] for s in shards) < 30 and len(sstable.lookup(shards, 7)) == 60
 
 
+def test_rows_without_identifier_are_spread(spark, encoder):
+    rows = [(None if i % 3 == 0 else -(2**63) if i == 1 else i, f"text number {i} " * 20) for i in range(120)]
+    shards = sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), encoder, 2, sstable.new_folder(spark), shard_chars=3000)
+    got = sstable.read_shards(spark, shards).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert max(s["documents"] for s in shards) < 30 and len(sstable.lookup(shards, None)) == 40
+    assert all(s["first"] <= s["last"] for s in shards) and all(a["last"] <= b["first"] for a, b in zip(shards, shards[1:], strict=False))
+
+
+def test_lookup_opens_only_shards_that_can_hold_it(spark, encoder, monkeypatch):
+    rows = [(i, f"text number {i} " * 20) for i in range(120)]
+    shards = sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), encoder, 2, sstable.new_folder(spark), shard_chars=3000)
+    opened, real = [], sstable._opened
+    monkeypatch.setattr(sstable, "_opened", lambda path: opened.append(path) or real(path))
+    assert len(shards) > 5 and [len(sstable.lookup(shards, i)) for i in (0, 60, 119, 500)] == [1, 1, 1, 0]
+    assert len(opened) == 3
+
+
+def test_pretokens_that_hold_the_separator(encoder):
+    own = encoder.ready()
+    words = [" a", "\0", "b\0c", " é", "\0\0", " words"]
+    assert own._packed(words) == [own._packed([w])[0] for w in words]
+    text = "some\0 words \0\0 and more"
+    assert np.frombuffer(own.encode([text])[0], "<u2").tolist() == whole(text)
+
+
+def test_known_pretokens_are_forgotten_in_turns(encoder, monkeypatch):
+    own = sstable.LibraryEncoder(encoder.json).ready()
+    monkeypatch.setattr(own, "REMEMBERED", 5, raising=False)
+    for text in ("a b c d e f g h i j k a b c", "xyzzyq " * 50 + "plugh", "q" * 100, "a b c"):
+        assert np.frombuffer(own.encode([text])[0], "<u2").tolist() == whole(text)
+
+
 def test_long_texts_are_cut_where_pretokens_end(encoder):
     from graniteql.llm import pretokens
 
