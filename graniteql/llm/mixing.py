@@ -1,19 +1,23 @@
 """Operator 7: mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 A source's documents, in the order of a hash, form one stream of words; the stream is cut into blocks of equally many
-words. A source whose target is e whole passes and a rest gives all its words e times and, for the rest, an exact
-quota of its blocks: the first ones of a pseudo-random permutation. The tree starts with all sources' quotas and
-splits them again and again between two halves of the output shards, each time by a draw without replacement
-(multivariate hypergeometric), until a leaf holds one shard's quota of every source. As leaves of a source take
-disjoint ranges of its permutation, no block is drawn twice in a pass, and every document finds its own blocks'
-shards by arithmetic alone: no row is moved to be mixed. Within a shard, pieces are in the order of a hash.
-
-The driver holds a row for each source and a quota for each shard and source, nothing that grows with the documents.
-Positions in the stream are sums over two levels, hash ranges and rows within a range, with the square root of the
-source's rows at either level; so a source with a third of all rows is spread over many tasks.
+words. A source whose target is e whole passes and a rest has a quota of e times its blocks and, for the rest, so many
+more. The tree starts with all sources' quotas and splits them again and again between two halves of the output shards,
+each time by a draw without replacement (multivariate hypergeometric), until a leaf holds one shard's quota of every
+source. A shard draws the blocks of a range of each source's pseudo-random permutation, and the leaves' ranges follow
+one another; so no block is drawn twice in a pass, a block beyond all leaves is drawn by none, and every document finds
+its own blocks' shards by arithmetic alone. The pieces then go to their shards, are shuffled there (the order of a hash)
+and written. What the mix takes of a document is summed up from the written shards.
+
+The driver holds a row for each source and a quota for each shard and source; shards have SHARD_WORDS words. Positions
+in the stream are sums over two levels, hash ranges and rows within a range, with the square root of the source's rows
+at either level; so a source with a third of all rows is spread over many tasks, as are rows without identifier (the
+hash takes the text in). Quotas of more blocks than the sampler takes are drawn in strata, each of which is a tree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a source without words has
-target 0; repeated rows are documents of their own; an empty table gives an empty result. Extra columns take no part.
+target 0; repeated rows are documents of their own (many rows alike in id and text lie in one range); a very long text
+has as many pieces as blocks; ties of the hash go by identifier and size; an empty table gives an empty result. Extra
+columns take no part.
 """
 
 from __future__ import annotations
@@ -23,39 +27,27 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graniteql.llm.common import ship, written
+from graniteql.llm.common import forget, ship, written
 
-#: Words in a block, unless the blocks would be too many for the sampler; most times that a word may be taken.
+#: Words in a block; most blocks that the sampler takes at once; most times that a word may be taken.
 BLOCK_WORDS, MOST_BLOCKS, MOST_TIMES = 64, 500_000_000, 3
-_SPACES = np.zeros(256, bool)
-_SPACES[[32, 9, 10, 11, 12, 13]] = True
+#: Words of a shard, and the least number of shards.
+SHARD_WORDS, LEAST_SHARDS = 64_000_000, 64
+SPACES = " \t\n\x0b\x0c\r"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the number of words."""
-    ship(docs.sparkSession)
+def words_in(text: Column) -> Column:
+    """The number of words: each word and the blanks after it become one letter, and letters are counted."""
+    inner = F.ltrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(SPACES))
+    return F.length(F.regexp_replace(inner, r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "w")).cast("long")
 
-    def count(batches):
-        for batch in batches:
-            texts = batch.column(2).cast(pa.large_string()).fill_null("")
-            _, edges, data = texts.buffers()
-            edges = np.frombuffer(edges, np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
-            n = np.zeros(len(texts), np.int64)
-            if edges[-1] > edges[0]:
-                space = _SPACES[np.frombuffer(data, np.uint8, edges[-1] - edges[0], edges[0])]
-                first = ~space
-                first[1:] &= space[:-1]
-                edges = edges - edges[0]
-                starts = edges[:-1][np.diff(edges) > 0]
-                first[starts] = ~space[starts]
-                at = np.flatnonzero(first)
-                n = np.diff(np.searchsorted(at, edges))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "size"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, source string, size long")
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size: the number of words; salt: a hash of text and source."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words_in(F.col("text")).alias("size"), F.xxhash64("text", "source").alias("salt"))
 
 
 def targets(totals: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3)) -> dict[str | None, Fraction]:
@@ -87,13 +79,18 @@ def split(quotas: np.ndarray, shards: int, seed: int = 0) -> np.ndarray:
         mid = (low + high) // 2
         total = int(share.sum())
         sample = (total * (mid - low) + (high - low) // 2) // (high - low)
-        rng = np.random.Generator(np.random.PCG64([seed, low, high]))
+        rng = np.random.Generator(np.random.PCG64([seed, low, high, i]))
         left = rng.multivariate_hypergeometric(share, sample, method="marginals") if total else share
         down(left, low, mid)
         down(share - left, mid, high)
 
-    down(np.asarray(quotas, np.int64), 0, shards)
-    return out
+    quotas = np.asarray(quotas, np.int64)
+    strata = max(1, -(-int(quotas.sum()) // MOST_BLOCKS))
+    total = np.zeros_like(out)
+    for i in range(strata):
+        down(quotas // strata + (i < quotas % strata), 0, shards)
+        total += out
+    return total
 
 
 def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -125,23 +122,37 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 class Plan:
     """What the driver knows of each source, by its number."""
 
-    block: int
     words: np.ndarray  # of the source
     passes: np.ndarray  # whole passes
     full: np.ndarray  # blocks that are whole
-    quota: np.ndarray  # whole blocks of the last pass
-    cut: np.ndarray  # words of the block after them
+    cut: np.ndarray  # words of the block after the quota
     ends: np.ndarray  # by shard and source: where a shard's range of the permuted blocks of all passes ends
     seed: int
 
+    def drawn(self, s: np.ndarray, p: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that the mix takes of blocks at these places of a pass's permutation, and the shard that draws each;
+        the shard is -1 for what no leaf of the tree holds: the source's last block, which is not whole, and the one
+        that is cut where the quota ends."""
+        rank, quota = p * self.full[s] + place, self.ends[-1][s]
+        whole = place < self.full[s]
+        held = whole & (rank < quota)
+        rest = np.where(whole, BLOCK_WORDS, self.words[s] - self.full[s] * BLOCK_WORDS)
+        last = (p == self.passes[s]) & (rank == quota)
+        length = np.where(held, BLOCK_WORDS, np.where(last, np.minimum(self.cut[s], rest), np.where(~whole & (p < self.passes[s]), rest, 0)))
+        shard = np.full(len(s), -1)
+        for k in np.unique(s[held]):
+            own = held & (s == k)
+            shard[own] = np.searchsorted(self.ends[:, k], rank[own], "right")
+        return length, shard
+
     def pieces(self, source: np.ndarray, start: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
         """Of documents at these places in their streams: row, pass, first word, words, shard, order of each piece."""
         parts = []
         for p in range(MOST_TIMES + 1):
-            rows = np.flatnonzero((size > 0) & (p <= self.passes[source]) & ((p < self.passes[source]) | (self.quota[source] + self.cut[source] > 0)))
+            rows = np.flatnonzero((size > 0) & (p <= self.passes[source]))
             if not len(rows):
                 continue
-            first, last = start[rows] // self.block, (start[rows] + size[rows] - 1) // self.block
+            first, last = start[rows] // BLOCK_WORDS, (start[rows] + size[rows] - 1) // BLOCK_WORDS
             n = last - first + 1
             row = np.repeat(rows, n)
             block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
@@ -149,102 +160,134 @@ class Plan:
             whole = block < self.full[s]
             key = (s.astype(np.uint64) * np.uint64(64) + np.uint64(p)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(self.seed)
             place = np.where(whole, permuted(np.where(whole, block, 0), np.maximum(self.full[s], 1), key), self.full[s])
-            partial = p == self.passes[s]
-            length = np.where(whole, self.block, self.words[s] - self.full[s] * self.block)
-            length = np.where(partial & (place == self.quota[s]), self.cut[s], np.where(partial & (place > self.quota[s]), 0, length))
-            low = np.maximum(start[row], block * self.block)
-            high = np.minimum(start[row] + size[row], block * self.block + length)
+            length, shard = self.drawn(s, p, place)
+            low = np.maximum(start[row], block * BLOCK_WORDS)
+            high = np.minimum(start[row] + size[row], block * BLOCK_WORDS + length)
+            order = permuted(block, np.full(len(block), 1 << 40), key)
+            shard = np.where(shard < 0, order % len(self.ends), shard)
             keep = high > low
-            row, s, block, place, low, high, whole, partial, key = (v[keep] for v in (row, s, block, place, low, high, whole, partial, key))
-            drawn = whole & (~partial | (place < self.quota[s]))
-            rank = p * self.full[s] + place
-            mixed = permuted(block, np.full(len(block), 1 << 40), key)
-            shard = mixed % len(self.ends)
-            for k in np.unique(s[drawn]):
-                own = drawn & (s == k)
-                shard[own] = np.searchsorted(self.ends[:, k], rank[own], "right")
-            parts.append({"row": row, "pass": np.full(len(row), p), "first": low - start[row], "words": high - low, "shard": shard, "order": mixed})
+            found = {"row": row, "pass": np.full(len(row), p), "first": low - start[row], "words": high - low, "shard": shard, "order": order}
+            parts.append({k: v[keep] for k, v in found.items()})
         return {k: np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int64) for k in ("row", "pass", "first", "words", "shard", "order")}
 
+    def whole(self, source: np.ndarray, start: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
+        """The same for whole documents: the stream, which is in the order of a hash, is the permutation, and a document
+        goes with the word in its middle. row, shard, order."""
+        parts = []
+        middle = start + size // 2
+        for p in range(MOST_TIMES + 1):
+            rows = np.flatnonzero((size > 0) & (p <= self.passes[source]))
+            s, place = source[rows], middle[rows] // BLOCK_WORDS
+            length, shard = self.drawn(s, p, place)
+            keep = middle[rows] - place * BLOCK_WORDS < length
+            key = (s.astype(np.uint64) * np.uint64(64) + np.uint64(p)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(self.seed)
+            order = permuted(start[rows] % (1 << 40), np.full(len(rows), 1 << 40), key)
+            parts.append({"row": rows[keep], "shard": np.where(shard < 0, order % len(self.ends), shard)[keep], "order": order[keep]})
+        return {k: np.concatenate([x[k] for x in parts]) for k in ("row", "shard", "order")}
+
 
-def plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64, seed: int = 7) -> tuple[Plan, list[tuple]]:
-    """The plan, and a row for each source: source, number, size, target, documents."""
-    found = {r["source"]: (int(r["words"] or 0), r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()}
+def plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int | None = None, seed: int = 7) -> tuple[Plan, list[tuple]]:
+    """The plan, and a row for each source: source, number, size, target, documents with words."""
+    found = {r["source"]: (int(r["words"] or 0), r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count_if(F.col("size") > 0).alias("n")).collect()}
     order = sorted(found, key=lambda s: (s is None, s or ""))
     target = targets({s: found[s][0] for s in found}, weights)
     words = np.array([found[s][0] for s in order], np.int64)
     goal = np.array([round(target[s]) for s in order], np.int64)
-    block = max(BLOCK_WORDS, -(-int(goal.sum()) // MOST_BLOCKS))
     passes = np.where(words > 0, goal // np.maximum(words, 1), 0)
     need = goal - passes * words
-    full = words // block
-    quota = np.minimum(need // block, full)
+    full = words // BLOCK_WORDS
+    quota = np.minimum(need // BLOCK_WORDS, full)
+    shards = shards or max(LEAST_SHARDS, -(-int(goal.sum()) // SHARD_WORDS))
     tree = split(passes * full + quota, shards, seed)
-    return Plan(block, words, passes, full, quota, need - quota * block, np.cumsum(tree, 0), seed), [(s, i, int(words[i]), float(target[s]), found[s][1]) for i, s in enumerate(order)]
+    return Plan(words, passes, full, need - quota * BLOCK_WORDS, np.cumsum(tree, 0), seed), [(s, i, int(words[i]), float(target[s]), found[s][1]) for i, s in enumerate(order)]
 
 
 def placed(sized: DataFrame, sources: list[tuple], seed: int = 7) -> DataFrame:
-    """Adds number, source_size, target, and start: the words of the source before the document."""
+    """Adds number, source_size, target, and start: the words of the source before the document; -1 for a document
+    without words, which is nowhere."""
     spark = sized.sparkSession
-    known = spark.createDataFrame(sources, "source_ string, number int, source_size long, target double, n long")
-    h = F.xxhash64("doc_id", F.lit(seed))
+    known = F.broadcast(spark.createDataFrame(sources, "source_ string, number int, source_size long, target double, n long"))  # the driver has them
+    h = F.xxhash64("doc_id", "salt", F.lit(seed))
     ranges = F.ceil(F.sqrt("n"))
-    rows = sized.join(known, sized["source"].eqNullSafe(known["source_"])).select("doc_id", "size", "number", "source_size", "target", h.alias("h"), F.floor(F.pmod(F.shiftrightunsigned(h, 16), F.lit(1 << 40)) * ranges / (1 << 40)).cast("long").alias("range"))
+    rows = sized.join(known, sized["source"].eqNullSafe(known["source_"])).select("doc_id", "salt", "size", "number", "source_size", "target", h.alias("h"), F.floor(F.pmod(F.shiftrightunsigned(h, 16), F.lit(1 << 40)) * ranges / (1 << 40)).cast("long").alias("range"))
+    nowhere = rows.where("size = 0").withColumn("start", F.lit(-1).cast("long")).drop("h", "range")
+    rows = rows.where("size > 0")
     sums = rows.groupBy("number", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("number").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("number", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("number", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return rows.join(sums, ["number", "range"]).withColumn("start", F.col("before") + F.col("within")).drop("within", "before", "h", "range")
+    rows = rows.join(sums, ["number", "range"]).withColumn("start", F.col("before") + F.col("within")).drop("within", "before", "h", "range")
+    return rows.unionByName(nowhere)
 
 
 def _columns(batch) -> list[np.ndarray]:
     return [batch.column(k).to_numpy(zero_copy_only=False) for k in ("number", "start", "size")]
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64, seed: int = 7) -> DataFrame:
-    """The mix: a row for each piece of a document, with its shard and its order there."""
+def _planned(docs: DataFrame, weights: tuple[int, ...], shards: int | None, seed: int):
+    """The documents at their places, written, and the plan as a broadcast."""
+    ship(docs.sparkSession)
     own = written(sizes(docs), "sizes")
     made, sources = plan(own, weights, shards, seed)
-    shared = docs.sparkSession.sparkContext.broadcast(made)
+    at = written(placed(own, sources, seed), "placed")
+    forget(own)
+    return at, docs.sparkSession.sparkContext.broadcast(made)
+
+
+def pieces(at: DataFrame, shared) -> DataFrame:
+    """number, start, doc_id, pass, first_word, words, shard, order: a row for each piece of a document in the mix."""
 
     def draw(batches):
         for batch in batches:
             x = shared.value.pieces(*_columns(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(x["row"])), *(pa.array(x[k].astype(np.int64)) for k in ("pass", "first", "words", "shard", "order"))], names=["doc_id", "pass", "first_word", "words", "shard", "order"])
+            rows = pa.array(x["row"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in ("number", "start", "doc_id")), *(pa.array(x[k].astype(np.int64)) for k in ("pass", "first", "words", "shard", "order"))], names=["number", "start", "doc_id", "pass", "first_word", "words", "shard", "order"])
 
-    return placed(own, sources, seed).mapInArrow(draw, "doc_id long, pass long, first_word long, words long, shard long, order long")
+    return at.where("size > 0").select("number", "start", "size", "doc_id").mapInArrow(draw, "number int, start long, doc_id long, pass long, first_word long, words long, shard long, order long")
 
 
-def shuffled(pieces: DataFrame, shards: int = 64) -> DataFrame:
-    """Brings a shard's pieces together, in their local order."""
-    return pieces.repartitionByRange(shards, "shard", "order").sortWithinPartitions("shard", "order", "doc_id", "first_word")
+def shuffled(mix: DataFrame, *ties: str) -> DataFrame:
+    """Brings each shard's rows together, in their local order."""
+    return mix.repartitionByRange("shard", "order", *ties).sortWithinPartitions("shard", "order", *ties)
 
 
-def taken(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken: how many of a document's words the mix has, repeats counted."""
-    own = written(sizes(docs), "sizes")
-    made, sources = plan(own, weights, shards, seed)
-    shared = docs.sparkSession.sparkContext.broadcast(made)
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int | None = None, seed: int = 7) -> DataFrame:
+    """The mix, shard by shard: a row for each piece of a document: doc_id, pass, first_word, words, shard, order."""
+    at, shared = _planned(docs, weights, shards, seed)
+    return shuffled(pieces(at, shared), "number", "start", "first_word").drop("number", "start")
+
+
+def taken(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int | None = None, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target, taken: how many of a document's words the written shards of the mix have,
+    repeats counted."""
+    at, shared = _planned(docs, weights, shards, seed)
+    mix = written(shuffled(pieces(at, shared), "number", "start", "first_word"), "mix")
+    sums = mix.groupBy("number", "start").agg(F.sum("words").alias("taken"))
+    columns = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")]
+    out = at.where("size > 0").join(sums, ["number", "start"], "left").select(columns)
+    return out.unionByName(at.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
+
+
+def resampled(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int | None = None, seed: int = 7) -> DataFrame:
+    """The mix in whole documents, with their columns, shard by shard in each shard's local order: a document is drawn
+    with the word in its middle, so that a source's words miss its target by one document at most. Rows alike in
+    identifier, text and source come equally often; rows without words come once, in the first shard."""
+    at, shared = _planned(docs, weights, shards, seed)
 
     def draw(batches):
         for batch in batches:
-            x = shared.value.pieces(*_columns(batch))
-            n = np.bincount(x["row"], x["words"], batch.num_rows).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "size", "source_size", "target")), pa.array(n)], names=["doc_id", "size", "source_size", "target", "taken"])
-
-    return placed(own, sources, seed).mapInArrow(draw, "doc_id long, size long, source_size long, target double, taken long")
-
-
-def resampled(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
-    """The mix in whole documents, with their columns: a row comes as often as the mix takes its words, and a rest of
-    its words is rounded up or down by a hash of the row, so that a source's words come near its target. Rows without
-    identifier are told apart by text and source; rows alike in all that come equally often; rows without words come
-    once."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", "source"))
-    docs = docs.withColumn("__key", key)
-    drawn = taken(docs.select(F.col("__key").alias("doc_id"), "source", "text"), weights, seed=seed)
-    part = F.col("taken") / F.col("size") + F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = drawn.select(F.col("doc_id").alias("__key"), F.when(F.col("size") == 0, 1).otherwise(F.floor(part)).cast("int").alias("__times")).groupBy("__key").agg(F.max("__times").alias("__times"))
-    rows = docs.join(drawn.where("__times > 0"), "__key")
-    return rows.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__key", "__times", "__time")
+            x = shared.value.whole(*_columns(batch))
+            order = np.argsort(x["row"], kind="stable")
+            ends = np.searchsorted(x["row"][order], np.arange(batch.num_rows + 1))
+            places = pa.StructArray.from_arrays([pa.array(x[k][order].astype(np.int64)) for k in ("shard", "order")], ["shard", "order"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "salt")), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places)], names=["__doc", "__salt", "__places"])
+
+    first = at.where("size > 0").groupBy("doc_id", "salt").agg(F.min(F.struct("start", "number", "size")).alias("at")).select("doc_id", "salt", "at.*")
+    drawn = first.mapInArrow(draw, "__doc long, __salt long, __places array<struct<shard:long,order:long>>")
+    once = F.array(F.struct(F.lit(0).cast("long").alias("shard"), F.xxhash64("doc_id").alias("order")))
+    drawn = drawn.unionByName(at.where("size = 0").select(F.col("doc_id").alias("__doc"), F.col("salt").alias("__salt"), once.alias("__places")).dropDuplicates(["__doc", "__salt"]))
+    rows = docs.withColumn("__key", F.xxhash64("text", "source"))
+    rows = rows.join(drawn, docs["doc_id"].cast("long").eqNullSafe(drawn["__doc"]) & (F.col("__key") == drawn["__salt"]))
+    rows = rows.withColumn("__place", F.explode("__places")).withColumn("__shard", F.col("__place.shard")).withColumn("__order", F.col("__place.order"))
+    return rows.repartitionByRange("__shard", "__order").sortWithinPartitions("__shard", "__order").drop("__key", "__places", "__place", "__doc", "__salt", "__shard", "__order")

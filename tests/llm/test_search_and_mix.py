@@ -1,5 +1,6 @@
 """Operators 5, 6, 7: against brute force."""
 
+import math
 import re
 from fractions import Fraction
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from graniteql.llm import ann, mixing, queries, url_reputation
 
@@ -183,8 +185,121 @@ def test_pieces_are_disjoint_and_add_up(spark, odd, empty, odd_rows):
     for _, g in pieces[pieces.doc_id == 9].groupby("pass"):
         spans = sorted(zip(g["first_word"], g["first_word"] + g["words"], strict=True))
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
-    assert mixing.shuffled(mixing.mixed(odd, shards=5), 5).count() == len(pieces)
     assert mixing.taken(empty).count() == 0 and mixing.mixed(empty).count() == 0
     out = mixing.resampled(odd)
     assert out.columns == odd.columns
     assert mixing.resampled(empty).count() == 0
+
+
+def permuted(x, n, key):
+    """One value of the permutation, in plain numbers."""
+    mask64 = 2**64 - 1
+    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        a, b = x >> half, x & mask
+        for r in range(4):
+            m = (b * 0x9E3779B97F4A7C15 + key + (0xBF58476D1CE4E5B9 * (r + 1) & mask64)) & mask64
+            m ^= m >> 29
+            m = m * 0x94D049BB133111EB & mask64
+            m ^= m >> 32
+            a, b = b, a ^ (m & mask)
+        x = a << half | b
+        if x < n:
+            return x
+
+
+def brute_taken(spark, docs, seed=7):
+    """(doc_id, size) -> words taken, word by word: every word of a stream knows its block, every block its place."""
+    sized = mixing.sizes(docs)
+    rows = sized.select("*", F.xxhash64("doc_id", "salt", F.lit(seed)).alias("h")).collect()
+    want = mixing.targets({s: sum(r["size"] for r in rows if r["source"] == s) for s in {r["source"] for r in rows}})
+    out = {}
+    for number, s in enumerate(sorted(want, key=lambda s: (s is None, s or ""))):
+        own = [r for r in rows if r["source"] == s and r["size"]]
+        words, goal = sum(r["size"] for r in own), round(want[s])
+        if not words:
+            continue
+        n = math.ceil(math.sqrt(len(own)))
+        own.sort(key=lambda r: ((((r["h"] & 2**64 - 1) >> 16) & (1 << 40) - 1) * n // (1 << 40), r["h"], r["doc_id"] or 0, r["size"]))
+        full, passes = words // 64, goal // words
+        quota = min((goal - passes * words) // 64, full)
+        cut = goal - passes * words - quota * 64
+        at = 0
+        for r in own:
+            got = 0
+            for p in range(passes + 1):
+                key = (number * 64 + p) * 0xD6E8FEB86659FD93 + seed & 2**64 - 1
+                place = {b: permuted(b, full, key) if b < full else full for b in range(at // 64, (at + r["size"] - 1) // 64 + 1)}
+                got += sum(p < passes or place[w // 64] < quota or place[w // 64] == quota and w % 64 < cut for w in range(at, at + r["size"]))
+            at += r["size"]
+            out[r["doc_id"], r["salt"]] = out.get((r["doc_id"], r["salt"]), 0) + got
+    return out
+
+
+def test_taken_by_brute_force(spark, odd):
+    for docs in (spark.read.parquet(f"{SMALL}/documents.parquet").where("n_chars < 4000"), odd):
+        want = brute_taken(spark, docs)
+        salts = {(r["doc_id"], r["size"], r["salt"]) for r in mixing.sizes(docs).collect()}
+        got = {}
+        for r in mixing.taken(docs).collect():
+            got.setdefault((r["doc_id"], r["size"]), []).append(r["taken"])
+        expected = {}
+        for i, size, salt in salts:
+            expected[i, size] = expected.get((i, size), 0) + want.get((i, salt), 0)
+        assert {k: sum(v) for k, v in got.items()} == expected
+
+
+def test_result_comes_through_the_tree(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = {r["doc_id"]: r["taken"] for r in mixing.taken(docs).collect()}
+    kept = mixing.resampled(docs).count()
+    real = mixing.split
+    monkeypatch.setattr(mixing, "split", lambda quotas, shards, seed=0: real(np.asarray(quotas) // 2, shards, seed))
+    half = {r["doc_id"]: r["taken"] for r in mixing.taken(docs).collect()}
+    assert 0.45 * sum(want.values()) < sum(half.values()) < 0.6 * sum(want.values())
+    assert mixing.resampled(docs).count() < kept
+    monkeypatch.setattr(mixing, "split", lambda quotas, shards, seed=0: np.zeros((shards, len(quotas)), np.int64))
+    assert sum(r["taken"] for r in mixing.taken(docs).collect()) < 0.05 * sum(want.values())
+
+
+def test_shards_hold_the_tree_s_quotas(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    made, sources = mixing.plan(mixing.sizes(docs), shards=8)
+    tree = np.diff(np.vstack([np.zeros(len(sources), np.int64), made.ends]), axis=0)
+    number = {s[0]: s[1] for s in sources}
+    mix = mixing.mixed(docs, shards=8).toPandas().merge(docs.select("doc_id", "source").toPandas(), on="doc_id")
+    for (shard, source), g in mix.groupby(["shard", "source"]):
+        # whole blocks by the tree; but for them a source has two blocks that are not whole in each pass at most
+        assert abs(g.words.sum() - tree[shard][number[source]] * 64) <= 8 * 64
+    for _, g in mix.groupby("shard", sort=False):
+        assert g.order.is_monotonic_increasing and len(set(zip(g.doc_id, g["pass"], g.first_word, strict=True))) == len(g)
+
+
+def test_strata_are_trees(monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 50)
+    tree = mixing.split(np.array([70, 3, 0, 200]), 7)
+    assert (tree >= 0).all() and tree.sum(0).tolist() == [70, 3, 0, 200] and tree.sum(1).max() - tree.sum(1).min() <= 7 * 6
+
+
+def test_hot_and_repeated_rows_in_the_mix(spark):
+    rows = [(None if i % 3 else i, f"text {i % 50} of source " * (i % 7), "s" if i % 2 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    at = mixing.placed(mixing.sizes(docs), mixing.plan(mixing.sizes(docs))[1])
+    for number in (0, 1):  # places are disjoint and without gaps
+        own = sorted((r["start"], r["size"]) for r in at.where(f"size > 0 and number = {number}").collect())
+        assert [s for s, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()]
+    got = mixing.taken(docs).collect()
+    assert len(got) == 300 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+
+
+def test_whole_documents_meet_their_targets(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = mixing.resampled(docs).toPandas()
+    got["n"], words = sizes_of(got.text), dict(zip((d := docs.toPandas()).doc_id, sizes_of(d.text), strict=True))
+    d["n"] = d.doc_id.map(words)
+    want = mixing.targets({k: int(v) for k, v in d.groupby("source").n.sum().items()})
+    assert got.doc_id.value_counts().max() <= 3
+    for s, g in d.groupby("source"):
+        assert abs(got[got.source == s].n.sum() - float(want[s])) <= g.n.max()
+    assert got.sort_values("doc_id").doc_id.tolist() == mixing.resampled(docs).toPandas().sort_values("doc_id").doc_id.tolist()
