@@ -14,6 +14,8 @@ from graniteql.llm import ann, mixing, queries, url_reputation
 
 from ..conftest import MIDDLE, SMALL
 
+LARGE = "/root/testdata/sf0.1"
+
 
 def brute(ids, x, k=20, every=20):
     out = {}
@@ -42,22 +44,65 @@ def test_op5(spark):
     assert all(abs(a - dict(want[q]).get(v, a)) < 1e-12 for q in got for v, a in got[q])
 
 
+def test_recall_and_share(spark):
+    """Over the 2,000 vectors of sf0.1, uniform on the sphere, the hardest case for codes of 64 bits."""
+    vectors = spark.read.parquet(f"{LARGE}/embeddings.parquet")
+    p, figures = vectors.toPandas(), {}
+    want = brute(p.vec_id.values, np.array(p.embedding.tolist(), float))
+    got = nearest(ann.search(vectors, figures=figures).collect())
+    recall = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+    share = figures["pairs"] / (figures["queries"] * figures["codes"])
+    print(f"recall {recall:.3f}, reranked {share:.3f} of all pairs")
+    assert recall >= 0.95 and share < 0.3
+    assert all(abs(a - dict(want[q]).get(v, a)) < 1e-12 for q in got for v, a in got[q])
+
+
+def by_rows(rows, k, every):
+    """The same search row by row: every other row is a candidate."""
+    out = []
+    for i, (q_id, q) in enumerate(rows):
+        if q_id is not None and q_id % every == 0:
+            scored = sorted((-float(np.dot(q, x)), v is None, v or 0) for j, (v, x) in enumerate(rows) if j != i)[:k]
+            out += [(q_id, rank + 1, None if null else v, -s) for rank, (s, null, v) in enumerate(scored)]
+    return sorted(out, key=lambda r: (r[0], r[1], r[2] or 0))
+
+
 def test_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(ann, "CANDIDATES", 40)
     monkeypatch.setattr(ann, "QUERIES", 3)
-    monkeypatch.setattr(ann, "LOT", 16)
+    monkeypatch.setattr(ann, "AT_ONCE", 64)
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(120, 6))
+    x = rng.integers(-9, 10, size=(120, 6)).astype(float)
     x[30:70] = x[5]  # one vector with many copies
     x[:40] *= 100
-    rows = [(i, v.tolist(), "label") for i, v in enumerate(x)]
-    odd = [(200, None, ""), (201, [], ""), (202, [0.0] * 6, ""), (203, [1.0, None, 0.0, 0.0, 0.0, 0.0], ""), (204, [float("nan")] * 6, ""), (205, [float("inf")] + [0.0] * 5, ""), (206, [1.0] * 5, ""), (None, [1.0] * 6, ""), (7, x[7].tolist(), "")]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score string")
-    got, want = nearest(ann.search(df, k=7).collect()), brute(np.arange(120), x, 7)
-    assert {q: [v for v, _ in r] for q, r in got.items()} == {q: [v for v, _ in r] for q, r in want.items()}
+    good = [(i, v) for i, v in enumerate(x)] + [(7, x[7]), (20, x[20]), (20, x[20]), (20, x[3]), (None, x[20]), (None, x[20]), (60, x[9])]
+    odd = [(200, None, ""), (201, [], ""), (202, [0.0] * 6, ""), (203, [1.0, None, 0.0, 0.0, 0.0, 0.0], ""), (204, [float("nan")] * 6, ""), (205, [float("inf")] + [0.0] * 5, ""), (206, [1.0] * 5, ""), (207, [-0.0] * 6, "")]
+    df = spark.createDataFrame([(i, v.tolist(), "label") for i, v in good] + odd, "vec_id long, embedding array<double>, score string").repartition(5)
+    got = sorted((tuple(r) for r in ann.search(df, k=7, sure=6).collect()), key=lambda r: (r[0], r[1], r[2] or 0))
+    assert got == by_rows(good, 7, 20)
     assert ann.search(df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.1])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann.search(few).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
+    alone = spark.createDataFrame([(0, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert ann.search(alone).count() == 0
+
+
+def test_result_does_not_follow_the_tiles(spark, monkeypatch):
+    vectors = spark.read.parquet(f"{MIDDLE}/embeddings.parquet")
+    want = nearest(ann.search(vectors).collect())
+    monkeypatch.setattr(ann, "CANDIDATES", 33)
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    assert nearest(ann.search(vectors.repartition(7)).collect()) == want
+
+
+def test_estimates_are_unbiased_and_as_sure_as_they_say():
+    rng = np.random.default_rng(1)
+    for d in (6, 64, 100):
+        x, q = rng.normal(size=(4000, d)) + 0.3, rng.normal(size=(50, d)) * 5
+        center, turn = x.mean(0), ann.rotation(d)
+        guess, error = ann.Asked(q, center, turn).estimates(slice(0, 50), *ann.encoded(x, center, turn))
+        z = (guess - q @ x.T) / error
+        assert abs(z.mean()) < 0.05 and 0.8 < z.std() < 1.1 and (np.abs(z) < 4).mean() > 0.999
 
 
 def judge(url):
