@@ -8,8 +8,9 @@ scalars the inner product with the vector follows without bias, with an error of
 
 `search` takes two passes over codes alone. Queries and codes meet in tiles of a bounded size. The first pass gives each
 query the vectors of the largest estimates; their exact scores give a bound that the k nearest reach. The second pass
-keeps the pairs whose estimate plus SURE times its error reaches that bound. A join then brings these pairs' vectors
-together, and only theirs, and exact scores decide. How rows are dealt over tiles has no part in the result.
+keeps, as a list for each query and tile, the candidates whose estimate plus SURE times its error reaches that bound. A
+join then brings the vectors that are in any of a tile's lists, and exact scores decide: a tile gives k rows for each
+query, never its pairs. How rows are dealt over tiles has no part in the result.
 
 Copies are one distinct vector: it is coded, searched for and compared once, and of its identifiers the k + 1 smallest
 are kept, as no more can be among anyone's k nearest. The centroid is the mean of at most SAMPLE vectors; all vectors
@@ -34,9 +35,10 @@ from pyspark.sql import functions as F
 
 from graniteql.llm.common import forget, ship, some, written
 
-SURE, SAMPLE, PLANES, FIRST = 1.6, 4096, 4, 6
-#: Most queries and candidates in a tile; pairs that are compared at once.
-QUERIES, CANDIDATES, AT_ONCE = 1024, 16_384, 1 << 18
+SURE, SAMPLE, PLANES, FIRST = 1.6, 4096, 4, 3
+#: Most queries and candidates in a tile; tiles of one block of candidates whose vectors come together; pairs that are
+#: compared at once.
+QUERIES, CANDIDATES, TOGETHER, AT_ONCE = 1024, 16_384, 4, 1 << 18
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -133,7 +135,7 @@ def index(vectors: DataFrame, k: int = 20, seed: int = 11) -> tuple[DataFrame, n
     return out, center
 
 
-def _block(number: str, salt: int, blocks: int) -> Column:
+def _block(number: str | Column, salt: int, blocks: int) -> Column:
     return F.pmod(F.xxhash64(number, F.lit(salt)), F.lit(blocks)).cast("int")
 
 
@@ -151,11 +153,11 @@ class Tiles:
         self.shared = spark.sparkContext.broadcast((center, rotation(len(center), seed) if len(center) else None))
 
     def _queries(self, columns: list[str]) -> DataFrame:
-        return self.asked.select(_block("number", 1, self.q_blocks).alias("qb"), _each(self.c_blocks).alias("cb"), "number", "vector", *columns)
+        return self.asked.select(_block("number", 1, self.q_blocks).alias("qb"), _each(self.c_blocks).alias("cb"), "number", "vector", *[c for c in columns if c != "qb"])
 
     def met(self, choose, columns: list[str], schema: str) -> DataFrame:
-        """What choose gives of each tile: for queries' numbers, other columns, codes' numbers and a function that gives
-        estimates and errors of some queries."""
+        """What choose gives of each tile, from the queries' and codes' numbers, the queries' other columns, how many
+        queries to take at once, and a function that gives estimates and errors of some queries."""
         codes = self.made.select(_each(self.q_blocks).alias("qb"), _block("number", 2, self.c_blocks).alias("cb"), "number", "code", "length", "correction")
         shared = self.shared
 
@@ -188,55 +190,66 @@ class Tiles:
         return found.withColumn("place", place).where(F.col("place") <= m).select("query", "number")
 
     def near(self, bounds: DataFrame, sure: float) -> DataFrame:
-        """query, number: the pairs whose estimate plus `sure` times its error reaches the query's bound."""
+        """query, numbers: of each query and tile the candidates whose estimate plus `sure` times its error reaches the
+        query's bound; and a row without query with all that are in any of the tile's lists."""
 
         def choose(numbers, columns, step, estimates) -> pa.Table:
-            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            out = []
             for low in range(0, len(numbers[0]) if numbers else 0, step):
                 at = slice(low, low + step)
                 guess, error = estimates(at)
-                q, c = np.nonzero(guess + sure * error + 1e-5 * (1 + np.abs(guess)) >= columns[0][at, None].astype(np.float32))
-                out.append((numbers[0][at][q], numbers[1][c]))
-            return pa.table(dict(zip(("query", "number"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                near = guess + sure * error + 1e-5 * (1 + np.abs(guess)) >= columns[0][at, None].astype(np.float32)
+                out += [(q, numbers[1][row]) for q, row in zip(numbers[0][at].tolist(), near, strict=True) if row.any()]
+            if out:
+                out.append((None, np.unique(np.concatenate([x[1] for x in out]))))
+            ends = np.cumsum([0, *(len(x[1]) for x in out)])
+            lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(x[1] for x in out)])))
+            qb = columns[1][:1].tolist() if numbers else [0]
+            return pa.table({"qb": pa.array(qb * len(out), pa.int32()), "query": pa.array([x[0] for x in out], pa.int64()), "numbers": lists.cast(pa.list_(pa.int64()))})
 
         asked = self.asked
         self.asked = asked.join(bounds, asked["number"] == bounds["query"]).drop("query")
-        found = self.met(choose, ["bound"], "query long, number long")
+        found = self.met(choose, ["bound", "qb"], "qb int, query long, numbers array<long>")
         self.asked = asked
-        return found
+        tq = F.floor(F.col("qb") / TOGETHER).cast("int").alias("tq")
+        return found.select(tq, _block(F.get("numbers", F.lit(0)), 2, self.c_blocks).alias("cb"), "query", "numbers")
 
-    def exact(self, pairs: DataFrame, k: int) -> DataFrame:
-        """query, number, score: the exact scores of pairs, of each query and block of candidates the k best. Vectors
-        come by a join, those that a pair names."""
-        blocks = lambda q, c: (_block(q, 1, self.q_blocks).alias("qb"), _block(c, 2, self.c_blocks).alias("cb"))
-        pairs = pairs.select(*blocks("query", "number"), "query", "number")
-        theirs = pairs.select("qb", "cb", "number").distinct().join(self.made.select("number", "vector"), "number").select("qb", "cb", F.lit(0).alias("side"), "number", "vector")
-        asked = pairs.select("qb", "cb", F.col("query").alias("number")).distinct().join(self.asked.select("number", "vector"), "number").select("qb", "cb", F.lit(1).alias("side"), "number", "vector")
+    def exact(self, lists: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+        """query, number, score: the exact scores of lists (cb, query, numbers), of each query and block of candidates
+        the k best. wanted: cb, tq and number of the vectors that any list names."""
+        lists = lists.select(self.together("query"), "cb", "query", "numbers")
+        theirs = wanted.select("tq", "cb", "number").distinct().join(self.made.select("number", "vector"), "number").select("tq", "cb", F.lit(0).alias("side"), "number", "vector")
+        asked = lists.select("tq", "cb", F.col("query").alias("number")).distinct().join(self.asked.select("number", "vector"), "number").select("tq", "cb", F.lit(1).alias("side"), "number", "vector")
 
         def score(left: pa.Table, right: pa.Table) -> pa.Table:
             out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             if left.num_rows and right.num_rows:
                 side, numbers, x = right.column("side").to_numpy(), right.column("number").to_numpy(), _matrix(right.column("vector"))
-                at = []
-                for s, name in ((1, "query"), (0, "number")):
+                sides = []
+                for s in (1, 0):
                     own = np.flatnonzero(side == s)
-                    own = own[np.argsort(numbers[own])]
-                    at.append(own[np.searchsorted(numbers[own], left.column(name).to_numpy())])
-                order = np.argsort(at[0], kind="stable")
-                a, b = at[0][order], at[1][order]
-                ends = np.flatnonzero(np.r_[a[1:] != a[:-1], True]) + 1 if len(a) else []
-                for low, high in zip([0, *ends], ends, strict=False):
-                    got, q = x[b[low:high]] @ x[a[low]], numbers[a[low]]
-                    best = np.lexsort((numbers[b[low:high]], -got))[:k]
-                    exact = np.einsum("ij,j->i", x[b[low:high][best]], x[a[low]])
-                    out.append((np.full(len(best), q), numbers[b[low:high]][best], exact))
+                    sides.append(own[np.argsort(numbers[own])])
+                for q, names in zip(left.column("query").to_pylist(), left.column("numbers"), strict=True):
+                    names = names.values.to_numpy()
+                    a = sides[0][np.searchsorted(numbers[sides[0]], q)]
+                    rows = sides[1][np.searchsorted(numbers[sides[1]], names)]
+                    got = x[rows] @ x[a]
+                    if len(got) > 4 * k:  # exact order only among the best
+                        keep = got >= np.partition(got, -k)[-k] - 1e-9 * np.abs(got).max()
+                        rows, names = rows[keep], names[keep]
+                    exact = np.einsum("ij,j->i", x[rows], x[a])
+                    best = np.lexsort((names, -exact))[:k]
+                    out.append((np.full(len(best), q), names[best], exact[best]))
             return pa.table(dict(zip(("query", "number", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-        both = theirs.unionByName(asked).toDF("their_qb", "their_cb", "side", "number", "vector")
-        found = pairs.groupBy("qb", "cb").cogroup(both.groupBy("their_qb", "their_cb")).applyInArrow(score, "query long, number long, score double")
+        both = theirs.unionByName(asked).toDF("their_tq", "their_cb", "side", "number", "vector")
+        found = lists.groupBy("tq", "cb").cogroup(both.groupBy("their_tq", "their_cb")).applyInArrow(score, "query long, number long, score double")
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "number"))
         return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
+    def together(self, query: str) -> Column:
+        return F.floor(_block(query, 1, self.q_blocks) / TOGETHER).cast("int").alias("tq")
+
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, seed: int = 11, sure: float = SURE, figures: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row whose identifier `every` divides, among all others, by
@@ -246,17 +259,19 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, seed: int = 11, sur
     rows = written(rows, "queries")
     asked = written(rows.select("number").distinct().join(made.select("number", "vector"), "number"), "asked")
     tiles = Tiles(asked, made, center, seed)
-    first = written(tiles.top(FIRST * (k + 1)), "first")
+    first = written(tiles.top(FIRST * (k + 1)).select("query", "number", tiles.together("query"), _block("number", 2, tiles.c_blocks).alias("cb")), "first")
+    few = first.groupBy("query", "cb").agg(F.collect_list("number").alias("numbers"))  # FIRST * (k + 1) of a query
     n = made.select("number", F.size("ids").alias("n"))
-    best = written(tiles.exact(first, FIRST * (k + 1)), "best")
+    best = written(tiles.exact(few, first, FIRST * (k + 1)), "best")
     # the bound: the score up to which k + 1 identifiers are counted; without so many, all pairs are kept
     so_far = Window.partitionBy("query").orderBy(F.desc("score"), "number").rowsBetween(Window.unboundedPreceding, 0)
     counted = best.join(n, "number").withColumn("so_far", F.sum("n").over(so_far))
     bounds = counted.groupBy("query").agg(F.coalesce(F.max(F.when(F.col("so_far") >= k + 1, F.col("score"))), F.lit(float("-inf"))).alias("bound"))
     pairs = written(tiles.near(bounds, sure), "pairs")
     if figures is not None:
-        figures |= {"queries": asked.count(), "codes": made.count(), "pairs": pairs.count()}
-    found = tiles.exact(pairs, k + 1).unionByName(best.select("query", "number", "score")).groupBy("query", "number").agg(F.max("score").alias("score"))
+        figures |= {"queries": asked.count(), "codes": made.count(), "pairs": pairs.where("query is not null").agg(F.sum(F.size("numbers"))).first()[0]}
+    wanted = pairs.where("query is null").select("tq", "cb", F.explode("numbers").alias("number"))
+    found = tiles.exact(pairs.where("query is not null"), wanted, k + 1).unionByName(best.select("query", "number", "score")).groupBy("query", "number").agg(F.max("score").alias("score"))
     item = F.struct((-F.col("score")).alias("less"), F.coalesce("vec_id", F.lit(2**63 - 1)).alias("at"), "vec_id", "number")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "number"))
     listed = found.join(made.select("number", "ids"), "number").select("query", "number", "score", F.explode("ids").alias("vec_id"))
