@@ -1,17 +1,20 @@
 """Operator 10: toxicity by a linear-chain conditional random field over words.
 
 Token labels come from document labels: words that documents labelled toxic have significantly more often than others
-(a likelihood ratio) are tagged toxic where they stand in such a document, all other words are not. A chain
-with two tags is trained on sentences with those tags; a word's features are itself, its first and last letters and
-its length, so that inflections of a word count too. Forward-backward marginals give each word's probability of being
-toxic; a document's score is a calibrated function of the probability that it has a toxic word and of the expected
-number and share of them; runs of words over one half are the offending spans.
+(a likelihood ratio) are tagged toxic where they stand in such a document, and so are rarer words of a significant group
+of words that begin alike, if their posterior share is over one half; all other words are not. A chain with two tags is
+trained on sentences with those tags; a word's features are itself, its first and last letters and its length, so that
+inflections of a word count too. Forward-backward marginals give each word's probability of being toxic; a document's
+score is a calibrated function of the probability that it has a toxic word and of the expected number and share of them;
+runs of words over one half are the offending spans.
 
 The fit takes a bounded sample of labelled documents (see `labelled`). All words of every text are tagged.
 
-Defined cases: a null text is an empty one; a text without words gets the score of a document with no toxic word;
-without labels of both classes the score is the smoothed share of label 1 (0.5 without any label); repeated rows get
-equal scores; extra columns take no part.
+Defined cases: a null text is an empty one; a text without words gets the score of a document with no toxic word and has
+no span; a very long text is tagged in parts that end where sentences end (a run over a cut within a sentence of over
+PART characters is two spans); without labels of both classes the score is the smoothed share of label 1 (0.5 without
+any label) and there are no spans; ties do not arise; repeated rows get equal scores; an empty table gives no rows;
+extra columns take no part, and those named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -35,12 +38,19 @@ from graniteql.llm.quality import _sigmoid
 TOKEN = re.compile(r"[^\W\d_]+|[.?\n]")
 ENDS, END, BLANK = frozenset(".?\n"), re.compile(r"[.?\n]"), re.compile(r"\s")
 PART = 500_000
-HASHED, MOST_WORDS, LIKELY = 1 << 18, 20_000, 0.8
+HASHED, MOST_WORDS, LIKELY = 1 << 18, 20_000, 0.5
+#: Letters of a word that tell its group; how many documents the group's share counts for.
+STEM, PRIOR = 6, 2
 #: Words of sentences that enter the fit of the chain, at most half of them from sentences with a word to be tagged;
 #: words known to a worker at once.
 TRAINED, REMEMBERED = 600_000, 100_000
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, as long as it was: of all letters only one becomes two, and is replaced first."""
+    return text.replace("\u0130", "i").lower()
+
+
 def features(word: str) -> list[int]:
     """Places of a word's features in the weights."""
     names = ("w" + word, "p" + word[:4], "q" + word[:6], "s" + word[-4:], f"l{min(len(word), 12)}", "b")
@@ -131,6 +141,7 @@ class Chain:
             for x, g, g2 in ((w, gw, g2w), (self.trans, gt, g2t), (self.start, gs, g2s)):
                 g2 += g**2
                 x += rate * g / np.sqrt(g2)
+        self.weights[:] = 0
         self.weights[used] = w
 
     def fit(self, rows: list[tuple[str, int]]) -> Chain:
@@ -144,7 +155,7 @@ class Chain:
         plain: list[tuple[np.ndarray, np.ndarray]] = []
         for text, label in rows:
             part: list[str] = []
-            for w in (*TOKEN.findall(text.lower()), "."):
+            for w in (*TOKEN.findall(lowered(text)), "."):
                 if w not in ENDS:
                     part.append(w)
                 elif part:
@@ -191,53 +202,72 @@ class Chain:
             p[words] = self.marginals(self.word_scores([flat[i] for i in words]) if end.any() else self.word_scores(flat), lengths)
         return p, counts
 
-    def summaries(self, texts: list[str]) -> np.ndarray:
+    def summaries(self, texts: list[str], spans: list[list[tuple[int, int, float]]] | None = None) -> np.ndarray:
         """Of each text: log-odds of its surest word and of having a toxic word at all; logarithms of the expected
-        number of toxic words among the likely ones and of their share."""
+        number of toxic words among the likely ones and of their share. To spans, if given, a list is added for each
+        text of its runs of toxic words: start, end, highest marginal."""
+        found: list[list[tuple[int, int, float]]] = [[] for _ in texts]
         sums, most = np.zeros((len(texts), 3)), np.zeros(len(texts))
         part: list[list[str]] = []
-        owner: list[int] = []
+        owner: list[tuple[int, str, int]] = []  # of each part: its text's number, itself, where it starts
 
         def add() -> None:
             p, counts = self.tagged(part)
-            doc = np.repeat(np.array(owner, np.int64), counts)
+            doc = np.repeat(np.array([o[0] for o in owner], np.int64), counts)
             for k, v in enumerate((np.log1p(-np.minimum(p, 1 - 1e-9)), np.where(p > LIKELY, p, 0), np.ones(len(p)))):
                 sums[:, k] += np.bincount(doc, v, len(texts))
             np.maximum.at(most, doc, p)
+            if spans is not None and (p > 0.5).any():
+                ends = np.cumsum(counts)
+                for i in np.unique(np.searchsorted(ends, np.flatnonzero(p > 0.5), "right")).tolist():
+                    number, text, at = owner[i]
+                    found[number] += _runs(text, p[ends[i] - counts[i] : ends[i]], at)
             part.clear()
             owner.clear()
 
         for i, text in enumerate(texts):
-            for piece in sentences_of(text):
-                part.append(TOKEN.findall(piece.lower()))
-                owner.append(i)
+            at = 0
+            for piece in sentences_of(lowered(text)):
+                part.append(TOKEN.findall(piece))
+                owner.append((i, piece, at))
+                at += len(piece)
                 if sum(map(len, part)) > 200_000:
                     add()
         add()
+        if spans is not None:
+            spans += found
         none, likely, counts = sums.T
         some = -np.expm1(np.minimum(none, -1e-6))
         top = np.clip(most, 1e-6, 1 - 1e-6)
         return np.stack([np.log(top / (1 - top)) / 4, (np.log(some) - np.maximum(none, -14)) / 4, np.log1p(likely), np.log((likely + 0.1) / (counts + 5))], 1)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: list[str], spans: list | None = None) -> np.ndarray:
+        """The score of each text; spans as in summaries()."""
         if self.constant is not None or not texts:
+            if spans is not None:
+                spans += [[] for _ in texts]
             return np.full(len(texts), self.constant if self.constant is not None else 0.5)
-        return _sigmoid(self.summaries(texts) @ self.calibration[:-1] + self.calibration[-1] + self.shift)
+        return _sigmoid(self.summaries(texts, spans) @ self.calibration[:-1] + self.calibration[-1] + self.shift)
 
     def spans(self, text: str) -> list[tuple[int, int, float]]:
-        """Runs of toxic words: start, end, highest marginal. Offsets are characters of the lower-cased text."""
-        found = list(TOKEN.finditer(text.lower()))
-        p, _ = self.tagged([[m.group() for m in found]])
-        out: list[tuple[int, int, float]] = []
-        previous = -2
-        for i in np.flatnonzero(p > 0.5).tolist():
-            m, q = found[i], float(p[i])
+        """Runs of toxic words of a text: start, end, highest marginal."""
+        found: list[list[tuple[int, int, float]]] = []
+        self.scores([text], found)
+        return found[0]
+
+
+def _runs(text: str, p: np.ndarray, at: int) -> list[tuple[int, int, float]]:
+    """Runs of words over one half in a lowered text that starts at a place. p: of its tokens."""
+    out: list[tuple[int, int, float]] = []
+    previous = -2
+    for i, m in enumerate(TOKEN.finditer(text)):
+        if (q := float(p[i])) > 0.5:
             if i == previous + 1:
-                out[-1] = (out[-1][0], m.end(), max(out[-1][2], q))
+                out[-1] = (out[-1][0], at + m.end(), max(out[-1][2], q))
             else:
-                out.append((m.start(), m.end(), q))
+                out.append((at + m.start(), at + m.end(), q))
             previous = i
-        return out
+    return out
 
 
 def sentences_of(text: str) -> Iterator[str]:
@@ -261,24 +291,35 @@ def _thinned(sentences: list, words: int) -> list:
 
 def toxic_words(rows: list[tuple[str, int]]) -> set[str]:
     """Words of which at least half of the documents are toxic, and so many that the likelihood ratio against the
-    general share of toxic documents exceeds the number of words tested: about one is expected by chance. At most
-    MOST_WORDS of them, the surest first. rows: text, label."""
-    toxic, every = Counter(), Counter()
+    general share of toxic documents exceeds the number of words tested: about one is expected by chance. Also words
+    that are too rare for that but begin as words of a group do (STEM letters) that passes the test as a whole, if the
+    posterior share with the group's as its prior, worth PRIOR documents, is over one half. At most MOST_WORDS of
+    them, the surest first. rows: text, label."""
+    counts = {True: (Counter(), Counter()), False: (Counter(), Counter())}  # of words, of their stems: every, toxic
     for text, label in rows:
-        distinct = set(TOKEN.findall(text.lower())) - ENDS
-        every.update(distinct)
-        if label:
-            toxic.update(distinct)
-    share, found = sum(r[1] for r in rows) / len(rows), []
-    tested = sum(n >= 3 for n in every.values())
+        words = set(TOKEN.findall(lowered(text))) - ENDS
+        for kind, found in ((False, words), (True, {w[:STEM] for w in words})):
+            counts[kind][0].update(found)
+            if label:
+                counts[kind][1].update(found)
+    share = sum(r[1] for r in rows) / len(rows)
+
+    def tested(every: Counter, toxic: Counter) -> dict[str, float]:
+        bound, out = np.log(sum(n >= 3 for n in every.values()) or 1), {}
+        for w, a in toxic.items():
+            n = every[w]
+            if a >= 3 and a / n > max(0.5, share):
+                ratio = a * np.log(a / n / share) + ((n - a) * np.log((n - a) / n / (1 - share)) if a < n else 0)
+                if ratio > bound:
+                    out[w] = ratio
+        return out
+
+    every, toxic = counts[False]
+    found, stems = tested(every, toxic), tested(*counts[True])
     for w, a in toxic.items():
-        n = every[w]
-        if a < 3 or a / n <= max(0.5, share):
-            continue
-        ratio = a * np.log(a / n / share) + ((n - a) * np.log((n - a) / n / (1 - share)) if a < n else 0)
-        if ratio > np.log(tested):
-            found.append((ratio, w))
-    return {w for _, w in sorted(found, reverse=True)[:MOST_WORDS]}
+        if w not in found and (ratio := stems.get(w[:STEM])) and (a + PRIOR * counts[True][1][w[:STEM]] / counts[True][0][w[:STEM]]) / (every[w] + PRIOR) > 0.5:
+            found[w] = ratio / len(w)
+    return {w for _, w in sorted(((r, w) for w, r in found.items()), reverse=True)[:MOST_WORDS]}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0) -> np.ndarray:
@@ -313,18 +354,22 @@ def scored(docs: DataFrame, model: Chain, name: str = "score", spans: str | None
 
     def run(batches):
         for batch in batches:
-            out = [shared.value.scores(part) for part in groups(batch.column("text"), 500_000)]
-            columns = [*(batch.column(k) for k in fields), pa.array(np.concatenate([np.zeros(0), *out]))]
+            scores, runs = [np.zeros(0)], [] if spans else None
+            for part in groups(batch.column("text"), 500_000):
+                scores.append(shared.value.scores(part, runs))
+            columns = [*(batch.column(k) for k in fields), pa.array(np.concatenate(scores))]
             if spans:
-                columns.append(pa.array([[dict(zip(("start", "end", "score"), s, strict=True)) for s in shared.value.spans(x.as_py() or "")] for x in batch.column("text")], kind))
+                columns.append(pa.array([[dict(zip(("start", "end", "score"), s, strict=True)) for s in x] for x in runs], kind))
             yield pa.RecordBatch.from_arrays(columns, names=[*fields, *new])
 
     return docs.mapInArrow(run, schema.schema)
 
 
 def predictions(docs: DataFrame, model: Chain, threshold: float = 0.7) -> DataFrame:
-    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
-    return out.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    """doc_id, held_out, score, predicted, and spans: start, end and highest marginal of the offending runs of words, in
+    characters of the text."""
+    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, spans="spans")
+    return out.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "spans")
 
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
