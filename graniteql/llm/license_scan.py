@@ -1,12 +1,19 @@
 """Operator 1: license scans by a trained paragraph classifier.
 
-A paragraph is a line of a text; a longer line is cut into pieces of PIECE words that overlap by half. Its features are
-its distinct word n-grams of one to three words. A multinomial logistic regression with a sparse penalty, one class for
-each licence family and one for everything else, is trained on the templates below: whole, in part, with words left out
-and with strange words around; and, as counter-examples, on lines of the corpus (a bounded sample) and on sentences
-that use the templates' words otherwise. Probabilities are calibrated on examples that the fit has not seen, so that
-"unknown" has a calibrated probability too. A prediction counts if its family reaches SURE, and it is confirmed if the
-paragraph shares enough of its n-grams with a template of that family.
+A paragraph is a line of a text; a longer line is cut into pieces of PIECE words that overlap by half. The end of a
+sentence counts as a word, so that a notice differs from a sentence that goes on. A paragraph's features are its distinct
+word n-grams of one to three words. A multinomial logistic regression with a sparse penalty, one class for each licence
+family and one for everything else, is trained on the templates below: whole, in part, with words left out and with
+strange words around. Everything else is notices of other licences, also of invented names, sentences that use the
+templates' words otherwise, and lines of the corpus (a bounded sample); lines with such words but unlike any template
+are among them. Probabilities are calibrated on templates and counter-examples that a fit has not seen: in FOLDS turns a
+part of them is left out with all that was made of it. A prediction, of the likeliest family, counts if its probability
+against the unknown class is so high that of what was left out RIGHT are licences from there on, and it is confirmed if
+the paragraph, or one of its sentences, is like a template of that family.
+
+Likeness is two-sided: the weight of the common n-grams over that of the side that has more; n-grams that few families
+have weigh more, and strange ones most. A part of a long template also counts against the paragraph alone if it has RUN
+words in a row in common.
 
 Only n-grams with a weight take part, a few hundred; a paragraph without any of their words is unknown at once. Every
 line of every text is scored. Notices wrapped over several lines are found in windows of PIECE words, overlapping by
@@ -14,13 +21,15 @@ half, over consecutive lines that are not blank: a window adds a family that non
 it is scored again without the lines that are licences by themselves. Lines of a window that are different parts of one
 template are one licence, at the first line's offset; lines that repeat each other are several. n_paragraphs counts lines and their pieces, not windows.
 
-Defined cases: a null or empty text has no paragraph and no licence; ties go to the family that comes first in order;
-repeated rows get equal results; an empty table is scored by a model without corpus lines; extra columns take no part.
+Defined cases: a null or empty text has no paragraph and no licence; a very long line is read piece by piece; ties go to
+the family that comes first in order; repeated rows get equal results; an empty table is scored by a model without corpus
+lines; extra columns take no part.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import islice
 
@@ -36,8 +45,10 @@ TEMPLATES = {
     "agpl": [
         "GNU Affero General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
     ],
     "apache-2.0": [
+        "Apache License Version 2.0, January 2004",
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
@@ -70,6 +81,7 @@ TEMPLATES = {
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU GPL v2 or later.",
+        "Licensed under the GNU General Public License v3.0.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
@@ -77,8 +89,10 @@ TEMPLATES = {
     "lgpl": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
     ],
     "mit": [
+        "The MIT License (MIT)",
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
@@ -110,9 +124,46 @@ OTHERS = [
     "Modern creative work is in common use by the general public.",
     "Under the terms of the agreement the company shall publish the source of its income.",
 ]
+#: Notices of licences that are of no family here, and names for more such notices; fixed values.
+ELSEWHERE = [
+    "Licensed under the Eclipse Public License, version 1.0.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This software is provided 'as-is', without any express or implied warranty, under the zlib license.",
+    "Licensed under the Artistic License 2.0.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Released under the ISC License.",
+    "This work is licensed under the Open Font License, version 1.1.",
+    "Licensed under the Common Development and Distribution License, version 1.0.",
+    "This work is licensed under the Academic Free License, version 3.0.",
+    "SPDX-License-Identifier: Zlib",
+    "This program is licensed under the Microsoft Public License.",
+    "The database is made available under the Open Database License.",
+    "This program is free software under the terms of the Server Side Public License, version 1.",
+    "Released under the Unicode License.",
+]
+NAMES = "Harbour Orchid Falcon Meridian Copper Granite Willow Summit Lantern Juniper Cobalt Prairie Beacon Thistle Ember Tundra".split()
+PATTERNS = ["Licensed under the {} License.", "Released under the {} License.", "Licensed under the {} Public License, version 2.0.", "This work is licensed under the {} License, version 3.", "This work is licensed under the {} General License.", "SPDX-License-Identifier: {}-1.0"]
+#: Beginnings of notices that go on as sentences; fixed values.
+CONTINUED = [
+    "All rights reserved for members of the club were withdrawn.",
+    "All rights reserved by the crown passed to the council.",
+    "The MIT License is explained in the second part of the book.",
+    "Many projects prefer the MIT License because it is short.",
+    "The Apache License was compared with others in a lecture.",
+    "They debated whether the GNU General Public License suits a museum.",
+    "The BSD license came up in a talk about history.",
+    "Creative Commons is an organisation with offices in many countries.",
+    "The Mozilla Public License has been discussed by lawyers.",
+    "Permission is hereby granted to enter the garden after noon.",
+    "The public domain is a subject that the course treats at length.",
+    "Copyright law protects the author of a novel.",
+    "This document is about the free software movement and its founders.",
+]
 UNKNOWN = "unknown"
-WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
-PIECE, SURE, ALIKE, CORPUS_LINES, MOST_LINE = 64, 0.8, 0.5, 2000, 400
+#: A word, or the end of a sentence.
+WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*|(?<=[a-z0-9)\"'\]])[.;!?](?=\s|$)")
+STOPS = frozenset(".;!?")
+PIECE, RIGHT, ALIKE, RUN, FOLDS, CORPUS_LINES, MOST_LINE = 64, 0.98, 0.5, 8, 3, 2000, 400
 
 
 def grams(words: list[str], most: int = 3) -> set[str]:
@@ -152,19 +203,44 @@ def numbered(text: str) -> Iterator[tuple[int, int, list[str], list[str]]]:
         yield line, at, words, new
 
 
+def _sentences(words: list[str]) -> list[list[str]]:
+    out: list[list[str]] = [[]]
+    for w in words:
+        out[-1].append(w)
+        if w in STOPS:
+            out.append([])
+    return [x for x in out if x]
+
+
+def _longest(words: list[str], template: frozenset[str]) -> int:
+    """Most words in a row whose n-grams of three the template has."""
+    best = now = 0
+    for i in range(len(words) - 2):
+        now = now + 1 if " ".join(words[i : i + 3]) in template else 0
+        best = max(best, now)
+    return best + 2 if best else 0
+
+
 class Model:
     def __init__(self):
         self.families = sorted(TEMPLATES)
         self.templates = {f: [frozenset(grams(WORD.findall(t.lower()))) for t in TEMPLATES[f]] for f in self.families}
+        have = [frozenset().union(*t) for t in self.templates.values()]
+        have.append(frozenset().union(*(grams(WORD.findall(t.lower())) for t in (*OTHERS, *ELSEWHERE, *CONTINUED))))
+        self.rarity = {g: float(np.log((len(have) + 2) / (1 + sum(g in h for h in have)))) for g in frozenset().union(*have)}
+        self.strange = float(np.log(len(have) + 2))
 
     def fit(self, corpus: list[str], seed: int = 1, rounds: int = 250) -> Model:
+        """corpus: lines that are no licences, for all one knows."""
         rng = np.random.default_rng(seed)
         names = [*self.families, UNKNOWN]
-        lines = [w for w in (WORD.findall(t.lower())[:PIECE] for t in (*corpus, *OTHERS)) if w]
-        noise = [w for line in lines for w in line]
-        examples: list[tuple[list[str], int]] = []
+        named = [p.format(n) for p in PATTERNS for n in NAMES]
+        others = [w for w in (WORD.findall(t.lower())[:PIECE] for t in (*corpus, *named)) if w]
+        hard = [WORD.findall(t.lower()) for t in (*OTHERS, *ELSEWHERE, *CONTINUED)]
+        noise = [w for line in (*others[: len(corpus)], *hard) for w in line if w not in STOPS]
+        examples: list[tuple[list[str], int, int]] = []  # words, class, fold
         for c, f in enumerate(self.families):
-            for t in TEMPLATES[f]:
+            for i, t in enumerate(TEMPLATES[f]):
                 words = WORD.findall(t.lower())
                 for k in range(16):
                     part = words
@@ -174,30 +250,58 @@ class Model:
                         part = words[first : first + n]
                     if k % 4 == 3 and len(part) > 6:  # words left out
                         part = [w for w in part if rng.random() > 0.1]
-                    if k % 2:  # strange words around
+                    if k % 2:  # strange sentences around
                         a, b = (list(rng.choice(noise, int(rng.integers(0, 12)))) for _ in range(2))
-                        part = [*a, *part, *b]
-                    examples.append((part, c))
-        examples += [(w, len(self.families)) for w in lines]
-        examples += [(WORD.findall(t.lower()), len(self.families)) for t in OTHERS for _ in range(8)]
-        every = [frozenset(grams(w)) for w, _ in examples]
+                        part = [*a, *["."] * bool(a), *part, *["."] * (part[-1] not in STOPS), *b]
+                    examples.append((part, c, i % FOLDS))
+        examples += [(w, len(self.families), i % FOLDS) for i, w in enumerate(others)]
+        examples += [(w, len(self.families), i % FOLDS) for i, w in enumerate(hard) for _ in range(8)]
+        every = [frozenset(grams(w)) for w, _, _ in examples]
         known = {x: i for i, x in enumerate(sorted({x for ts in self.templates.values() for t in ts for x in t}))}
         rows = [np.array([known[x] for x in g if x in known], np.int64) for g in every]
         at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         col = np.concatenate(rows)
-        y = np.array([c for _, c in examples])
-        test = rng.random(len(y)) < 0.2
-        share = np.bincount(y, minlength=len(names)).astype(float)
+        y, fold = (np.array([x[i] for x in examples]) for i in (1, 2))
+        logits = np.zeros((len(rows), len(names)))
+        for k in range(FOLDS):
+            w, bias = self._trained(at, col, y, fold != k, len(known), rounds // 2)
+            logits[fold == k] = self._logits(w, bias, at, col, len(rows))[fold == k]
+        share = 1 / np.bincount(y, minlength=len(names))[y]  # classes count alike
+        share[y == len(names) - 1] *= len(self.families)
+        heat = np.exp(np.linspace(-1.5, 1.5, 61))
+
+        def loss(t: float) -> float:
+            z = logits / t
+            z -= z.max(1, keepdims=True)
+            return float(((np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]) * share).sum())
+
+        self.heat = float(min(heat, key=loss))
+        z = np.exp(logits / self.heat - (logits / self.heat).max(1, keepdims=True))
+        q = z[:, :-1].max(1) / (z[:, :-1].max(1) + z[:, -1])
+        order = np.argsort(-q, kind="stable")
+        right = np.cumsum((y != len(self.families))[order] * share[order]) / np.cumsum(share[order])
+        good = np.flatnonzero(right >= RIGHT)
+        self.sure = max(0.5, float(q[order][good[-1]])) if len(good) else 1.0
+        w, self.bias = self._trained(at, col, y, np.ones(len(y), bool), len(known), rounds)
+        kept = np.flatnonzero(np.abs(w).max(1) > 1e-4)
+        order = list(known)
+        self.weights = {order[i]: w[i] for i in kept.tolist()}
+        self.words = frozenset(x for g in self.weights for x in g.split() if x not in STOPS)
+        return self
+
+    def _trained(self, at: np.ndarray, col: np.ndarray, y: np.ndarray, use: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and constants, by proximal steps (Adagrad) on the examples in use."""
+        k = len(self.families) + 1
+        share = np.bincount(y[use], minlength=k).astype(float)
         share[:-1] *= 2  # a family counts half as much as everything else
-        weight = np.where(test, 0.0, 1 / share[y])
-        k = len(names)
-        w, bias = np.zeros((len(known), k)), np.zeros(k)
+        weight = np.where(use, 1 / np.maximum(share[y], 1), 0.0)
+        w, bias = np.zeros((size, k)), np.zeros(k)
         bias[-1] = 2.0
         target = np.eye(k)[y]
         rate, sparse = 0.3, 2e-5
         g2 = np.full_like(w, 1e-6)
         for _ in range(rounds):
-            logits = self._logits(w, bias, at, col, len(rows))
+            logits = self._logits(w, bias, at, col, len(y))
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             e = (p - target) * weight[:, None] / weight.sum()
@@ -208,15 +312,7 @@ class Model:
             w -= step * g
             w = np.sign(w) * np.maximum(0, np.abs(w) - np.minimum(step, 50) * sparse)
             bias -= rate * e.sum(0)
-        logits = self._logits(w, bias, at, col, len(rows))[test]
-        heat = np.exp(np.linspace(-1.5, 1.5, 61))
-        loss = [-(logits / t - np.log(np.exp((logits - logits.max(1, keepdims=True)) / t).sum(1, keepdims=True)) - logits.max(1, keepdims=True) / t)[np.arange(test.sum()), y[test]].mean() for t in heat]
-        kept = np.flatnonzero(np.abs(w).max(1) > 1e-4)
-        order = list(known)
-        self.weights = {order[i]: w[i] for i in kept.tolist()}
-        self.words = frozenset(x for g in self.weights for x in g.split())
-        self.bias, self.heat = bias, float(heat[int(np.argmin(loss))])
-        return self
+        return w, bias
 
     @staticmethod
     def _logits(w, bias, at, col, n):
@@ -233,20 +329,41 @@ class Model:
         p = np.exp(z - z.max())
         return p / p.sum()
 
+    @staticmethod
+    def _judged(p: np.ndarray) -> tuple[int, float]:
+        """The likeliest family, and its probability against the unknown class."""
+        c = int(p[:-1].argmax())
+        return c, float(p[c] / (p[c] + p[-1]))
+
     def _weighted(self, words: list[str]) -> dict[str, int]:
         """The n-grams that have a weight, with the place of the first; their words are all known ones."""
         found: dict[str, int] = {}
         run: list[str] = []
         for i, w in enumerate(words):
-            run = [*run[-2:], w] if w in self.words else []
+            run = [*run[-2:], w] if w in self.words or w in STOPS else []
             for k in range(1, len(run) + 1):
                 if (x := " ".join(run[-k:])) in self.weights:
                     found.setdefault(x, i - k + 1)
         return found
 
+    def _weight(self, g) -> float:
+        return sum(self.rarity.get(x, self.strange) for x in g)
+
     def _alike(self, words: list[str], c: int) -> float:
-        g = grams(words)
-        return max(len(g & t) / min(len(g), len(t)) for t in self.templates[self.families[c]])
+        """How like the paragraph, or one of its sentences, is to a template of a family."""
+        best, whole = 0.0, grams(words)
+        parts = _sentences(words)
+        for t in self.templates[self.families[c]]:
+            size = self._weight(t)
+            for g in (whole, *(grams(x) for x in parts if len(parts) > 1)):
+                best = max(best, self._weight(g & t) / max(size, self._weight(g)))
+            if best < 1 and _longest(words, t) >= RUN:
+                best = max(best, self._weight(whole & t) / self._weight(whole))
+        return best
+
+    def unlike(self, words: list[str]) -> bool:
+        """Whether a line is like no template of any family."""
+        return all(self._alike(words, c) < ALIKE / 2 for c in range(len(self.families)))
 
     def _window(self, held: list[tuple[str, int, int]], hits: list[list]) -> list | None:
         """A licence over several lines that none of them has: first and last line, offset, family, probability,
@@ -256,13 +373,12 @@ class Model:
             words = [x[0] for x in part]
             if not (found := self._weighted(words)):
                 continue
-            p = self._softmax([self.weights[x] for x in found])
-            c = int(p[:-1].argmax())
-            if p[c] >= SURE:
+            c, p = self._judged(self._softmax([self.weights[x] for x in found]))
+            if p >= self.sure:
                 if same := [h for h in own if h[3] == self.families[c]]:
                     return self._parts(held, same, c)
                 first = part[min((i for x, i in found.items() if self.weights[x][c] > 0), default=0)]
-                return [first[1], part[-1][1], first[2], self.families[c], float(p[c]), self._alike(words, c)]
+                return [first[1], part[-1][1], first[2], self.families[c], p, self._alike(words, c)]
         return None
 
     def _parts(self, held: list[tuple[str, int, int]], same: list[list], c: int) -> list | None:
@@ -294,10 +410,9 @@ class Model:
                 look()
                 held, recent, fresh = [], [], False
             if not self.words.isdisjoint(words):
-                p = self.probabilities(words)
-                c = int(p[:-1].argmax())
-                if p[c] >= SURE:
-                    hits.append([line, line, at, self.families[c], float(p[c]), self._alike(words, c), False])
+                c, p = self._judged(self.probabilities(words))
+                if p >= self.sure:
+                    hits.append([line, line, at, self.families[c], p, self._alike(words, c), False])
                     recent.append(hits[-1])
             for w in new:
                 held.append((w, line, at))
@@ -319,14 +434,22 @@ class Model:
         return count, [tuple(h[2:6]) for h in sorted((h for x in found.values() for h in x), key=lambda h: (h[2], h[3]))]
 
 
+CUE = re.compile(r"licen[sc]|copyright|rights|public|apache|permission|warrant|\bcc\b|creative|spdx|\bmit\b|\bgpl\b|\bbsd\b", re.I)
+
+
 def fitted(docs: DataFrame) -> Model:
-    """Counter-examples are at most CORPUS_LINES lines, the last ones of a
-    sample of twice as many documents, of at most MOST_LINE characters, that have no word that licences have."""
-    cue = re.compile(r"licen[sc]|copyright|rights|public|apache|permission|warrant|\bcc\b|creative|spdx|\bmit\b|\bgpl\b|\bbsd\b", re.I)
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    last = docs.select(F.xxhash64("text").alias("h"), F.substring(F.element_at(lines, -1), 1, MOST_LINE).alias("line"))
-    found = [r["line"] for r in some(last, "h", 2 * CORPUS_LINES).collect()]
-    return Model().fit([x for x in found if not cue.search(x)][:CORPUS_LINES])
+    """The corpus's part of the counter-examples is at most CORPUS_LINES distinct lines, of at most MOST_LINE characters:
+    of each document of a sample the line that a hash names. Those with words that licences have take part if they are
+    unlike all templates."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lines = docs.select(F.split(text, "\n").alias("lines"), F.xxhash64(text).alias("h"))
+    line = F.substring(F.get("lines", F.pmod("h", F.size("lines")).cast("int")), 1, MOST_LINE)
+    sample = some(lines.select(line.alias("line")), "line", 4 * CORPUS_LINES).collect()  # equal lines have one hash
+    model = Model()
+    found = sorted({r["line"] for r in sample})
+    found = [x for x in found if not CUE.search(x) or model.unlike(WORD.findall(x.lower())[:PIECE])]
+    order = sorted(found, key=lambda x: zlib.crc32(x.encode()))
+    return model.fit(order[:CORPUS_LINES])
 
 
 def scanned(docs: DataFrame, model: Model) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graniteql.llm import labelled, license_scan, quality, queries, toxicity
 
@@ -34,6 +35,16 @@ def test_op10(spark):
     assert (got.predicted == (got.score >= 0.7)).all()
 
 
+def test_toxic_documents_are_found_in_all_languages(spark):
+    """Held out at sf0.1; one of twenty documents labelled toxic has no word that tells."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fitted(docs, labels)
+    held = labels.where(labelled.held_out(F.col("doc_id")))
+    got = toxicity.predictions(docs.join(held.select("doc_id"), "doc_id", "left_semi"), model).join(held, "doc_id").toPandas()
+    assert got.predicted[got.toxic == 1].mean() >= 0.9 and got.predicted[got.toxic == 0].mean() <= 0.002
+    assert (got.spans[(got.predicted == 1)].map(len) > 0).all()
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_odd_documents(spark, odd, empty, odd_rows, module):
     model = (quality.Model if module is quality else toxicity.Chain)().fit([("good words here. and more", 1), ("bad *** words", 0)] * 10)
@@ -116,6 +127,33 @@ def test_spans():
     assert chain.scores([text])[0] > 0.7 > chain.scores(["He is a friend."])[0] and chain.spans("") == []
 
 
+def test_spans_are_places_in_the_text(spark, monkeypatch):
+    rows = [("you are a fool and more", 1), ("you are a friend and more", 0)] * 40
+    chain = toxicity.Chain().fit(rows)
+    text = "\u0130\u0130\u0130 \u0130stanbul. \U0001f600 You FOOL, \u00df.\nA Fool, so.\n" * 3
+    want = ["FOOL", "Fool"] * 3
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "a friend"), (4, text * 4)], "doc_id long, text string")
+    for part in (toxicity.PART, 20):
+        monkeypatch.setattr(toxicity, "PART", part)
+        assert [text[a:b] for a, b, _ in chain.spans(text)] == want
+    got = {r["doc_id"]: r for r in toxicity.predictions(docs, chain).collect()}
+    assert [text[s["start"] : s["end"]] for s in got[1]["spans"]] == want and all(0.5 < s["score"] <= 1 for s in got[1]["spans"])
+    assert got[2]["spans"] == got[3]["spans"] == [] and [(text * 4)[s["start"] : s["end"]] for s in got[4]["spans"]] == want * 4
+    both: list = []
+    for part in ([text, "a friend"], ["you are a fool"]):
+        chain.scores(part, both)
+    assert [len(x) for x in both] == [6, 0, 1]
+    constant = toxicity.Chain().fit([("a", 1)])
+    assert constant.spans(text) == [] and constant.scores(["a", "b"], found := []).tolist() == [2 / 3] * 2 and found == [[], []]
+
+
+def test_rare_words_of_a_group_are_tagged():
+    rows = [(f"some text dreadf{chr(97 + i % 20)} here", 1) for i in range(40)] + [(f"some text with w{i} here", 0) for i in range(400)]
+    found = toxicity.toxic_words(rows)
+    assert found == {f"dreadf{chr(97 + i)}" for i in range(20)}
+    assert toxicity.toxic_words([("a b c", 0)] * 5) == set()
+
+
 def test_licences(spark, odd, empty, odd_rows):
     texts = ["A line.\nReleased under the MIT License.\nAnother.", "He holds a driving license.", None, "All rights reserved.", "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0."]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -128,6 +166,48 @@ def test_licences(spark, odd, empty, odd_rows):
     assert license_scan.summary(empty, license_scan.fitted(empty)).count() == 0
 
 
+def test_notices_that_no_template_has():
+    """Wordings, licences and sentences that are neither templates nor counter-examples."""
+    model = license_scan.Model().fit(["Grapes ripen slowly on those hills.", "Rivers carry silt to valleys"] * 20)
+    seen = {*license_scan.OTHERS, *license_scan.ELSEWHERE, *license_scan.CONTINUED, *(t for ts in license_scan.TEMPLATES.values() for t in ts)}
+    licences = {
+        "Distributed under the MIT license.": "mit",
+        "Copyright 2019 Jane Roe. All rights reserved.": "proprietary",
+        "This software is licensed under the BSD 3-Clause license": "bsd",
+        "This work is licensed under a Creative Commons Attribution 3.0 License.": "cc-by",
+        "(c) 2021. Unauthorized copying is strictly prohibited. All rights reserved.": "proprietary",
+        "# Licensed under the Apache License, Version 2.0": "apache-2.0",
+        "some code here. Released under the MIT License. More text follows here": "mit",
+        "Licensed under the Mozilla Public License, v. 2.0.": "mpl-2.0",
+    }
+    others = [
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This work is licensed under the Boost Software License.",
+        "All rights reserved for the king of France.",
+        "The MIT License is discussed in chapter two.",
+        "Licensed under the Ruby License.",
+        "The author reserved all rights to the film.",
+        "Released under the Perl License, version 4.",
+        "Anyone may use the software without permission of the owner of the house.",
+        "She wrote a paper on public license plates and their general design.",
+        "The terms of the lease were published under the mayor's name.",
+    ]
+    assert seen.isdisjoint(licences) and "This work is licensed under the Boost Software License." not in seen
+    confirmed = lambda t: [f for _, f, _, alike in model.scan(t)[1] if alike >= license_scan.ALIKE]
+    assert {t: confirmed(t) for t in licences} == {t: [f] for t, f in licences.items()}
+    assert {t: confirmed(t) for t in others} == {t: [] for t in others}
+
+
+def test_likeness_is_two_sided():
+    model = license_scan.Model()
+    alike = lambda t, f: model._alike(license_scan.WORD.findall(t.lower()), model.families.index(f))
+    assert alike("Released under the MIT License.", "mit") == pytest.approx(1)
+    assert alike("All rights reserved for the king of France.", "proprietary") < license_scan.ALIKE
+    assert alike("Rights.", "proprietary") < license_scan.ALIKE
+    part = " ".join(license_scan.TEMPLATES["mit"][3].split()[:20]) if len(license_scan.TEMPLATES["mit"][3].split()) > 20 else license_scan.TEMPLATES["mit"][3]
+    assert alike(part, "mit") > 0.9
+
+
 def test_op1_finds_the_planted_lines(spark):
     planted = {"apache-2.0": "Licensed under the Apache License, Version 2.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "proprietary": "All rights reserved.", "mit": "Released under the MIT License.", "cc-by-nc": "Licensed under CC BY-NC 4.0."}
     got = {r["doc_id"]: set(r["families"]) for r in queries.QUERIES["op1_license_scan"](spark, MIDDLE).collect()}
