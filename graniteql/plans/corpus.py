@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniteql.functions import text
-from graniteql.operators import ranking, search
+from graniteql.operators import near, ranking, search
 from graniteql.plans.registry import Registry
 from graniteql.session import table
 
@@ -19,6 +19,22 @@ def t1(spark: SparkSession, d: str) -> DataFrame:
     return ranking.first_of_each(table(spark, d, "documents"), F.sha2("text", 256), "doc_id").select("doc_id", "copies")
 
 
+@query(
+    "t2_near_duplicates",
+    r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN generate_series(1, len(w) - 4)]) END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+often AS (SELECT g FROM u GROUP BY g HAVING count(*) > 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM (SELECT * FROM u SEMI JOIN often USING (g)) a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE c >= 0.8 * (nx + ny - c)),
+r(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT s.doc_id, min(r.y) AS component_id FROM s JOIN r ON r.x = s.doc_id GROUP BY s.doc_id""",
+)
+def t2(spark: SparkSession, d: str) -> DataFrame:
+    """Five words, a similarity of 0.8. The statement is exact; the query is by MinHash and equals it here."""
+    return near.near_duplicates(table(spark, d, "documents"))
+
+
 @query("t3_repeated_lines", "SELECT line, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line HAVING count(*) > 1")
 def t3(spark: SparkSession, d: str) -> DataFrame:
     """Counted by document first: what is shuffled has a row for each line of a document."""

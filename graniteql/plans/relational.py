@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graniteql.functions import sketches
 from graniteql.operators import joins, ranking
 from graniteql.plans.registry import Registry
 from graniteql.session import table
@@ -24,6 +25,24 @@ def revenue():
     return money("l_extendedprice") * (1 - money("l_discount"))
 
 
+def hundredths(c: str):
+    """An amount of two decimal places as a whole number."""
+    return F.floor(F.col(c) * 100 + 0.5)
+
+
+def exact_sum(whole, kind: str, scale: int):
+    """The sum of whole numbers as a decimal of a type and scale. Two sums of longs, of the upper and the lower bits, hold
+    what one would not and are far cheaper than a sum of decimals."""
+    low = 1 << 20
+    high = F.sum(F.shiftright(whole, 20)).cast("decimal(20,0)") * F.lit(low).cast("decimal(8,0)")
+    return ((high + F.sum(whole.bitwiseAND(F.lit(low - 1).cast("long"))).cast("decimal(20,0)")) * F.lit(f"{10**-scale:.{scale}f}").cast(f"decimal({scale + 1},{scale})")).cast(kind)
+
+
+def revenue_sum():
+    """The sum of revenue(), exactly."""
+    return exact_sum(hundredths("l_extendedprice") * (100 - hundredths("l_discount")), "decimal(38,4)", 4)
+
+
 # -- projections and filters ---------------------------------------------------------------------------------------
 
 
@@ -64,7 +83,14 @@ def pf5(spark: SparkSession, d: str) -> DataFrame:
 @query("pf6_sample")
 def pf6(spark: SparkSession, d: str) -> DataFrame:
     """A Bernoulli sample of ten per cent, the same in each run over the same files."""
-    return table(spark, d, "lineitem").sample(0.1, seed=1).select("l_orderkey", "l_linenumber", "l_quantity")
+    return table(spark, d, "lineitem").sample(fraction=0.1, seed=1).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("pf6_hash_sample", "SELECT o_orderkey, o_totalprice FROM orders WHERE substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 3) < '19a'")
+def pf6h(spark: SparkSession, d: str) -> DataFrame:
+    """A sample by a digest of the key, a tenth of all keys: the same rows in any engine, however the files are cut."""
+    digest = F.md5(F.col("o_orderkey").cast("string").cast("binary"))
+    return table(spark, d, "orders").where(F.substring(digest, 1, 3) < "19a").select("o_orderkey", "o_totalprice")
 
 
 query.sql(
@@ -91,7 +117,7 @@ def j1(spark: SparkSession, d: str) -> DataFrame:
     sellers = t("supplier").join(here, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
     lines = t("lineitem").join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
     buyers = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    return lines.join(buyers, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))).groupBy("n_name").agg(F.sum(revenue()).alias("revenue"))
+    return lines.join(buyers, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))).groupBy("n_name").agg(revenue_sum().alias("revenue"))
 
 
 @query("j2_left_outer", "SELECT o_orderkey, count(l_linenumber) AS lines, sum(CAST(l_quantity AS DECIMAL(18,2))) AS quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
@@ -128,7 +154,7 @@ def j5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j6_sort_merge", f"SELECT o_orderpriority, count(*) AS n, sum({REVENUE}) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority")
 def j6(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").join(table(spark, d, "orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum(revenue()).alias("revenue"))
+    return table(spark, d, "lineitem").join(table(spark, d, "orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), revenue_sum().alias("revenue"))
 
 
 @query("j6_shuffle_hash", "SELECT p_brand, CAST(sum(l_linenumber) AS BIGINT) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
@@ -142,6 +168,7 @@ def j6s(spark: SparkSession, d: str) -> DataFrame:
     return joins.salted(table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), s, "l_suppkey", 8).groupBy("l_suppkey").agg(F.count("*").alias("n"))
 
 
+query.sql("j7_non_equi", "nation", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
 query.sql("j7_theta", "nation", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
 
 
@@ -171,6 +198,17 @@ def j9(spark: SparkSession, d: str) -> DataFrame:
     return joins.asof(p, v, ["user_id"], "ts", ["event_id"]).select("event_id", "user_id", "right_event_id", "right_ts")
 
 
+@query(
+    "j9_asof_by_time",
+    "SELECT p.event_id, p.user_id, v.event_id AS right_event_id, v.ts AS right_ts FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts",
+)
+def j9t(spark: SparkSession, d: str) -> DataFrame:
+    """The same with each user's rows split by days, for users with very many rows."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    p, v = e.where("event_type = 'purchase'"), e.where("event_type = 'view'")
+    return joins.asof(p, v, ["user_id"], "ts", ["event_id"], part=F.date_trunc("day", F.col("ts").cast("timestamp"))).select("event_id", "user_id", "right_event_id", "right_ts")
+
+
 @query("j10_pandas_asof", "SELECT p.event_id, v.value AS seen FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts")
 def j10(spark: SparkSession, d: str) -> DataFrame:
     """The same by the pandas API, which makes the pairs that j9 spares."""
@@ -200,7 +238,7 @@ def a1(spark: SparkSession, d: str) -> DataFrame:
     return (
         table(spark, d, "lineitem")
         .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum(money("l_quantity")).alias("sum_qty"), F.sum(revenue()).alias("revenue"), F.count("*").alias("n_lines"), F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+        .agg(exact_sum(hundredths("l_quantity"), "decimal(28,2)", 2).alias("sum_qty"), revenue_sum().alias("revenue"), F.count("*").alias("n_lines"), F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
     )
 
 
@@ -215,15 +253,16 @@ query.sql("a5_grouping_sets", "lineitem", f"SELECT l_returnflag, l_linestatus, {
 query.sql("a6_exact_quantile", "orders", "SELECT o_orderpriority, percentile(o_totalprice, 0.5) AS median FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, quantile_cont(o_totalprice, 0.5) AS median FROM orders GROUP BY o_orderpriority")
 
 
-@query("a7_approximate", "SELECT l_returnflag, true AS distinct_near, true AS quantile_near FROM lineitem GROUP BY l_returnflag")
+@query("a7_approximate", "SELECT l_returnflag, count(*) AS n, count(DISTINCT l_orderkey) AS orders, true AS distinct_near, true AS quantile_near FROM lineitem GROUP BY l_returnflag")
 def a7(spark: SparkSession, d: str) -> DataFrame:
-    """Approximate distinct count and quantile, each within five per cent of the exact one."""
-    near = lambda a, b: F.abs(a - b) <= 0.05 * b
-    return (
-        table(spark, d, "lineitem")
-        .groupBy("l_returnflag")
-        .agg(near(F.approx_count_distinct("l_orderkey", 0.01), F.countDistinct("l_orderkey")).alias("distinct_near"), near(F.percentile_approx("l_extendedprice", 0.5, 10000), F.percentile("l_extendedprice", 0.5)).alias("quantile_near"))
-    )
+    """Approximate distinct count and median beside exact counts: the one within five per cent, the other with 49 to 51
+    per cent of the rows up to it. The exact numbers come from counts by key and by comparison, so no group is held."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_extendedprice")
+    guess = rows.groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.01).alias("guess"), F.percentile_approx("l_extendedprice", 0.5, 10000).alias("median"))
+    below = rows.join(F.broadcast(guess), "l_returnflag").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_extendedprice") <= F.col("median")).alias("below"), F.first("guess").alias("guess"))  # three groups
+    orders = rows.groupBy("l_returnflag", "l_orderkey").count().groupBy("l_returnflag").agg(F.count("*").alias("orders"))
+    share = F.col("below") / F.col("n")
+    return below.join(orders, "l_returnflag").select("l_returnflag", "n", "orders", (F.abs(F.col("guess") - F.col("orders")) <= 0.05 * F.col("orders")).alias("distinct_near"), share.between(0.49, 0.51).alias("quantile_near"))
 
 
 query.sql("a8_max_by", "orders", "SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS dearest, min_by(o_orderkey, o_totalprice) AS cheapest FROM orders GROUP BY o_custkey")
@@ -244,15 +283,33 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
     return counts.groupBy("event_type").agg(F.max_by("k", F.struct("count", -F.col("k"))).alias("mode_k"))
 
 
-@query("a13_sketches", "SELECT true AS hll_near, true AS theta_near, true AS kll_near, true AS common_kept FROM lineitem LIMIT 1")
+@query(
+    "a13_sketches",
+    """SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, true AS hll_near, true AS theta_near, true AS kll_near,
+       (SELECT list(k ORDER BY n DESC, k) FROM (SELECT l_linenumber AS k, count(*) AS n FROM lineitem b WHERE b.l_returnflag = a.l_returnflag GROUP BY 1 ORDER BY n DESC, k LIMIT 3)) AS common
+       FROM lineitem a GROUP BY l_returnflag""",
+)
 def a13(spark: SparkSession, d: str) -> DataFrame:
-    """Mergeable sketches by group, merged and held against exact values."""
-    rows = table(spark, d, "lineitem")
-    parts = rows.groupBy("l_suppkey").agg(F.hll_sketch_agg("l_orderkey", F.lit(14)).alias("h"), F.theta_sketch_agg("l_orderkey", F.lit(14)).alias("t"))
-    merged = parts.agg(F.hll_sketch_estimate(F.hll_union_agg("h")).alias("h"), F.theta_sketch_estimate(F.theta_union_agg("t")).alias("t"))
-    exact = rows.agg(F.countDistinct("l_orderkey").alias("n"), F.percentile("l_orderkey", 0.5).alias("m"), F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint("l_orderkey"), F.lit(0.5)).alias("k"), F.max("l_orderkey").alias("top"), F.expr("approx_top_k(l_linenumber, 3)").alias("c"))
-    near = lambda a, b, of, share: F.abs(F.col(a) - F.col(b)) <= share * F.col(of)
-    return merged.crossJoin(exact).select(near("h", "n", "n", 0.05).alias("hll_near"), near("t", "n", "n", 0.05).alias("theta_near"), near("k", "m", "top", 0.05).alias("kll_near"), (F.size("c") == 3).alias("common_kept"))
+    """Mergeable sketches by supplier, merged by flag and held against exact values: distinct counts within five per cent,
+    a median with 48 to 52 per cent of the rows up to it, the three most frequent of few values."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_suppkey", "l_orderkey", "l_linenumber")
+    made = rows.groupBy("l_returnflag", "l_suppkey").agg(F.hll_sketch_agg("l_orderkey", F.lit(14)).alias("h"), F.theta_sketch_agg("l_orderkey", F.lit(14)).alias("t"), F.kll_sketch_agg_bigint("l_orderkey").alias("k"))
+    merged = made.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_union_agg("h")).alias("h"), F.theta_sketch_estimate(F.theta_union_agg("t")).alias("t"))
+    top = rows.groupBy("l_returnflag").agg(F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint("l_orderkey"), F.lit(0.5)).alias("k"), F.expr("approx_top_k(l_linenumber, 3)").alias("c"))
+    known = merged.join(top, "l_returnflag")  # three groups
+    orders = rows.groupBy("l_returnflag", "l_orderkey").agg(F.count("*").alias("n"))
+    held = orders.join(F.broadcast(known), "l_returnflag").groupBy("l_returnflag").agg(F.count("*").alias("orders"), F.sum("n").alias("n"), F.sum(F.when(F.col("l_orderkey") <= F.col("k"), F.col("n")).otherwise(0)).alias("below"), *(F.first(c).alias(c) for c in ("h", "t", "c")))
+    near = lambda a: F.abs(F.col(a) - F.col("orders")) <= 0.05 * F.col("orders")
+    common = F.transform(F.array_sort(F.transform("c", lambda x: F.struct((-x["count"]).alias("n"), x["item"].alias("item")))), lambda x: x["item"])
+    return held.select("l_returnflag", "orders", near("h").alias("hll_near"), near("t").alias("theta_near"), (F.col("below") / F.col("n")).between(0.48, 0.52).alias("kll_near"), common.alias("common"))
+
+
+@query("a13_count_min", "SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY l_linenumber")
+def a13c(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by a count-min sketch, merged from the partitions' sketches. Seven values seldom meet in 20,000 places."""
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("k"))
+    counts = sketches.CountMin(rows, "k", 0.0001, 0.99, 1)
+    return spark.createDataFrame([(k, counts.estimate(k)) for k in range(1, 8) if counts.estimate(k)], "l_linenumber int, n long")
 
 
 # -- windows -------------------------------------------------------------------------------------------------------

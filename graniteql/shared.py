@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 _folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: `spark.checkpoint.dir`. Only where that is unset, as in
-    local tests, a folder of this process is made and removed when it ends."""
+    """The folder that the driver and all executors see: `spark.checkpoint.dir`. Only where that is unset and driver and
+    executors are one process, as in local tests, a folder of this process is made and removed when it ends."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="graniteql-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -43,10 +46,22 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it back. A lost executor loses nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with _no_shuffle_files_left(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def _no_shuffle_files_left(spark: SparkSession):
+    """While this lasts, a query's shuffle files go when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that no later plan reads."""
     spark = df.sparkSession
@@ -56,12 +71,3 @@ def forget(df: DataFrame) -> None:
         if "/graniteql-" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver
-    happens to collect its garbage."""
-    for _ in range(2):  # what the first round frees holds what the second one frees
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)

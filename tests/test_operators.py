@@ -1,18 +1,20 @@
 """Operators on small tables: nulls, ties, empty input."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graniteql.functions import text, vectors
-from graniteql.operators import joins, ranking, search
+from graniteql.functions import sketches, text, vectors
+from graniteql import plans
+from graniteql.operators import graph, joins, near, ranking, search
 from graniteql.sources import formats
 from graniteql.streaming import events
 
-from .conftest import SMALL
+from .conftest import MIDDLE, SMALL
 
 
 def at(n):
@@ -26,6 +28,15 @@ def test_asof_takes_the_last_not_after(spark):
     assert got == {1: (at(5), 11), 2: (None, None), 3: (None, None), 4: (None, None), 5: (at(6), None)}
 
 
+def test_asof_by_parts_is_asof(spark):
+    rows = [(i, None if i % 7 == 0 else "abc"[i % 3], at(i * 37 % 400)) for i in range(150)]
+    left = spark.createDataFrame(rows, "id int, k string, t timestamp")
+    right = spark.createDataFrame([(k, t, i) for i, k, t in rows[::4]], "k string, t timestamp, v int")
+    plain, parts = (sorted(map(tuple, joins.asof(left, right, ["k"], "t", ["v"], part=p).collect()), key=str) for p in (None, F.date_trunc("hour", F.col("t"))))
+    assert plain == parts and any(r[-1] is not None for r in plain)
+    assert joins.asof(left, right.limit(0), ["k"], "t", ["v"], part=F.date_trunc("hour", F.col("t"))).where("right_v is null").count() == 150
+
+
 def test_asof_with_an_empty_side(spark):
     left = spark.createDataFrame([(1, "a", at(5))], "id int, k string, t timestamp")
     right = spark.createDataFrame([], "k string, t timestamp, v int")
@@ -74,6 +85,114 @@ def test_vectors_and_text(spark):
     assert t.select(text.jaccard(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3)))).first()[0] == pytest.approx(1 / 3)
 
 
+def test_count_min_is_never_low(spark):
+    rows = spark.createDataFrame([(i % 50,) for i in range(1000)] + [(None,)], "k long")
+    counts = sketches.CountMin(rows, "k", 0.01, 0.99, 3)
+    assert all(20 <= counts.estimate(k) <= 20 + 0.01 * 1000 for k in range(50)) and counts.estimate(999) <= 10
+    words = spark.createDataFrame([("a",), ("a",), ("b",)], "w string")
+    assert sketches.CountMin(words, "w", 0.01, 0.99, 3).estimate("a") == 2
+    assert sketches.CountMin(words.limit(0), "w", 0.01, 0.99, 3).estimate("a") == 0
+
+
+def test_exact_sums(spark):
+    from graniteql.plans import relational
+
+    rows = spark.createDataFrame([(90071992547.01,), (0.29,), (-12.35,), (None,)], "x double")
+    got = rows.agg(relational.exact_sum(relational.hundredths("x"), "decimal(28,2)", 2).alias("s"), F.sum(F.col("x").cast("decimal(18,2)")).alias("d")).first()
+    assert got["s"] == got["d"]
+
+
+def plan_of(spark, name):
+    return plans.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_are_the_ones_meant(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" in plan_of(spark, "j6_sort_merge") and "ShuffledHashJoin" in plan_of(spark, "j6_shuffle_hash")
+        assert "BroadcastHashJoin" in plan_of(spark, "j5_broadcast_hash")
+        assert "WindowGroupLimit" in plan_of(spark, "s3_top_k_per_group") and "TakeOrderedAndProject" in plan_of(spark, "s2_top_k")
+        for name in ("j7_range_without_key", "j8_interval", "j9_asof", "j9_asof_by_time"):
+            plan = plan_of(spark, name)
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    assert "NestedLoop" in plan_of(spark, "j7_non_equi")  # nation has 25 rows at any scale
+    scan = next(x for x in plans.QUERIES["pf2_filter"](spark, SMALL)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).splitlines() if x.startswith("PushedFilters"))
+    assert "GreaterThanOrEqual(l_shipdate" in scan and "In(l_returnflag" in scan
+    assert "l_extendedprice" not in plan_of(spark, "pf2_filter")
+
+
+def test_sample_is_a_part_of_the_table(spark):
+    rows = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
+    drawn, again = (sorted(map(tuple, plans.QUERIES["pf6_sample"](spark, SMALL).collect())) for _ in range(2))
+    assert drawn == again
+    left = Counter(map(tuple, rows.collect()))
+    assert abs(len(drawn) - 0.1 * left.total()) < 5 * (0.09 * left.total()) ** 0.5
+    assert not Counter(drawn) - left
+
+
+def test_near_duplicates_on_odd_rows(spark):
+    base = [f"w{i}" for i in range(60)]
+    near_ones = [" ".join([*base[:i], "x", *base[i:]]) for i in range(8)]
+    rows = [(i, t) for i, t in enumerate(near_ones)] + [(20, " ".join(base)), (21, " ".join(base).upper()), (22, None), (23, ""), (24, "a b"), (25, "A  b"), (26, "b a"), (None, " ".join(base)), (27, " ".join(base[::-1]))]
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys([*range(8), 20, 21], 0) | {22: 22, 23: 23, 24: 24, 25: 24, 26: 26, 27: 27}
+    assert near.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_near_duplicates_recall(spark):
+    """Against all pairs at sf0.01."""
+    rows = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(rows).collect()}
+    sets = {}
+    for r in rows.collect():
+        w = r["text"].lower().split()
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    by_size, pairs = sorted(sets, key=lambda i: len(sets[i])), []
+    for x, i in enumerate(by_size):
+        for j in by_size[x + 1 :]:
+            if 0.8 * len(sets[j]) > len(sets[i]):
+                break
+            both = len(sets[i] & sets[j])
+            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                pairs.append((i, j))
+    assert len(pairs) > 50 and sum(got[i] == got[j] for i, j in pairs) >= 0.98 * len(pairs)
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(31), 0) | dict.fromkeys(range(100, 140), 100)
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    from graniteql import shared
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
+
+
+def test_written_leaves_settings_as_they_were(spark):
+    from graniteql import shared
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    out = shared.written(spark.range(100).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert out.count() == 7 and spark.conf.get(key, None) == before
+    shared.forget(out)
+
+
 def test_formats(spark):
     assert formats.available(spark, "parquet") and not formats.available(spark, "avro")
 
