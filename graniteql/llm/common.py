@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniteql.shared import forget, fresh_path, release, shared_dir, written  # noqa: F401  for the operators
+from graniteql.shared import forget, fresh_path, shared_dir, written  # noqa: F401  for the operators
 
 _shipped: set[str] = set()
 
@@ -35,14 +35,30 @@ def ship(spark: SparkSession) -> None:
 
 
 def some(df: DataFrame, key: str, k: int) -> DataFrame:
-    """At most k rows, the first ones by a hash of a column; the same in each run. Of a large table only rows whose
-    hash is small are sorted, twice k of them by expectation, so that each task sends the driver a few."""
+    """The first k rows by a hash of a column, all if there are no more; the same in each run. Of a large table only
+    rows whose hash is small are sorted, twice k of them by expectation, so that each task sends the driver a few; more
+    if that are too few, as can be where rows share a key."""
     place, n = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 40)), df.count()
-    if n > 4 * k:
-        df = df.where(place < int((1 << 40) * 2 * k / n))
+    most = 2 * k
+    while most < n / 2:
+        few = df.where(place < int((1 << 40) * most / n))
+        if few.limit(k).count() == k:
+            return few.orderBy(place, key).limit(k)
+        most *= 4
     return df.orderBy(place, key).limit(k)
 
 
+def about_chars(docs: DataFrame) -> int:
+    """About how many characters the column text has, for the number of parts. Of files Spark knows the compressed size,
+    taken twice; other tables are measured."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() == "Project":
+        plan = plan.child()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        return 2 * int(str(plan.stats().sizeInBytes()))
+    return docs.agg(F.sum(F.length("text"))).first()[0] or 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

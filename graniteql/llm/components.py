@@ -1,33 +1,5 @@
-"""Connected components of a graph whose edges are a table, by alternating large and small stars.
+"""Connected components, for the operators here."""
 
-Each round hangs a node's neighbours on the smallest one: first the larger neighbours (large star), then the smaller
-ones (small star). After a number of rounds that grows with the logarithm of the nodes every node hangs on the smallest
-of its component. A round is two aggregations and two joins, split where a node has many neighbours, and is written to
-the shared folder, so that neither the driver nor any one task ever holds the edges.
-"""
+from graniteql.operators.graph import by_other_key, components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from graniteql.llm.common import forget, written
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, component for every node of the edges a, b (long); a component is named by its smallest node."""
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    now, before = written(now, "edges"), None
-    while True:
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.hash("u", "v"), F.lit(1 << 20)))).first()
-        if state == before or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).distinct()
-        before = state
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", F.col("m"))).distinct()
-        after = written(small, "edges")
-        forget(now)
-        now = after
+__all__ = ["by_other_key", "components"]

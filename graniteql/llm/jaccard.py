@@ -10,19 +10,23 @@ loses no link, and returns each document's component.
    made again in full, and the same test is made with whole sets: a class all but 15 % of whose shingles no other
    class has leaves too. What stays are near-duplicates, for the most part.
 3. The rest of each set, rarest shingle first, has a prefix of which a linked pair shares a shingle. Classes that are
-   connected by prefix shingles form clusters; a large cluster is cut into blocks that meet in pairs, a very large one
-   is dealt by prefix shingle instead, and a pair then meets at its first common one. No task has more than two blocks.
+   connected by prefix shingles form clusters. In a cluster of more than BLOCK classes each class is first compared with
+   one other, the smallest that shares a prefix shingle (its pivot); those that link form groups. Then all classes but
+   those of the largest group, in blocks, meet all classes of the cluster, in blocks: pairs within the largest group
+   have nothing to add. Clusters with very many such classes are dealt by prefix shingle instead, and a pair then meets
+   at its first common one. No task has more than two blocks.
 4. In a task the ordered sets are stored in a trie with compressed paths. Each set walks down the trie; what it shares
    with a path is counted once for all sets below; a subtree is left as soon as the shingles that remain, the sizes
-   below, or a component known already rule out a new link.
+   below, or a group known already rule out a new link.
 5. Links are joined to components by star contraction over tables.
 
-Nothing that grows with the documents reaches the driver or a broadcast.
+Nothing that grows with the documents reaches the driver or a broadcast. Joins on a shingle meet a table that is dealt
+anew for the join, so that Spark can split a shingle that very many documents have.
 
 Defined cases: a null text is an empty one; a document without words has no shingle and links with nothing; fewer words
-than n are one shingle, the whole sequence; a null identifier has component null and links with nothing; rows that share
-an identifier are one document of the graph, each with its own size; an empty table gives no rows. Extra columns take
-no part.
+than n are one shingle, the whole sequence; every row is a document of its own, also those that repeat an identifier or
+have none; a component is named by its smallest identifier (null if it has none); an empty table gives no rows. Very long
+texts are hashed in parts. Extra columns take no part.
 """
 
 from __future__ import annotations
@@ -31,13 +35,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graniteql.llm.common import forget, release, ship, written
-from graniteql.llm.components import components
+from graniteql.llm.common import forget, ship, written
+from graniteql.llm.components import by_other_key, components
 
-#: Classes in a block, and blocks of a cluster that meet in pairs; larger clusters are dealt by shingle.
+#: Classes in a block, and blocks outside a cluster's largest group; clusters with more are dealt by shingle.
 BLOCK, MOST_BLOCKS = 64, 64
 #: The margin of a head, in per cent of the set.
 MARGIN = 10
@@ -169,29 +173,33 @@ def _list(values: list[np.ndarray]) -> pa.Array:
 
 
 def _heads(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of each row: doc, print (a hash of the text), size, name (of the set), head."""
+
     def run(batches):
         for batch in batches:
-            sets = list(sets_of(batch.column(1), n))
+            sets = list(sets_of(batch.column(2), n))
             sizes = [len(s) for s in sets]
             names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             heads = [s[: head_length(len(s), percent)] for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), _list(heads)], names=["doc", "size", "name", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), _list(heads)], names=["doc", "print", "size", "name", "head"])
 
-    return docs.mapInArrow(run, "doc long, size long, name binary, head array<long>")
+    return docs.select("doc", F.xxhash64("text").alias("print"), "text").mapInArrow(run, "doc long, print long, size long, name binary, head array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """Of class, text: the class's size and whole set."""
+
     def run(batches):
         for batch in batches:
             sets = list(sets_of(batch.column(1), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _list(sets)], names=["doc", "size", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _list(sets)], names=["class", "size", "items"])
 
-    return docs.mapInArrow(run, "doc long, size long, items array<long>")
+    return docs.select("class", "text").mapInArrow(run, "class long, size long, items array<long>")
 
 
 def _shared(items: DataFrame) -> DataFrame:
-    """doc, size, item, df for items (distinct in a doc) that at least two docs have."""
-    often = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    """class, size, item, df for items (distinct in a class) that at least two classes have."""
+    often = by_other_key(items, "item", lambda x: x.agg(F.count("*").alias("df"))).where("df > 1")
     return items.join(often, "item")
 
 
@@ -236,16 +244,17 @@ def _trie(order: list[int], sets: list[list[int]], sizes: list[int], depth: int)
     return out
 
 
-def tree_links(left: list[int], right: list[int], items: list[np.ndarray], sizes: list[int], percent: int, may=None) -> list[tuple[int, int]]:
+def tree_links(left: list[int], right: list[int], items: list[np.ndarray], sizes: list[int], percent: int, may=None, groups: list[int] | None = None) -> list[tuple[int, int]]:
     """Links between the sets numbered left and those numbered right, as many as connect what links connect. items:
     distinct shingles of each set, but for shingles that no other set has; sizes: with them. may(a, b): whether a
-    pair belongs to this task."""
+    pair belongs to this task. groups: sets of one group are connected already."""
     values, inverse, often = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, -often))] = np.arange(len(values))
     ranks = np.split(rank[inverse], np.cumsum([len(x) for x in items])[:-1])
     sets = [np.sort(r).tolist() for r in ranks]
-    parent = list(range(len(items)))
+    first: dict[int, int] = {}
+    parent = [first.setdefault(g, i) for i, g in enumerate(groups if groups is not None else range(len(items)))]
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -300,98 +309,163 @@ def _after(own: list[int], last: int) -> int:
     return low
 
 
-def _near(heads: DataFrame, percent: int) -> DataFrame:
-    """doc of the classes (by their smallest document) whose heads have enough in common with others."""
-    first = heads.where("size > 0 and doc is not null").groupBy("name").agg(F.min("doc").alias("doc"))
-    single = heads.join(first, ["doc", "name"], "left_semi").select("doc", "size", F.explode("head").alias("item"))
-    met = _shared(single).groupBy("doc", "size").agg(F.count("*").alias("n"))
-    return written(met.where(F.col("n") >= _floor(F.col("size"), percent)).select("doc").distinct(), "near")
+def _classes(heads: DataFrame) -> DataFrame:
+    """A row for each distinct set that has shingles: class (a number), name, doc and print (of one row of it, the one
+    of the smallest identifier), written."""
+    least = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("row")
+    found = heads.where("size > 0").groupBy("name").agg(least).select("name", F.col("row.doc").alias("doc"), F.col("row.print").alias("print"))
+    return written(found.withColumn("class", F.monotonically_increasing_id()), "classes")
+
+
+def _near(heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """class, doc, print of the classes whose heads have enough in common with others."""
+    same = (heads["name"] == classes["name"]) & heads["doc"].eqNullSafe(classes["doc"]) & (heads["print"] == classes["print"])
+    single = heads.join(classes, same).select("class", "size", F.explode("head").alias("item"))
+    met = _shared(single).groupBy("class", "size").agg(F.count("*").alias("n"))
+    met = met.where(F.col("n") >= _floor(F.col("size"), percent)).select("class")
+    return written(classes.select("class", "doc", "print").join(met, "class", "left_semi"), "near")
 
 
 def _rest(docs: DataFrame, near: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc, size, items, prefix of the classes whose sets have enough in common with others: the items that others
+    """class, size, items, prefix of the classes whose sets have enough in common with others: the items that others
     have too, rarest first, and how many of them are the prefix."""
-    full = written(_sets(docs.join(near, "doc", "left_semi").dropDuplicates(["doc", "text"]), n), "sets")
-    shared = _shared(full.select("doc", "size", F.explode("items").alias("item")))
-    rest = shared.groupBy("doc", "size").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
+    few = written(near.select(*_row_key("doc", "print")[:2]).distinct(), "ids")  # small enough to be broadcast for longest
+    texts = docs.select("text", *_row_key("doc", F.xxhash64("text")))
+    texts = texts.join(few, ["__id", "__none"], "left_semi").groupBy(*ROW).agg(F.first("text").alias("text"))  # alike rows as one
+    texts = texts.join(near.select("class", *_row_key("doc", "print")), ROW).select("class", "text")
+    full = written(_sets(texts, n), "sets")
+    shared = _shared(full.select("class", "size", F.explode("items").alias("item")))
+    rest = shared.groupBy("class", "size").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
     least = F.ceil(F.col("size") * percent / 100.0).cast("int")
     rest = rest.where(F.size("items") >= least)
-    rest = written(rest.select("doc", "size", F.transform("items", lambda x: x["item"]).alias("items"), (F.size("items") - least + 1).alias("prefix")), "rest")
-    forget(full)
+    rest = written(rest.select("class", "size", F.transform("items", lambda x: x["item"]).alias("items"), (F.size("items") - least + 1).alias("prefix")), "rest")
+    for table in (full, few):
+        forget(table)
     return rest
 
 
-def links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Classes: doc, size, name for every row with words; and links a, b between the smallest documents of classes,
-    enough to connect all that is connected. docs: doc_id, text."""
-    spark = docs.sparkSession
-    ship(spark)
+#: What tells rows with different texts apart, without nulls, so that joins and groups deal alike.
+ROW = ["__id", "__none", "__print"]
+
+
+def _row_key(doc: str, print_: str | Column) -> list[Column]:
+    return [F.coalesce(F.col(doc).cast("long"), F.lit(0)).alias("__id"), F.col(doc).isNull().alias("__none"), (F.col(print_) if isinstance(print_, str) else print_).alias("__print")]
+
+
+def links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows: doc, print, size, name of every row; classes: see _classes; and links a, b between classes, enough to
+    connect all that is connected. docs: doc_id, text."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     heads = written(_heads(docs, n, percent), "heads")
-    near = _near(heads, percent)
-    release(spark)
+    classes = _classes(heads)
+    near = _near(heads, classes, percent)
     rest = _rest(docs, near, n, percent)
-    release(spark)
-    prefix = rest.select("doc", F.explode(F.slice("items", F.lit(1), F.col("prefix"))).alias("item"))
-    stars = prefix.groupBy("item").agg(F.min("doc").alias("star"), F.count("*").alias("n")).where("n > 1").select("item", "star")
-    near_edges = prefix.join(stars, "item").where("doc > star").select(F.col("doc").alias("a"), F.col("star").alias("b")).distinct()
-    clusters = written(components(near_edges), "clusters")
-    found = written(_meet(rest, prefix, clusters, percent), "links")
-    release(spark)
-    return heads.select("doc", "size", "name"), found
-
-
-def _blocks(rows: DataFrame, key: str, size_of: DataFrame) -> DataFrame:
-    """Sends each row to every pair of blocks of its group that it is in: adds x, y, block."""
-    rows = rows.join(size_of, key).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other)
-    return rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("members", "blocks", "other")
-
-
-def _meet(rest: DataFrame, prefix: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    forget(near)
+    prefix = rest.select("class", F.explode(F.slice("items", F.lit(1), F.col("prefix"))).alias("item"))
+    stars = by_other_key(prefix, "item", lambda x: x.agg(F.min("class").alias("star"), F.count("*").alias("n"))).where("n > 1").select("item", "star")
+    edges = written(prefix.join(stars, "item").where("class > star").select(F.col("class").alias("a"), F.col("star").alias("b")).distinct(), "prefixes")
+    clusters = components(edges)
+    sizes = by_other_key(clusters, "component", lambda x: x.agg(F.count("*").alias("members")))
+    clusters = clusters.join(sizes, "component")
+    clustered = written(rest.join(clusters, rest["class"] == clusters["node"]).drop("node"), "clustered")
+    forget(rest)
+    few, many = clustered.where(F.col("members") <= BLOCK), clustered.where(F.col("members") > BLOCK)
+    pivots = _pivot_links(many, edges, percent)
+    small = few.select("component", F.lit(None).cast("long").alias("item"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(2).alias("side"), "class", "size", "items", F.col("class").alias("group"))
+    met = small.unionByName(_dealt(many, pivots))
+    found = written(_met(met, percent).unionByName(pivots), "links")
+    for table in (clustered, edges, pivots):
+        forget(table)
+    return heads.select("doc", "print", "size", "name"), classes.select("class", "name", "doc", "print"), found
+
+
+def _pivot_links(many: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+    """a, b: classes that link with their pivot, the smallest class with which they share a prefix shingle."""
+    rows = many.select(F.col("class").alias("a"), F.col("size").alias("a_size"), F.col("items").alias("a_items"))
+    theirs = many.select(F.col("class").alias("b"), F.col("size").alias("b_size"), F.col("items").alias("b_items"))
+    pivots = by_other_key(edges, "a", lambda x: x.agg(F.min("b").alias("b")))
+    met = rows.join(pivots, "a").join(theirs, "b")
+    common = F.size(F.array_intersect("a_items", "b_items"))
+    return written(met.where(100 * common >= percent * (F.col("a_size") + F.col("b_size") - common)).select("a", "b"), "pivots")
+
+
+def _dealt(many: DataFrame, pivots: DataFrame) -> DataFrame:
+    """The rows of large clusters, each sent to every tile that it is in: component, item, x, y, side, class, size,
+    items, group. side 0 has a block of classes outside the largest group, side 1 a block of all classes."""
+    groups = components(pivots)
+    grouped = many.select("component", "class").join(groups.withColumnRenamed("component", "group"), many["class"] == groups["node"], "left")
+    labels = _counted(grouped.select("component", "class", F.coalesce("group", "class").alias("group")), "component")
+    large = labels.where(F.col("others") > BLOCK * MOST_BLOCKS).select("component", "class", "group")
+    by_item = _counted(large.join(many.select("class", F.explode(F.slice("items", F.lit(1), F.col("prefix"))).alias("item")), "class"), "item")
+    usual = labels.where(F.col("others") <= BLOCK * MOST_BLOCKS).withColumn("item", F.lit(None).cast("long"))
+    return many.select("class", "size", "items").join(_tiles(usual.unionByName(by_item)), "class")
+
+
+def _counted(labels: DataFrame, key: str) -> DataFrame:
+    """Adds to labels (key, class, group): members of the key, others outside its largest group, and that group."""
+    n = labels.groupBy(key, "group").agg(F.count("*").alias("n"))
+    counts = by_other_key(n, key, lambda x: x.agg(F.sum("n").alias("members"), F.max(F.struct("n", (-F.col("group")).alias("group"))).alias("most")))
+    counts = counts.select(key, "members", (F.col("members") - F.col("most.n")).alias("others"), (-F.col("most.group")).alias("largest"))
+    return written(labels.join(counts, key), "labels")
+
+
+def _tiles(labels: DataFrame) -> DataFrame:
+    """Of labels with counts, the tiles that each class is in."""
+    labels = labels.where("others > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    own = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), blocks(n)).cast("int")
+    columns = ["component", "item", "x", "y", "side", "class", "group"]
+    left = labels.where(F.col("group") != F.col("largest")).withColumn("y", numbers("members")).withColumn("x", own("others", 1)).withColumn("side", F.lit(0))
+    right = labels.withColumn("x", numbers("others")).withColumn("y", own("members", 2)).withColumn("side", F.lit(1))
+    return left.select(columns).unionByName(right.select(columns))
+
+
+def _met(dealt: DataFrame, percent: int) -> DataFrame:
+    """The links that each tile finds. side 2 is a small cluster as a whole."""
+
     def run(group: pa.Table) -> pa.Table:
-        docs = group.column("doc").to_pylist()
-        sizes = group.column("size").to_pylist()
+        classes, sizes, sides, names = (group.column(k).to_pylist() for k in ("class", "size", "side", "group"))
         items = [np.array(x.as_py(), np.int64) for x in group.column("items")]
-        blocks = group.column("block").to_pylist()
-        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
         item = group.column("item")[0].as_py()
+        left = [i for i, s in enumerate(sides) if s != 1]
+        right = [i for i, s in enumerate(sides) if s != 0]
         may = None
         if item is not None:  # dealt by shingle: a pair meets at its first common one
             heads = [frozenset(v[: v.tolist().index(item)].tolist()) for v in items]
             may = lambda a, b: heads[a].isdisjoint(heads[b])
-        left = [i for i, b in enumerate(blocks) if b == x]
-        right = [i for i, b in enumerate(blocks) if b == y]
-        got = tree_links(left, right, items, sizes, percent, may) if left and right and len(docs) > 1 else []
-        return pa.table({"a": pa.array([docs[i] for i, _ in got], pa.int64()), "b": pa.array([docs[j] for _, j in got], pa.int64())})
-
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
-    rows = rest.join(clusters, rest["doc"] == clusters["node"]).drop("node")
-    usual = _blocks(rows, "component", sizes.where(F.col("members") <= BLOCK * MOST_BLOCKS)).withColumn("item", F.lit(None).cast("long"))
-    large = rows.join(sizes.where(F.col("members") > BLOCK * MOST_BLOCKS).select("component"), "component", "left_semi")
-    by_item = large.select("doc", "size", "items", "component", F.explode(F.slice("items", F.lit(1), F.col("prefix"))).alias("item"))
-    large = _blocks(by_item, "item", by_item.groupBy("item").agg(F.count("*").alias("members")).where("members > 1"))
-    columns = ["component", "item", "x", "y", "block", "doc", "size", "items"]
-    met = usual.select(columns).unionByName(large.select(columns))
-    return met.groupBy("component", "item", "x", "y").applyInArrow(run, "a long, b long")
+        got = tree_links(left, right, items, sizes, percent, may, names) if left and right and len(classes) > 1 else []
+        return pa.table({"a": pa.array([classes[i] for i, _ in got], pa.int64()), "b": pa.array([classes[j] for _, j in got], pa.int64())})
+
+    return dealt.groupBy("component", "item", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def _named(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds to classes: component (the number of its smallest class)."""
+    parts = components(found)
+    return classes.join(parts, classes["class"] == parts["node"], "left").select(classes["*"], F.coalesce("component", "class").alias("component"))
 
 
 def joined(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    classes, found = links(docs, n, percent)
-    parts = components(found)
-    names = classes.where("size > 0 and doc is not null").groupBy("name").agg(F.min("doc").alias("first"))
-    names = names.join(parts, names["first"] == parts["node"], "left").select("name", F.coalesce("component", "first").alias("component_id"))
-    alone = classes.where("size = 0 or doc is null").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("doc").alias("component_id"))
-    rows = classes.where("size > 0 and doc is not null").join(names, "name").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id")
-    return rows.unionByName(alone)
+    rows, classes, found = links(docs, n, percent)
+    named = _named(classes, found)
+    least = by_other_key(named, "component", lambda x: x.agg(F.min("doc").alias("component_id")))
+    names = named.join(least, "component").select("name", "component_id")
+    alone = rows.where("size = 0").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("doc").alias("component_id"))
+    linked = rows.where("size > 0").join(names, "name").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id")
+    return linked.unionByName(alone)
 
 
 def kept(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """One row of each component, the one with the smallest identifier, with its columns. Of rows that repeat an
-    identifier one stays; rows without identifier all stay."""
-    first = joined(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__doc")).distinct()
-    rows = docs.join(first, docs["doc_id"] == first["__doc"]).drop("__doc").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null"))
+    """One row of each component, the one with the smallest identifier (rows without one come last; then a hash of the
+    text decides, then one of the row), with its columns. Rows that repeat an identifier are documents of their own, so
+    one of them goes only if it is a near copy of another row. Of rows without words, alike in identifier and text, one
+    stays."""
+    rows, classes, found = links(docs, n, percent)
+    best = by_other_key(_named(classes, found), "component", lambda x: x.agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("row")))
+    stay = best.select(*_row_key("row.doc", "row.print")).unionByName(rows.where("size = 0").select(*_row_key("doc", "print"))).distinct()
+    own = docs.select("*", *_row_key("doc_id", F.xxhash64(F.col("text").cast("string")))).join(stay, ROW)
+    first = F.row_number().over(Window.partitionBy(*ROW).orderBy(F.xxhash64(*docs.columns)))
+    return own.withColumn("__first", first).where("__first = 1").select(docs.columns)

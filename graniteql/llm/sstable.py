@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from graniteql.llm.common import fresh_path, groups, ship
+from graniteql.llm.common import about_chars, fresh_path, groups, ship
 from graniteql.llm.pretokens import KEPT_CHARS, LATIN, LONG, _blank, _latin, pieces
 
 MAGIC = b"GQLSST01"
@@ -218,7 +218,7 @@ class LibraryEncoder:
     encodes each distinct pre-token once, which gives the same ids, as its merges never cross pre-tokens. Texts that hold
     the content of an added token (the end of text, say) are given to it whole, which finds those first."""
 
-    REMEMBERED = 500_000
+    REMEMBERED = 900_000
 
     def __init__(self, json_text: str):
         self.json, self.tokenizer = json_text, None
@@ -304,24 +304,13 @@ def _opened(path: str):
     return fs, at
 
 
-def _size(docs: DataFrame) -> int:
-    """About how many characters the texts have, for the number of shards. Of files Spark knows the compressed size,
-    taken twice; other tables are measured."""
-    plan = docs._jdf.queryExecution().optimizedPlan()
-    while plan.getClass().getSimpleName() == "Project":
-        plan = plan.child()
-    if plan.getClass().getSimpleName() == "LogicalRelation":
-        return 2 * int(str(plan.stats().sizeInBytes()))
-    return docs.agg(F.sum(F.length("text"))).first()[0] or 0
-
-
 def write_shards(docs: DataFrame, encoder: LibraryEncoder, end_id: int, folder: str, shard_chars: int = 64_000_000) -> list[dict]:
     """Encodes doc_id, text and writes shards into a shared folder. Returns a row for each shard, in order of the
     identifiers: path, documents, tokens, first and last key. The list is as long as there are shards."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    chars = _size(docs)
+    chars = about_chars(docs)
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = min(MOST_SHARDS, max(1, math.ceil(chars / shard_chars), min(2 * deal, math.ceil(chars / 250_000))))
     at = [i / n for i in range(1, n)]
@@ -334,7 +323,7 @@ def write_shards(docs: DataFrame, encoder: LibraryEncoder, end_id: int, folder:
         end = np.array([end_id], f"<u{own.width}").tobytes()
         for batch in batches:
             ids = batch.column(0)
-            packed = [x + end for part in groups(batch.column(1)) for x in own.encode(part)]
+            packed = [x + end for part in groups(batch.column(1), 1 << 18) for x in own.encode(part)]
             known, null = ids.fill_null(-_SIGN).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
             low, high = (np.searchsorted(edges, known, side) for side in ("left", "right"))
             low = np.where((known == -_SIGN) & ~null, np.maximum(low, high - 1), low)  # after all null ones
