@@ -5,24 +5,32 @@ consecutive units, its inner substrings are the S consecutive units inside it, o
 closed syncmer if its smallest inner substring is the first or the last one. Whether a k-mer is chosen depends on the
 k-mer alone, not on what stands around it; so an edit changes the anchors that it touches and no others.
 
-`anchors` gives all of them with their positions. `fingerprint` has each distinct hash of the whole text's anchors with
-the position of its first occurrence, and `repeats` all later occurrences: together they are all anchors. `likeness` is
-the share of common distinct anchors, 2 |A and B| / (|A| + |B|); `shared` is the same share with every occurrence
-counted; `displacement` is the shift in units at which most common anchors agree. None of them is an estimate.
+`anchors` gives all of them with their positions, and the fingerprint lists them all in the text's order. `links` match
+positions: a link is two anchors that follow one another and the units between them, so that it survives a shift, and two
+texts have it in common only where both anchors moved together. `likeness` is the share of common distinct links,
+2 |A and B| / (|A| + |B|); `shared` is the share of common anchors with every occurrence counted; `displacement` is the
+shift in units at which most common anchors agree. None of them is an estimate.
 
 Defined cases: a null text is an empty one; an empty text has no anchor and the fingerprint '', and likeness is 1 to
-another such text and 0 to any other; a text of fewer than K units has one anchor, the whole; positions from 2^24 - 1 on
-are stored as that. Equal texts have equal fingerprints.
+another such text and 0 to any other; a text of fewer than K units has one anchor, the whole; an anchor that is alone is
+its own link; positions from 2^24 - 1 on are stored as that, and links count from there on as if without gaps. Equal texts
+have equal fingerprints. Rows that repeat an identifier or have none are documents of their own, in the order of a hash
+of their texts, then of the texts, and those without come last; an empty table gives no rows; columns other than doc_id
+and text take no part, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graniteql.llm.common import about_chars
+
 UNIT, K, S = 24, 4, 2
-#: Most anchors of a fingerprint; None is all.
-SKETCH = None
+#: About how many characters a range of documents has, and most ranges.
+RANGE_CHARS, MOST_RANGES = 32_000_000, 50_000
 _POS = 24
 _TOP = (1 << _POS) - 1
 
@@ -77,9 +85,9 @@ def distinct(ordered: Column) -> Column:
     return F.filter(ordered, lambda x, i: ~_seen(ordered, i))
 
 
-def repeated(ordered: Column) -> Column:
-    """Of anchors in order, what distinct() leaves out."""
-    return F.filter(ordered, lambda x, i: _seen(ordered, i))
+def made(text: Column) -> Column:
+    """anchors (by position) and links of a text."""
+    return _bound(anchors(text), lambda z: F.struct(z.alias("anchors"), links(z).alias("links")))
 
 
 def sketch(text: Column) -> Column:
@@ -88,12 +96,12 @@ def sketch(text: Column) -> Column:
 
 
 def as_text(made: Column) -> Column:
-    """Anchors as text: ten hexadecimal digits of hash, a dot, the position; separated by spaces."""
-    return F.array_join(F.transform(made, lambda x: F.concat(F.lpad(F.lower(F.hex(_hash(x))), 10, "0"), F.lit("."), x.bitwiseAND(_long(_TOP)).cast("string"))), " ")
+    """Anchors as text: the hash in hexadecimal digits, a dot, the position; separated by spaces."""
+    return F.array_join(F.transform(made, lambda x: F.concat(F.hex(_hash(x)), F.lit("."), x.bitwiseAND(_long(_TOP)).cast("string"))), " ")
 
 
 def fingerprint(text: Column) -> Column:
-    return as_text(sketch(text))
+    return as_text(anchors(text))
 
 
 def _share(both: Column, a: Column, b: Column) -> Column:
@@ -102,13 +110,26 @@ def _share(both: Column, a: Column, b: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(2 * both.cast("double") / n)
 
 
+def links(anchors: Column) -> Column:
+    """Of anchors by position: a hash of each anchor, the one after it and the units between; of an anchor alone, its own."""
+
+    def linked(z: Column) -> Column:
+        at = lambda x: x.bitwiseAND(_long(_TOP))
+        n = F.size(z)
+        pairs = F.zip_with(F.slice(z, 1, F.greatest(n - 1, F.lit(0))), F.slice(z, 2, F.greatest(n - 1, F.lit(0))), lambda x, y: F.xxhash64(_hash(x), _hash(y), at(y) - at(x)))
+        return F.when(n == 1, F.transform(z, _hash)).otherwise(F.array_distinct(pairs))
+
+    return _bound(anchors, linked)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """The share of common anchors of two sketches."""
-    return _share(F.size(F.array_intersect(F.transform(a, _hash), F.transform(b, _hash))), a, b)
+    """The share of common links of two texts."""
+    return _share(F.size(F.array_intersect(a, b)), a, b)
 
 
 def shared(a: Column, b: Column) -> Column:
-    """The share of common anchors of two texts' anchors in order, an anchor counted as often as both texts have it."""
+    """The share of common anchors of two texts' anchors (by hash or by position), each counted as often as both texts
+    have it."""
     tagged = lambda s, tag: F.transform(s, lambda x: F.shiftleft(_hash(x), 1).bitwiseOR(_long(tag)))
 
     def step(at: Column, x: Column) -> Column:
@@ -151,7 +172,7 @@ def range_index(value: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """Adds anchors, next_text and next_anchors: the next document's by descending doc_id, after the last one the first's.
+    """Adds made, next_text and next_made: the next document's by descending doc_id, after the last one the first's.
 
     Documents are dealt by quantiles of doc_id, and a window looks ahead inside each range. The first document of each
     range is also sent to the range before it, where it comes last. Anchors, nearly as large as the text, are taken after
@@ -167,35 +188,30 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     copy = lambda r, c: F.struct(r.alias("range"), F.lit(c).alias("copy"))
     place = F.when(F.col("doc_id").eqNullSafe(F.get(top, F.col("range"))), F.array(copy(F.col("range"), 0), copy(F.get(sent, F.col("range")), 1))).otherwise(F.array(copy(F.col("range"), 0)))
     docs = docs.withColumn("place", F.explode(place)).withColumn("range", F.col("place.range")).withColumn("copy", F.col("place.copy")).drop("place")
-    docs = docs.repartition("range").withColumn("anchors", in_order(F.col("text")))
+    docs = docs.repartition("range").withColumn("made", made(F.col("text")))
     ahead = Window.partitionBy("range").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
-    return docs.withColumn("next_text", F.lead("text").over(ahead)).withColumn("next_anchors", F.lead("anchors").over(ahead)).filter("copy = 0").drop("copy", "range")
+    return docs.withColumn("next_text", F.lead("text").over(ahead)).withColumn("next_made", F.lead("made").over(ahead)).filter("copy = 0").drop("copy", "range")
 
 
 def compared(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Each document's fingerprint beside its edited text's and the next document's; see the query op8."""
     spark = docs.sparkSession
-    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if not ranges:
+        wanted = math.ceil(about_chars(docs) / RANGE_CHARS)
+        ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, MOST_RANGES))
     docs = with_next(docs, ranges)
     n = F.length("text")
     part = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - part), F.substring(F.col("next_text"), F.lit(1), part))
-    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "anchors", "next_anchors", edited.alias("edited"))
-    docs = docs.select("doc_id", "n_chars", "anchors", "next_anchors", F.sha2("edited", 256).alias("edited_sha256"), in_order(F.col("edited")).alias("edited_anchors"))
-    docs = docs.select("*", *(distinct(F.col(f"{c}anchors")).alias(f"{c}sketch") for c in ("", "edited_", "next_")))
+    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "made", "next_made", edited.alias("edited"))
+    docs = docs.select("doc_id", "n_chars", "made", "next_made", F.sha2("edited", 256).alias("edited_sha256"), made(F.col("edited")).alias("edited_made"))
     return docs.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        as_text(repeated(F.col("anchors"))).alias("repeats"),
-        as_text(repeated(F.col("edited_anchors"))).alias("edited_repeats"),
-        shared(F.col("anchors"), F.col("edited_anchors")).alias("shared_edited"),
-        shared(F.col("anchors"), F.col("next_anchors")).alias("shared_next"),
-        displacement(F.col("sketch"), F.col("edited_sketch")).alias("shift_edited"),
-        displacement(F.col("sketch"), F.col("next_sketch")).alias("shift_next"),
+        as_text(F.col("made.anchors")).alias("fingerprint"),
+        as_text(F.col("edited_made.anchors")).alias("edited_fingerprint"),
+        likeness(F.col("made.links"), F.col("edited_made.links")).alias("near_edited"),
+        likeness(F.col("made.links"), F.col("next_made.links")).alias("near_next"),
     )

@@ -42,22 +42,19 @@ def anchors(text):
     return [(hash_of([inner[i], inner[i + 2]]) & (2**64 - 1)) >> 24 << 24 | i for i in range(len(h) - 3) if min(inner[i : i + 3]) in (inner[i], inner[i + 2])]
 
 
-def sketch(text):
-    first = {}
-    for a in sorted(anchors(text), key=signed):
-        first.setdefault(a >> 24, a)
-    return list(first.values())[: syncmer.SKETCH]
+def links(text):
+    """Anchors that follow one another, and the units between them."""
+    z = [((a & (2**64 - 1)) >> 24, a & (2**24 - 1)) for a in anchors(text)]
+    return {(a, b, j - i) for (a, i), (b, j) in zip(z, z[1:], strict=False)} if len(z) != 1 else {z[0][0]}
 
 
 def likeness(a, b):
-    x, y = ({signed(v) >> 24 & (2**40 - 1) for v in s} for s in (a, b))
-    union = sorted(x | y)[: syncmer.SKETCH]
-    both = sum(v in x and v in y for v in union)
-    return 2 * both / (len(union) + both) if union else 1.0
+    x, y = links(a), links(b)
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
 
 
 def fingerprint(text):
-    return " ".join(f"{a >> 24:010x}.{a & (2**24 - 1)}" for a in sketch(text))
+    return " ".join(f"{(a & (2**64 - 1)) >> 24:X}.{a & (2**24 - 1)}" for a in anchors(text))
 
 
 def check_fingerprints(rows, got):
@@ -70,8 +67,8 @@ def check_fingerprints(rows, got):
         edited, r = text[: len(text) - part] + after[:part], by_id[doc_id]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert (r["fingerprint"], r["edited_fingerprint"]) == (fingerprint(text), fingerprint(edited))
-        assert r["near_edited"] == pytest.approx(likeness(sketch(text), sketch(edited)))
-        assert r["near_next"] == pytest.approx(likeness(sketch(text), sketch(after)))
+        assert r["near_edited"] == pytest.approx(likeness(text, edited))
+        assert r["near_next"] == pytest.approx(likeness(text, after))
 
 
 def test_op8(spark):
@@ -96,10 +93,27 @@ def test_op8_has_no_python(spark):
 
 def test_positions(spark):
     words = [f"w{i}" for i in range(60)]
-    df = spark.createDataFrame([(" ".join(words), " ".join(["a", "b", "c", *words]))], "a string, b string")
-    made = df.select(syncmer.sketch(F.col("a")).alias("a"), syncmer.sketch(F.col("b")).alias("b"))
-    r = made.select(syncmer.displacement(F.col("a"), F.col("b")).alias("d"), syncmer.likeness(F.col("a"), F.col("b")).alias("l")).first()
-    assert r["d"] == 3 and r["l"] > 0.9
+    moved = ["a", "b", "c", *words]
+    apart = [x for i in range(0, 60, 8) for x in (*words[i : i + 8], *(f"x{i}_{j}" for j in range(i % 5)))]  # same passages, other places
+    texts = [" ".join(x) for x in (words, moved, apart, words[::-1])]
+    df = spark.createDataFrame([(texts[0], t) for t in texts], "a string, b string")
+    made = df.select("b", *(syncmer.made(F.col(c)).alias(k) for c, k in (("a", "a"), ("b", "m"))), *(syncmer.sketch(F.col(c)).alias(f"{c}_sketch") for c in "ab"))
+    rows = {r["b"]: r for r in made.select("b", syncmer.displacement(F.col("a_sketch"), F.col("b_sketch")).alias("d"), syncmer.likeness(F.col("a.links"), F.col("m.links")).alias("l"), syncmer.shared(F.col("a.anchors"), F.col("m.anchors")).alias("s")).collect()}
+    assert rows[texts[0]]["l"] == 1 and rows[texts[3]]["l"] == 0
+    assert rows[texts[1]]["d"] == 3 and rows[texts[1]]["l"] > 0.9
+    assert 0 < rows[texts[2]]["l"] < rows[texts[2]]["s"] < 1  # where anchors did not move together, likeness falls below their share
+    for t in texts:
+        assert rows[t]["l"] == pytest.approx(likeness(texts[0], t))
+
+
+def test_ranges_follow_the_data(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(syncmer, "with_next", lambda d, ranges, real=syncmer.with_next: seen.append(ranges) or real(d, ranges))
+    want = sorted(map(tuple, syncmer.compared(docs).collect()))
+    monkeypatch.setattr(syncmer, "RANGE_CHARS", 5_000)
+    assert sorted(map(tuple, syncmer.compared(docs).collect())) == want
+    assert seen[0] == 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) < seen[1]
 
 
 def test_all_anchors_of_long_texts_count(spark):
@@ -111,15 +125,16 @@ def test_all_anchors_of_long_texts_count(spark):
     rows = [(i, " ".join(w)) for i, w in texts.items()]
     got = {r["doc_id"]: r for r in syncmer.compared(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
     check_fingerprints(rows, got.values())
+    assert 0.99 < got[4]["near_next"] < 1 and got[4]["fingerprint"] != got[3]["fingerprint"]
+    assert got[3]["near_next"] > 0.001 and got[1]["near_next"] == 1 and got[0]["near_next"] == 0
+    assert len(got[1]["fingerprint"]) > 2 * len(got[0]["fingerprint"])  # every occurrence is there
+    pairs = spark.createDataFrame([(i, dict(rows)[i], dict(rows)[(i - 1) % 5]) for i in texts], "i long, a string, b string")
+    a, b = (syncmer.sketch(F.col(c)) for c in "ab")
+    found = {r["i"]: r for r in pairs.select("i", syncmer.displacement(a, b).alias("shift"), syncmer.shared(syncmer.anchors(F.col("a")), syncmer.in_order(F.col("b"))).alias("shared")).collect()}
     for i, text in rows:
-        have = Counter(f"{(a & (2**64 - 1)) >> 24:010x}.{a & (2**24 - 1)}" for a in anchors(text))
-        assert Counter(f"{got[i]['fingerprint']} {got[i]['repeats']}".split()) == have
-        a, b = (Counter((x & (2**64 - 1)) >> 24 for x in anchors(t)) for t in (text, dict(rows)[(i - 1) % 5]))
-        assert got[i]["shared_next"] == pytest.approx(2 * (a & b).total() / (a.total() + b.total()))
-    assert 0.99 < got[4]["near_next"] < 1 and got[4]["fingerprint"] != got[3]["fingerprint"] and got[4]["shift_next"] == 0
-    assert got[3]["near_next"] > 0.001 and got[3]["shift_next"] == 5_000
-    assert got[1]["near_next"] == 1 and got[1]["shared_next"] < 0.7 and got[1]["shift_next"] == 0
-    assert got[0]["near_next"] == 0 and got[0]["shift_next"] is None
+        x, y = (Counter((v & (2**64 - 1)) >> 24 for v in anchors(t)) for t in (text, dict(rows)[(i - 1) % 5]))
+        assert found[i]["shared"] == pytest.approx(2 * (x & y).total() / (x.total() + y.total()))
+    assert (found[4]["shift"], found[3]["shift"], found[1]["shift"], found[0]["shift"]) == (0, 5_000, 0, None) and found[1]["shared"] < 0.7
 
 
 def shingles(text, n):
@@ -180,16 +195,75 @@ def test_op9(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op9_ngram_join"](spark, MIDDLE).collect()} == brute(rows)
 
 
+def by_row(rows, n=4, percent=85):
+    """The same with every row a document of its own: sorted doc_id, n_shingles, component_id; and each row's group."""
+    numbered = brute([(i, t) for i, (_, t) in enumerate(rows)], n, percent)
+    group = [numbered[i][1] for i in range(len(rows))]
+    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    return sorted(((r[0], numbered[i][0], least[group[i]]) for i, r in enumerate(rows)), key=str), group
+
+
+def check_join(docs, rows, n=4, percent=85):
+    want, group = by_row(rows, n, percent)
+    assert sorted((tuple(r) for r in jaccard.joined(docs, n, percent).collect()), key=str) == want
+    left = jaccard.kept(docs, n, percent).collect()
+    assert len({(r["doc_id"], r["text"]) for r in left}) == len(left)
+    groups = Counter()
+    for r in left:
+        groups[next(group[i] for i, x in enumerate(rows) if x[:2] == (r["doc_id"], r["text"]))] += 1
+    has_words = {g for i, g in enumerate(group) if shingles(rows[i][1], n)}
+    assert {g: groups[g] for g in has_words} == dict.fromkeys(has_words, 1)
+    assert {(r["doc_id"], r["text"]) for r in left if not shingles(r["text"], n)} == {x[:2] for x in rows if not shingles(x[1], n)}
+
+
 def test_odd_join(spark, odd, empty, odd_rows):
-    got = jaccard.joined(odd).collect()
-    assert len(got) == len(odd_rows)
-    want = brute(list({r[0]: r[:2] for r in odd_rows}.values()))
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
-    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
-    assert jaccard.joined(empty).count() == 0
-    kept = jaccard.kept(odd)
-    assert kept.columns == odd.columns
-    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in kept.collect()) == sorted([(True, i) for i, (_, c) in want.items() if i == c] + [(False, 0)])
+    check_join(odd, [r[:2] for r in odd_rows])
+    assert jaccard.joined(empty).count() == 0 and jaccard.kept(empty).count() == 0
+    assert jaccard.kept(odd).columns == odd.columns
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_repeated_and_missing_identifiers(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    a, b, c = (" ".join(f"{k}{i}" for i in range(23)) for k in "abc")
+    mixed = " ".join([*a.split()[:13], *b.split()[:10]])
+    rows = [(5, a), (5, b), (5, b), (7, mixed), (9, c), (9, mixed + " end"), (None, c), (None, c), (None, "alone without identifier or company"), (11, a + " more"), (11, ""), (11, None), (None, ""), (3, b + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check_join(docs, rows)
+    check_join(docs, rows, 5, 80)
+
+
+def test_large_groups_meet_their_pivot_first(spark, monkeypatch):
+    """Near copies of one text, so many that pairs of blocks would be many: what links with the pivot is not dealt."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[: i % 117], f"x{i}", *words[i % 117 + 1 :]])) for i in range(200)]
+    rows += [(1000 + i, " ".join([*words[:60], *(f"y{i}_{j}" for j in range(60))])) for i in range(5)]  # shares a passage only
+    dealt, real = [], jaccard._dealt
+
+    def counted(many, pivots):
+        out = real(many, pivots)
+        dealt.append((many.count(), pivots.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_dealt", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check_join(docs, rows)
+    many, linked, sent = dealt[0]
+    assert many >= 200 and linked >= 190 and sent < 4 * many
+
+
+def test_joins_on_a_shingle_can_be_split(spark):
+    """Both sides of such a join are shuffled for it, with nothing between."""
+    items = spark.range(1000).selectExpr("id as class", "id % 50 as size", "id % 7 as item")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = jaccard._shared(items)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    lines = [x.strip(" +-:*()0123456789") for x in plan.splitlines()]
+    at = next(i for i, x in enumerate(lines) if x.startswith("SortMergeJoin"))
+    assert lines[at + 1].startswith("Sort") and lines[at + 2].startswith("Exchange hashpartitioning(item") and sum("Exchange hashpartitioning(item" in x for x in lines) == 2
 
 
 def test_shingle_hashes_follow_the_words():
