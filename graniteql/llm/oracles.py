@@ -14,7 +14,7 @@ r(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, l.y FROM r JOIN l ON
 SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, min(r.y) AS component_id FROM s JOIN r ON r.x = s.doc_id GROUP BY s.doc_id
 """
 
-_LONG = "'co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp', 'ne.jp', 'or.jp', 'com.br', 'com.cn', 'com.tr', 'co.in', 'co.kr', 'co.za', 'com.mx'"
+_GENERAL = "'ac', 'asn', 'co', 'com', 'edu', 'firm', 'gen', 'go', 'gob', 'gouv', 'gov', 'gv', 'ind', 'info', 'ltd', 'me', 'mil', 'ne', 'net', 'nhs', 'nom', 'or', 'org', 'plc', 'sch', 'web'"
 
 
 def _strength(source: str, k: str, n: str, m: str) -> str:
@@ -27,9 +27,9 @@ WITH h AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?
 rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 fits AS (SELECT page_id, arg_max(rules.h || rules.p, length(rules.h || rules.p)) AS rule, arg_max(verdict, length(rules.h || rules.p)) AS ruled FROM h JOIN rules ON (h.host = rules.h OR ends_with(h.host, '.' || rules.h)) AND starts_with(h.path, rules.p) GROUP BY page_id),
 x AS (SELECT h.*, rule, ruled FROM h LEFT JOIN fits USING (page_id)),
-c AS (SELECT host, CAST(count(ruled) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE ruled = 'block') AS DOUBLE) AS k, string_split(host, '.') AS a FROM x GROUP BY host),
-d AS (SELECT host, n, k, a, CASE WHEN regexp_full_match(host, '[0-9.]+') THEN 0 WHEN array_to_string(a[-2:], '.') IN ({_LONG}) THEN 2 ELSE 1 END AS t FROM c),
-e AS (SELECT host, n, k, CASE WHEN t = 0 THEN host ELSE array_to_string(a[-(t + 1):], '.') END AS domain, CASE t WHEN 0 THEN '' WHEN 1 THEN a[-1] ELSE array_to_string(a[-2:], '.') END AS suffix FROM d),
+c AS (SELECT host, CAST(count(ruled) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE ruled = 'block') AS DOUBLE) AS k, regexp_replace(host, ':[0-9]*$', '') AS bare, string_split(bare, '.') AS a FROM x GROUP BY host),
+d AS (SELECT host, bare, n, k, a, CASE WHEN regexp_full_match(bare, '[0-9.]+') THEN 0 WHEN length(a[-1]) = 2 AND len(a) > 1 AND a[-2] IN ({_GENERAL}) THEN 2 ELSE 1 END AS t FROM c),
+e AS (SELECT host, n, k, CASE WHEN t = 0 THEN bare ELSE array_to_string(a[-(t + 1):], '.') END AS domain, CASE t WHEN 0 THEN '' WHEN 1 THEN a[-1] ELSE array_to_string(a[-2:], '.') END AS suffix FROM d),
 f AS (SELECT domain, suffix, sum(n) AS dn, sum(k) AS dk FROM e GROUP BY ALL),
 g AS (SELECT suffix, sum(dn) AS sn, sum(dk) AS sk FROM f GROUP BY ALL),
 t AS (SELECT (coalesce(sum(sk), 0) + 1) / (coalesce(sum(sn), 0) + 2) AS mean FROM g),

@@ -133,7 +133,7 @@ def test_odd_urls(spark):
     assert url_reputation.judged(df.limit(0), queries.RULES).count() == 0
     table = spark.createDataFrame(queries.RULES, "verdict string, host string, path string")
     bare = out.select("page_id", "host", "path")
-    by_table = {r["page_id"]: (r["rule"], r["ruled"]) for r in url_reputation.by_rule_table(bare, table, "page_id").collect()}
+    by_table = {r["page_id"]: (r["rule"], r["ruled"]) for r in url_reputation.by_rule_table(bare, table).collect()}
     assert by_table == {i: judge(u)[2:] for i, u in enumerate(urls)}
 
 
@@ -141,10 +141,11 @@ def reputation(pages):
     """host -> mean, sd, by the same model written out by hand."""
 
     def parts(host):
+        host = re.sub(":[0-9]*$", "", host)
         if re.fullmatch(r"[0-9.]+", host):
             return host, ""
         labels = host.split(".")
-        n = 2 if ".".join(labels[-2:]) in url_reputation.LONG_SUFFIXES else 1
+        n = 2 if len(labels) > 1 and len(labels[-1]) == 2 and labels[-2] in url_reputation.GENERAL else 1
         return ".".join(labels[-n - 1 :]), ".".join(labels[-n:])
 
     count = lambda key: {k: (sum(1 for h, v in pages if key(h) == k and v), sum(1 for h, v in pages if key(h) == k and v == "block")) for k in {key(h) for h, _ in pages}}
@@ -171,13 +172,42 @@ def reputation(pages):
 
 def test_reputation_by_hand(spark):
     rng = np.random.default_rng(3)
-    hosts = ["a.x.com", "b.x.com", "c.y.com", "d.z.org", "e.z.org", "f.co.uk", "g.h.co.uk", "1.2.3.4", ""]
+    hosts = ["a.x.com", "b.x.com:8080", "c.y.com", "d.z.org", "e.gov.au", "f.co.uk", "g.h.co.uk", "1.2.3.4:80", ""]
     pages = [(hosts[i], [None, "allow", "block"][int(v)]) for i, v in zip(rng.integers(0, 9, 200), rng.integers(0, 3, 200), strict=True)]
     got = {r["host"]: (r["mean"], r["sd"]) for r in url_reputation.reputations(spark.createDataFrame(pages, "host string, ruled string")).collect()}
     want = reputation(pages)
     assert got.keys() == want.keys() and all(got[h] == pytest.approx(want[h]) for h in want)
 
 
+def test_suffixes_by_table_and_ports(spark):
+    hosts = ["a.b.example.com:8080", "x.github.io", "github.io", "y.x.github.io:1", "k.city.kawasaki.jp", "gov.au", "a.gov.au", "1.2.3.4:5", "", "localhost", "Z.Co.Il".lower()]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    rule = {r["host"]: (r["domain"], r["suffix"]) for r in url_reputation.with_domains(df).collect()}
+    assert rule["a.b.example.com:8080"] == ("example.com", "com") and rule["a.gov.au"] == ("a.gov.au", "gov.au") and rule["z.co.il"] == ("z.co.il", "co.il")
+    assert rule["1.2.3.4:5"] == ("1.2.3.4", "") and rule["localhost"] == ("localhost", "localhost") and rule["x.github.io"] == ("github.io", "io")
+    table = spark.createDataFrame([("io",), ("github.io",), ("GITHUB.io",), ("city.kawasaki.jp",), ("jp",), ("4",)], "suffix string")
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in url_reputation.with_domains(df, table).collect()}
+    assert got["x.github.io"] == ("x.github.io", "github.io") and got["y.x.github.io:1"] == ("x.github.io", "github.io") and got["github.io"] == ("github.io", "github.io")
+    assert got["k.city.kawasaki.jp"] == ("k.city.kawasaki.jp", "city.kawasaki.jp") and got["1.2.3.4:5"] == ("1.2.3.4", "")
+    assert {h: got[h] for h in ("a.gov.au", "localhost", "")} == {h: rule[h] for h in ("a.gov.au", "localhost", "")}
+
+
+def test_many_rules_are_a_table(spark, monkeypatch):
+    rules = [*queries.RULES, ("block", "example.com", "/en/7"), *(("block", f"h{i}.com", f"/p{i}") for i in range(120))]
+    urls = ["http://a.example.com/en/7", "http://h3.com/p33", "http://w.h33.com/p33/x", "http://x.net/de/", None, "http://com/en/"] * 2
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    asked = lambda: sorted((r["page_id"], r["host"], r["rule"] or "", r["verdict"], round(r["reputation"], 12)) for r in url_reputation.judged(df, rules).collect())
+    by_table = asked()
+    monkeypatch.setattr(url_reputation, "MOST_INLINE", 1000)
+    assert asked() == by_table and by_table[0][2:4] == ("example.com/en/7", "allow")
+
+
+def test_pages_are_read_twice_only(spark):
+    """Once to aggregate hosts, once to be judged."""
+    plan = url_reputation.judged(spark.read.parquet(f"{MIDDLE}/pages.parquet"), queries.RULES)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[page_id", plan)) == 1  # the plan that judges; hosts are a table
+
+
 def sizes_of(rows):
     return [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in rows]
 
