@@ -19,10 +19,12 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once an application, for clusters on which it is not installed. Also makes
-    the batches that go to Python smaller than Spark's default, if that is in force: rows here hold whole texts."""
+    the batches that go to Python smaller than Spark's default, as rows here hold whole texts, unless someone has set
+    their size."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(batch):
+        spark.conf.set(batch, "1000")
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
