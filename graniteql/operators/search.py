@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns of so many characters in all are sent to every executor; more are joined.
+#: Patterns of about so many characters in all go into one automaton; more are dealt over several, each of which reads the
+#: texts.
 MOST_CHARS = 20_000_000
 
 
 def containing(texts: DataFrame, patterns: DataFrame, text_id: str, pattern_id: str, text: str = "text") -> DataFrame:
     """Pairs of text and pattern where the text contains the pattern. The patterns' size is checked: an automaton of
-    them reads each text once; if they are too many for one, Spark compares texts and patterns by a join. Nulls contain
-    nothing; an empty pattern is in every text that is not null."""
+    them reads each text once; if they are too many for one, several automata of a bounded size do, dealt by a hash of the
+    pattern, so that no text is ever compared with patterns one by one. Nulls contain nothing; an empty pattern is in
+    every text that is not null."""
     size = patterns.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)), F.count("*")).first()
-    if size[0] > MOST_CHARS or size[1] > MOST_CHARS // 10:
-        p = patterns.select(pattern_id, F.col(text).alias("__pattern"))
-        return texts.join(p, F.contains(text, F.col("__pattern"))).select(text_id, pattern_id)
+    parts = max(1, -(-max(size[0], 10 * size[1]) // MOST_CHARS))
+    if parts == 1:
+        return _containing(texts, patterns, text_id, pattern_id, text)
+    part = F.pmod(F.xxhash64(text), F.lit(parts))
+    return reduce(DataFrame.unionByName, (_containing(texts, patterns.where(part == i), text_id, pattern_id, text) for i in range(parts)))
+
+
+def _containing(texts: DataFrame, patterns: DataFrame, text_id: str, pattern_id: str, text: str) -> DataFrame:
+    """The same for patterns that fit one automaton."""
     rows = [(r[0], r[1]) for r in patterns.select(pattern_id, text).collect() if r[1] is not None]
     shared = texts.sparkSession.sparkContext.broadcast(rows)
     kinds = {c: dict(df.dtypes)[c] for df, c in ((texts, text_id), (patterns, pattern_id))}

@@ -65,7 +65,7 @@ def test_top_k_and_first(spark):
     assert sorted((r["key"] or "", r["v"], r["copies"]) for r in ranking.first_of_each(df, F.col("g"), "v").collect()) == [("", 4, 1), ("a", 1, 3), ("b", 9, 1)]
 
 
-@pytest.mark.parametrize("most", [10**6, 0])
+@pytest.mark.parametrize("most", [10**6, 20, 3])
 def test_containing(spark, monkeypatch, most):
     monkeypatch.setattr(search, "MOST_CHARS", most)
     docs = spark.createDataFrame([(1, "abcabc"), (2, None), (3, ""), (4, "xbcy")], "d long, text string")
