@@ -8,7 +8,8 @@ Each Python worker remembers what it resolved, in a table of bounded size, as na
 vocabulary is of a fixed size and goes to the executors as a broadcast.
 
 Defined cases: a null text is an empty text; an empty text has no tokens (n_tokens 0, the digests of empty strings);
-repeated rows give repeated rows; other columns are kept by `encode` and `decode` unless they have the result's
+a very long text is split piece by piece, in lists of a bounded length; an empty table gives no rows; repeated rows give
+repeated rows; other columns are kept by `encode` and `decode` unless they have the result's
 name, in which case the result replaces them.
 """
 

@@ -6,9 +6,10 @@ gated attention (a tanh layer times a sigmoid layer) weighs the passages; the we
 attention and output are learned together from document labels alone, by gradient descent on the driver, from a
 bounded sample of the labelled documents (see `labelled`). Every passage of every text is scored.
 
-Defined cases: a null text is an empty one; an empty text is a bag of one empty passage and gets a score too; without
-labels of both classes the score is the smoothed share of label 1 (0.5 without any label); repeated rows get equal
-scores; extra columns take no part.
+Defined cases: a null text is an empty one; an empty text is a bag of one empty passage and gets a score too; a very long
+text's passages are encoded some at a time, with the same result; without labels of both classes the score is the smoothed
+share of label 1 (0.5 without any label); repeated rows get equal scores; an empty table gives no rows; extra columns take
+no part, and one named as the result is replaced.
 """
 
 from __future__ import annotations
