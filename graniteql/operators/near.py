@@ -31,10 +31,12 @@ def shingles(text: Column, n: int) -> Column:
     return F.element_at(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), grams), 1)
 
 
-def bands(items: Column) -> Column:
-    """A hash for each band: of its rows' minima."""
-    minimum = lambda i: F.array_min(F.transform(items, lambda x: F.xxhash64(x, F.lit(i))))
-    return F.array(*(F.xxhash64(F.lit(b), *(minimum(b * ROWS + r) for r in range(ROWS))) for b in range(BANDS)))
+def bands(sets: DataFrame) -> DataFrame:
+    """doc_id, band: a hash for each band of a set's minima (doc_id, items). The sets are exploded and the minima are
+    aggregates, which Spark compiles; a set's shingles are in one task, so that little is shuffled."""
+    minima = [F.min(F.xxhash64("item", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
+    signed = sets.select("doc_id", F.explode("items").alias("item")).groupBy("doc_id").agg(*minima)
+    return signed.select("doc_id", F.explode(F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))).alias("band"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -45,7 +47,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> Dat
     ids = written(rows.select("doc_id", "name", (F.size("items") > 0).alias("full")), "ids")
     first = ids.where("full").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     sets = written(rows.join(first, ["name", "doc_id"], "left_semi").dropDuplicates(["name"]).select("name", "doc_id", "items"), "sets")
-    keys = sets.select("doc_id", F.explode(bands(F.col("items"))).alias("band"))
+    keys = bands(sets)
     order = Window.partitionBy("band").orderBy("doc_id")
     met = keys.withColumn("before", F.lag("doc_id").over(order)).withColumn("least", F.first("doc_id").over(order)).where("before is not null")
     pairs = met.select(F.col("doc_id").alias("a"), F.explode(F.array("before", "least")).alias("b")).distinct()
