@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = by_other_key(both, "u", lambda x: x.agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = by_other_key(large, "u", lambda x: x.agg(F.min("v").alias("m")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))  # few neighbours are smaller
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", F.col("m"))).distinct()
         after = written(small, "edges")
         forget(now)
