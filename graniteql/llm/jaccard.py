@@ -393,7 +393,7 @@ def _pivot_links(many: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
 def _dealt(many: DataFrame, pivots: DataFrame) -> DataFrame:
     """The rows of large clusters, each sent to every tile that it is in: component, item, x, y, side, class, size,
     items, group. side 0 has a block of classes outside the largest group, side 1 a block of all classes."""
-    groups = components(pivots)
+    groups = _roots(pivots)
     grouped = many.select("component", "class").join(groups.withColumnRenamed("component", "group"), many["class"] == groups["node"], "left")
     labels = _counted(grouped.select("component", "class", F.coalesce("group", "class").alias("group")), "component")
     large = labels.where(F.col("others") > BLOCK * MOST_BLOCKS).select("component", "class", "group")
@@ -402,6 +402,18 @@ def _dealt(many: DataFrame, pivots: DataFrame) -> DataFrame:
     return many.select("class", "size", "items").join(_tiles(usual.unionByName(by_item)), "class")
 
 
+def _roots(pivots: DataFrame) -> DataFrame:
+    """node, component: what each class's links to pivots lead to. Each step doubles the links followed; where more would
+    follow, one group has several names, which costs work and no link."""
+    now = pivots.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for _ in range(3):
+        further = now.select(F.col("node").alias("over"), F.col("component").alias("root"))
+        after = written(now.join(further, now["component"] == further["over"], "left").select("node", F.coalesce("root", "component").alias("component")), "roots")
+        now = after
+    tops = now.select(F.col("component").alias("node"), "component").distinct().join(now.select("node"), "node", "left_anti")
+    return now.unionByName(tops)
+
+
 def _counted(labels: DataFrame, key: str) -> DataFrame:
     """Adds to labels (key, class, group): members of the key, others outside its largest group, and that group."""
     n = labels.groupBy(key, "group").agg(F.count("*").alias("n"))
