@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -287,8 +288,26 @@ class Model:
         order = list(known)
         self.weights = {order[i]: w[i] for i in kept.tolist()}
         self.words = frozenset(x for g in self.weights for x in g.split() if x not in STOPS)
+        self.telling = self._telling(Counter(noise))
         return self
 
+    def _telling(self, often: Counter) -> frozenset[str]:
+        """Words of which a licence must have one. The others, as many of the frequent ones as can be, do not reach the
+        threshold together: for no family is the sum of all that n-grams of them alone could add as much as it needs."""
+        need = np.log(self.sure / max(1 - self.sure, 1e-12)) * self.heat - (self.bias[:-1] - self.bias[-1])
+        of: dict[str, list[tuple[set[str], np.ndarray]]] = {}
+        for g, w in self.weights.items():
+            words = {x for x in g.split() if x not in STOPS}
+            for x in words or {""}:  # the end of a sentence alone is in any line
+                of.setdefault(x, []).append((words, np.maximum(w[:-1] - w[-1], 0)))
+        sums, silent = sum((add for _, add in of.get("", [])), np.zeros(len(need))), set()
+        for x in sorted(self.words, key=lambda x: (-often[x], x)):
+            more = sums + sum((add for words, add in of[x] if words <= silent | {x}), np.zeros(len(need)))
+            if (more < need).all():
+                sums = more
+                silent.add(x)
+        return self.words - silent
+
     def _trained(self, at: np.ndarray, col: np.ndarray, y: np.ndarray, use: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
         """Weights and constants, by proximal steps (Adagrad) on the examples in use."""
         k = len(self.families) + 1
@@ -401,7 +420,7 @@ class Model:
         count, fresh = 0, False
 
         def look() -> None:
-            if fresh and held and held[0][1] != held[-1][1] and (got := self._window(held, recent)):
+            if fresh and held and held[0][1] != held[-1][1] and not self.telling.isdisjoint([x[0] for x in held]) and (got := self._window(held, recent)):
                 hits.append([*got, True])
 
         for line, at, words, new in numbered(text):
@@ -409,7 +428,7 @@ class Model:
             if held and line > held[-1][1] + 1:
                 look()
                 held, recent, fresh = [], [], False
-            if not self.words.isdisjoint(words):
+            if not self.telling.isdisjoint(words):
                 c, p = self._judged(self.probabilities(words))
                 if p >= self.sure:
                     hits.append([line, line, at, self.families[c], p, self._alike(words, c), False])
