@@ -198,6 +198,14 @@ def test_notices_that_no_template_has():
     assert {t: confirmed(t) for t in others} == {t: [] for t in others}
 
 
+def test_lines_that_are_passed_over_are_no_licences():
+    model = license_scan.Model().fit(["Grapes ripen slowly on those hills of the valley."] * 20)
+    silent = sorted(model.words - model.telling)
+    assert len(silent) > 3 and model.telling
+    lines = [" ".join(silent), *(" ".join(silent[i : i + 3]) + "." for i in range(len(silent)))]
+    assert all(model._judged(model.probabilities(license_scan.WORD.findall(x)))[1] < model.sure for x in lines)
+
+
 def test_likeness_is_two_sided():
     model = license_scan.Model()
     alike = lambda t, f: model._alike(license_scan.WORD.findall(t.lower()), model.families.index(f))
