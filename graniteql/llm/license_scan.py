@@ -239,6 +239,7 @@ class Model:
         others = [w for w in (WORD.findall(t.lower())[:PIECE] for t in (*corpus, *named)) if w]
         hard = [WORD.findall(t.lower()) for t in (*OTHERS, *ELSEWHERE, *CONTINUED)]
         noise = [w for line in (*others[: len(corpus)], *hard) for w in line if w not in STOPS]
+        pool = np.array(noise)  # once: a draw from a list converts all of it
         examples: list[tuple[list[str], int, int]] = []  # words, class, fold
         for c, f in enumerate(self.families):
             for i, t in enumerate(TEMPLATES[f]):
@@ -252,7 +253,7 @@ class Model:
                     if k % 4 == 3 and len(part) > 6:  # words left out
                         part = [w for w in part if rng.random() > 0.1]
                     if k % 2:  # strange sentences around
-                        a, b = (list(rng.choice(noise, int(rng.integers(0, 12)))) for _ in range(2))
+                        a, b = (list(rng.choice(pool, int(rng.integers(0, 12)))) for _ in range(2))
                         part = [*a, *["."] * bool(a), *part, *["."] * (part[-1] not in STOPS), *b]
                     examples.append((part, c, i % FOLDS))
         examples += [(w, len(self.families), i % FOLDS) for i, w in enumerate(others)]
