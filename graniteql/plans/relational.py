@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniteql.functions import sketches
-from graniteql.operators import joins, ranking
+from graniteql.operators import joins, quantiles, ranking, ranks
 from graniteql.plans.registry import Registry
 from graniteql.session import table
 
@@ -250,7 +250,22 @@ _CUBE = "count(*) AS n, CAST(grouping(l_returnflag) AS INT) AS gf, CAST(grouping
 query.sql("a5_rollup", "lineitem", f"SELECT l_returnflag, l_linestatus, {_CUBE} FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 query.sql("a5_cube", "lineitem", f"SELECT l_returnflag, l_linestatus, {_CUBE} FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 query.sql("a5_grouping_sets", "lineitem", f"SELECT l_returnflag, l_linestatus, {_CUBE} FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
-query.sql("a6_exact_quantile", "orders", "SELECT o_orderpriority, percentile(o_totalprice, 0.5) AS median FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, quantile_cont(o_totalprice, 0.5) AS median FROM orders GROUP BY o_orderpriority")
+
+
+@query("a6_exact_quantile", "SELECT o_orderpriority, quantile_cont(o_totalprice, 0.5) AS median FROM orders GROUP BY o_orderpriority")
+def a6(spark: SparkSession, d: str) -> DataFrame:
+    """By distributed selection: no buffer holds a group's values."""
+    return quantiles.exact_quantile(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", 0.5, "median")
+
+
+@query("a6_quantiles_of_all", "SELECT CAST(0.01 AS DOUBLE) AS q, quantile_cont(l_extendedprice, 0.01) AS price FROM lineitem UNION ALL SELECT CAST(0.99 AS DOUBLE), quantile_cont(l_extendedprice, 0.99) FROM lineitem")
+def a6q(spark: SparkSession, d: str) -> DataFrame:
+    """One group of all rows, its outer quantiles."""
+    rows = table(spark, d, "lineitem")
+    ends = [quantiles.exact_quantile(rows, [], "l_extendedprice", q, "price").select(F.lit(q).alias("q"), "price") for q in (0.01, 0.99)]
+    return ends[0].unionByName(ends[1])
+
+
 
 
 @query("a7_approximate", "SELECT l_returnflag, count(*) AS n, count(DISTINCT l_orderkey) AS orders, true AS distinct_near, true AS quantile_near FROM lineitem GROUP BY l_returnflag")
@@ -316,7 +331,22 @@ def a13c(spark: SparkSession, d: str) -> DataFrame:
 
 query.sql("w1_row_number", "orders", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS n FROM orders")
 query.sql("w2_rank", "lineitem", "SELECT l_orderkey, l_linenumber, l_quantity, CAST(rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS INT) AS r FROM lineitem")
-query.sql("w3_distribution", "customer", "SELECT c_custkey, CAST(ntile(4) OVER w AS INT) AS quarter, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)")
+
+
+@query("w3_distribution", "SELECT c_custkey, CAST(ntile(4) OVER w AS INT) AS quarter, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)")
+def w3(spark: SparkSession, d: str) -> DataFrame:
+    """A nation is cut into ranges: nations stay 25, whatever the number of customers."""
+    rows = ranks.ranked(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), ["c_nationkey"], ["c_acctbal", "c_custkey"])
+    return rows.select("c_custkey", ranks.tile(F.col("row_number"), F.col("size"), 4).cast("int").alias("quarter"), F.round(ranks.percent_rank(F.col("rank"), F.col("size")), 9).alias("p"), F.round(ranks.cume_dist(F.col("last"), F.col("size")), 9).alias("c"))
+
+
+@query("w3_ties", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, rank() OVER w AS rank, round(cume_dist() OVER w, 9) AS c FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity DESC)")
+def w3t(spark: SparkSession, d: str) -> DataFrame:
+    """Three partitions of 50 values: a value's ties are cut into ranges as well."""
+    rows = ranks.ranked(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity"), ["l_returnflag"], ["l_quantity"], ("l_quantity",))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "rank", F.round(ranks.cume_dist(F.col("last"), F.col("size")), 9).alias("c"))
+
+
 query.sql("w4_neighbours", "orders", "SELECT o_orderkey, lag(o_orderkey, 1) OVER w AS before, nth_value(o_orderkey, 2) OVER w AS second, first_value(o_orderkey) OVER w AS earliest FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 query.sql(
     "w5_ignore_nulls",
