@@ -40,3 +40,54 @@ q AS (SELECT {_strength("gs", "sk", "sn", "mean")} AS ks, {_strength("fs", "dk",
 m AS (SELECT host, n, kh, (k + kh * dm) / (n + kh) AS hm FROM (SELECT *, (dk + kd * sm) / (dn + kd) AS dm FROM (SELECT es.*, q.*, (sk + ks * mean) / (sn + ks) AS sm FROM es, q)))
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN hm - 1.6448536269514722 * sqrt(hm * (1 - hm) / (n + kh + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM x JOIN m USING (host)
 """
+
+
+def crc32(text: str) -> str:
+    """The unsigned crc32 of an ASCII string: its bytes are put in one by one, each followed by eight shifts."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: list_concat([CAST(ascii(c) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({steps}, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _way(after: str, price: str, edit: str, turn: str | None = None) -> str:
+    """A way to go on: price, audit, turns; `after` is what follows it."""
+    turns = f"list_prepend({turn}, {after}.turns)" if turn else f"{after}.turns"
+    return f"{{'price': {after}.price + {price}, 'audit': '{edit}' || {after}.audit, 'turns': {turns}}}"
+
+
+def _settled(state: str, keeps: dict[str, str], title: str) -> str:
+    """The cheapest way on from a state whose next turn's edit deals with row d."""
+    kept = [f"CASE WHEN may AND d.initial = '{i}' THEN {_way(f'v.{to}', 'cut', 'K', 'd.said')} END" for i, to in keeps.items()]
+    to = {"user": "u", "assistant": "a"}[title]
+    retitled = f"CASE WHEN may THEN {_way(f'v.{to}', '1 + cut', 'R', chr(39) + title + ':' + chr(39) + ' || d.text')} END"
+    return _least(_way(f"v.{state}", "2", "D"), *kept, retitled)
+
+
+_USER, _ASSISTANT = "'user:'", "'assistant:'"
+
+#: op11: damage by a draw, faults, then the cheapest edits from a conversation's end to its start; what may follow a state
+#: is held as its price, its audit and its turns.
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM raw WHERE k <> 0),
+numbered AS (SELECT *, role || ':' || text AS said, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM hurt),
+faults AS (SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS open, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered),
+d AS (SELECT *, NOT blank AND NOT again AS may, CASE WHEN open THEN 5 ELSE 0 END AS cut FROM faults),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND again) AS duplicate, count(*) FILTER (WHERE may AND open) AS truncated, count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM d GROUP BY conv_id),
+v AS (
+SELECT conv_id, n AS i, {{'price': 0, 'audit': '', 'turns': CAST([] AS VARCHAR[])}} AS o, {{'price': 10, 'audit': 'II', 'turns': [{_USER}, {_ASSISTANT}]}} AS s, {{'price': 5, 'audit': 'I', 'turns': [{_ASSISTANT}]}} AS u, {{'price': 0, 'audit': '', 'turns': CAST([] AS VARCHAR[])}} AS a FROM counts
+UNION ALL
+SELECT conv_id, i, {_least("o", _way("u", "5", "I", _USER), _way(f"{{'price': a.price + 5, 'audit': 'I' || a.audit, 'turns': list_prepend({_ASSISTANT}, a.turns)}}", "5", "I", _USER))},
+{_least("s", _way("u", "5", "I", _USER), _way(f"{{'price': a.price + 5, 'audit': 'I' || a.audit, 'turns': list_prepend({_ASSISTANT}, a.turns)}}", "5", "I", _USER))},
+{_least("u", _way("a", "5", "I", _ASSISTANT))}, {_least("a", _way("u", "5", "I", _USER))}
+FROM (SELECT v.conv_id, v.i - 1 AS i, {_settled("o", {"s": "s", "u": "u"}, "user")} AS o, {_settled("s", {"u": "u"}, "user")} AS s, {_settled("u", {"a": "a"}, "assistant")} AS u, {_settled("a", {"u": "u"}, "user")} AS a FROM v JOIN d ON v.conv_id IS NOT DISTINCT FROM d.conv_id AND v.i = d.i)
+),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(o.price, 0) AS BIGINT) AS cost, coalesce(o.audit, '') AS audit, sha256(coalesce(array_to_string(o.turns, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN counts ON ids.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN (SELECT * FROM v WHERE i = 0) w ON ids.conv_id IS NOT DISTINCT FROM w.conv_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteql.llm import ann, bpe, jaccard, license_scan, mixing, oracles, quality, sstable, syncmer, toxicity, url_reputation
+from graniteql.llm import ann, bpe, conversation_repair, jaccard, license_scan, mixing, oracles, quality, sstable, syncmer, toxicity, url_reputation
 from graniteql.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -82,3 +82,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return license_scan.summary(docs, license_scan.fitted(docs))
+
+
+@query("op11_conversation_repair", oracles.CONVERSATION_REPAIR)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
