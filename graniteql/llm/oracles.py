@@ -91,3 +91,18 @@ ids AS (SELECT DISTINCT conv_id FROM conversations)
 SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(o.price, 0) AS BIGINT) AS cost, coalesce(o.audit, '') AS audit, sha256(coalesce(array_to_string(o.turns, chr(10)), '')) AS repaired_sha256
 FROM ids LEFT JOIN counts ON ids.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN (SELECT * FROM v WHERE i = 0) w ON ids.conv_id IS NOT DISTINCT FROM w.conv_id
 """
+
+#: op12: conversations rebuilt as lists of turns; a node is a list, and what lies above it are its smallest member's lists.
+CONVERSATION_TRIE = f"""
+WITH t AS (SELECT conv_id AS c, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said, length(coalesce(text, '')) AS chars, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(said ORDER BY turn NULLS FIRST, sha256(said)) AS said, list(chars ORDER BY turn NULLS FIRST, sha256(said)) AS chars FROM t GROUP BY c),
+h AS (SELECT c, said, chars, c - (c % 100 + 100) % 100 AS base, {crc32("CAST(c AS VARCHAR)")} % 6 AS h FROM own),
+whole AS (SELECT h.c, list_concat(coalesce(b.said[1:h.h], []), h.said[h.h + 1:]) AS said, list_concat(coalesce(b.chars[1:h.h], []), h.chars[h.h + 1:]) AS chars FROM h LEFT JOIN own b ON h.base = b.c),
+paths AS (SELECT c, d, said[1:d] AS node, said[1:d - 1] AS above, coalesce(chars[d], 0) AS chars, d = len(said) AS ends FROM (SELECT *, unnest(generate_series(0, len(said))) AS d FROM whole)),
+nodes AS (SELECT node, any_value(above) AS above, d, min(c) AS conv, count(*) AS n, any_value(chars) AS chars, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends) AS ends FROM paths GROUP BY node, d),
+kids AS (SELECT above AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY above),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (node)),
+sums AS (SELECT paths.node, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves, sum((u.n - 1) * u.chars) AS saved FROM full_nodes u JOIN paths ON paths.c = u.conv AND paths.d <= u.d GROUP BY paths.node)
+SELECT x.conv AS conv_id, CAST(x.d AS BIGINT) AS depth, p.conv AS parent_conv_id, CAST(x.n AS BIGINT) AS n_convs, CAST(x.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+FROM full_nodes x JOIN sums USING (node) LEFT JOIN nodes p ON x.d > 0 AND p.node = x.above
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteql.llm import ann, bpe, conversation_repair, jaccard, license_scan, mixing, oracles, quality, secret_scan, sstable, syncmer, toxicity, url_reputation
+from graniteql.llm import ann, bpe, conversation_repair, conversation_trie, jaccard, license_scan, mixing, oracles, quality, secret_scan, sstable, syncmer, toxicity, url_reputation
 from graniteql.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -89,6 +89,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
 
 
+@query("op12_conversation_trie", oracles.CONVERSATION_TRIE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_secret_scan")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(table(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graniteql.llm import conversation_repair, oracles, queries
+from graniteql.llm import conversation_repair, conversation_trie, oracles, queries
 
 from ..conftest import MIDDLE, SMALL
 from ..test_queries import rows_of
@@ -133,3 +133,96 @@ def test_op11_is_brute_force_and_sql(spark, d):
     cursor = db.execute(oracles.CONVERSATION_REPAIR)
     names = [c[0] for c in cursor.description]
     assert rows_of(names, cursor.fetchall()) == rows_of(out.columns, mine)
+
+
+# -- operator 12 ---------------------------------------------------------------------------------------------------
+
+
+def trie(rows):
+    """The contract node by node."""
+    turns = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            turns[conv].append((turn is not None, turn or 0, hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest(), role, text))
+    own = {c: [t[3:] for t in sorted(x)] for c, x in turns.items()}
+    whole = {}
+    for c, x in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        whole[c] = tuple(own.get(c - c % 100, [])[:h] + x[h:])
+    members = defaultdict(list)
+    for c in sorted(whole):
+        for d in range(len(whole[c]) + 1):
+            members[whole[c][:d]].append(c)
+    below = defaultdict(lambda: [0, 0, 0])
+    for node in sorted(members, key=len, reverse=True):
+        b = below[node]
+        b[1] += not b[0]
+        b[2] += (len(members[node]) - 1) * len(node[-1][1]) if node else 0
+        if node:
+            up = below[node[:-1]]
+            up[0], up[1], up[2] = up[0] + 1, up[1] + b[1], up[2] + b[2]
+    ends = {n: ",".join(str(c) for c in m if len(whole[c]) == len(n)) for n, m in members.items()}
+    return sorted(((m[0], len(n), members[n[:-1]][0] if n else None, len(m), *below[n], hashlib.sha256(ends[n].encode()).hexdigest()) for n, m in members.items()), key=str)
+
+
+def grown(df, **how):
+    return sorted(map(tuple, conversation_trie.nodes(df, **how).collect()), key=str)
+
+
+@pytest.mark.parametrize("d", [SMALL, MIDDLE])
+def test_op12_is_brute_force_and_sql(spark, d):
+    import duckdb
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    out = queries.QUERIES["op12_conversation_trie"](spark, d)
+    mine = out.collect()
+    assert sorted(map(tuple, mine), key=str) == trie(rows)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet'")
+    cursor = db.execute(oracles.CONVERSATION_TRIE)
+    names = [c[0] for c in cursor.description]
+    assert rows_of(names, cursor.fetchall()) == rows_of(out.columns, mine)
+
+
+CROWD = [(c, t, "ua"[t % 2], f"text {t if c % 3 else t * 7}") for c in range(300, 420) for t in range(c % 9)] + [(c, t, "u", f"own {c}" * (c % 4)) for c in range(700, 760) for t in range(2)]
+ODD_TURNS = [(5, None, None, None), (5, None, "u", "x"), (5, 1, "u", "é日"), (5, 1, "u", "é日"), (-3, 0, "a", ""), (-100, 0, "u", "first"), (-100, 1, "u", "second"), (None, 0, "u", "nobody"), (205, 3, "u", "no base"), (10**12, 0, "s", "far")]
+
+
+@pytest.mark.parametrize("shard", [1, 4, 50, 10**6])
+def test_op12_with_heavy_levels(spark, shard):
+    """From shards of single nodes, all others being heavy, to one shard of all."""
+    rows = CROWD + ODD_TURNS
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA + ", depth int, k1 int").repartition(4)
+    assert grown(df, shard=shard) == trie(rows)
+
+
+def test_op12_long_conversations(spark, monkeypatch):
+    """Blocks of three turns: digests are chained over blocks, sums run over several of them."""
+    monkeypatch.setattr(conversation_trie, "BLOCK", 3)
+    rows = [(c, t, "u", f"{t}" if t < 11 else f"{t} {c % 2}") for c in range(600, 612) for t in range(17)] + CROWD
+    for shard in (1, 20):
+        assert grown(spark.createDataFrame(rows, SCHEMA), shard=shard, parts=5) == trie(rows)
+
+
+def test_op12_empty(spark):
+    assert conversation_trie.nodes(spark.createDataFrame([], SCHEMA)).count() == 0
+    turnless = [(c, 0, "u", "x") for c in range(901, 931) if zlib.crc32(str(c).encode()) % 6]
+    assert grown(spark.createDataFrame(turnless, SCHEMA)) == trie(turnless) and len(trie(turnless)) == 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 10**6), max_size=40))
+def test_louds_gives_the_tree_back(draws):
+    import numpy as np
+
+    parents = np.array([d % (i + 1) - 1 for i, d in enumerate(draws)], np.int64)
+    labels, degrees, starts = conversation_trie.level_order(parents, np.arange(len(parents)))
+    tree = conversation_trie.Louds(degrees)
+    assert sorted(labels) == list(range(len(parents))) and (tree.degrees() == degrees).all()
+    assert [([-1, *labels][p]) for p in tree.parents()] == [parents[i] for i in labels]
+    depth = {-1: 0}
+    for i, p in enumerate(parents):
+        depth[i] = depth[p] + 1
+    assert [depth[i] for i in labels] == sorted(depth[i] for i in labels)
+    assert [depth[labels[s]] for s in starts if s < len(labels)] == list(range(1, max(depth.values()) + 1))
