@@ -62,6 +62,14 @@ def _no_shuffle_files_left(spark: SparkSession):
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
+def spread(df: DataFrame, least: int = 64 << 20) -> DataFrame:
+    """A small table, of fewer bytes than `least`, dealt over all cores: a file of one row group is read by one task, and work
+    that costs much more than reading would stay there. Larger tables come as they are."""
+    spark = df.sparkSession
+    few = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(spark.sparkContext.defaultParallelism) if int(str(few)) < least else df
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that no later plan reads."""
     spark = df.sparkSession
