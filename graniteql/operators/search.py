@@ -1,56 +1,93 @@
-"""Search for many patterns in one pass."""
+"""Search for any number of patterns in texts, by an index of their rarest word grams.
 
-from __future__ import annotations
+Words that a pattern holds whole, with blanks on both sides, are whole words of any text that contains it, in the same order.
+So GRAM of them in a row are an anchor: texts' word grams are joined with the grams of all patterns, and of a pattern's grams
+the one with the fewest hits decides; a pattern with a gram that no text has is done with. What remains is looked at as text.
+A pattern with one or two whole words is anchored by one word. A pattern without any is anchored by all words of the texts
+that contain its longest run: those are found in the vocabulary, by an index of character grams, not in the texts.
+
+Nothing is collected: patterns, grams, hits and candidates are tables, and Spark broadcasts a side only where it is small.
+Texts are read once for each length of gram that the patterns need, and once to look at the candidates.
 
-from functools import reduce
+Defined cases: nulls contain nothing and are in nothing; rows that repeat an identifier, and repeated rows, give pairs of
+their own; identical patterns are searched once; an empty pattern is in every text that is not null, and one of blanks alone
+is compared with every text, as most texts have it or lack it whatever the index; empty tables give an empty result.
+"""
+
+from __future__ import annotations
 
-import ahocorasick
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns of about so many characters in all go into one automaton; more are dealt over several, each of which reads the
-#: texts.
-MOST_CHARS = 20_000_000
+from graniteql.operators.near import shingle, starts
+from graniteql.shared import spread, written
+
+#: Words of an anchor; characters of the vocabulary's grams.
+GRAM, LETTERS = 3, 4
+_BLANK, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
+_WHOLE = f"(?<={_BLANK}){_WORD}(?={_BLANK})"
 
 
 def containing(texts: DataFrame, patterns: DataFrame, text_id: str, pattern_id: str, text: str = "text") -> DataFrame:
-    """Pairs of text and pattern where the text contains the pattern. The patterns' size is checked: an automaton of
-    them reads each text once; if they are too many for one, several automata of a bounded size do, dealt by a hash of the
-    pattern, so that no text is ever compared with patterns one by one. Nulls contain nothing; an empty pattern is in
-    every text that is not null."""
-    size = patterns.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)), F.count("*")).first()
-    parts = max(1, -(-max(size[0], 10 * size[1]) // MOST_CHARS))
-    if parts == 1:
-        return _containing(texts, patterns, text_id, pattern_id, text)
-    part = F.pmod(F.xxhash64(text), F.lit(parts))
-    return reduce(DataFrame.unionByName, (_containing(texts, patterns.where(part == i), text_id, pattern_id, text) for i in range(parts)))
-
-
-def _containing(texts: DataFrame, patterns: DataFrame, text_id: str, pattern_id: str, text: str) -> DataFrame:
-    """The same for patterns that fit one automaton."""
-    rows = [(r[0], r[1]) for r in patterns.select(pattern_id, text).collect() if r[1] is not None]
-    shared = texts.sparkSession.sparkContext.broadcast(rows)
-    kinds = {c: dict(df.dtypes)[c] for df, c in ((texts, text_id), (patterns, pattern_id))}
-
-    def run(batches):
-        automaton, empty = ahocorasick.Automaton(), []
-        for key, pattern in shared.value:
-            if not pattern:
-                empty.append(key)
-            elif pattern in automaton:
-                automaton.get(pattern).append(key)
-            else:
-                automaton.add_word(pattern, [key])
-        automaton.make_automaton()
-        for batch in batches:
-            at, found = [], []
-            for i, x in enumerate(batch.column(1)):
-                if (t := x.as_py()) is not None:
-                    keys = [*empty, *(k for ks in {id(v): v for _, v in automaton.iter(t)}.values() for k in ks)] if len(automaton) else empty
-                    at += [i] * len(keys)
-                    found += keys
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, kind)], names=[text_id, pattern_id])
-
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[pattern_id]]
-    return texts.select(text_id, text).mapInArrow(run, f"{text_id} {kinds[text_id]}, {pattern_id} {kinds[pattern_id]}")
+    """Pairs of text and pattern where the text contains the pattern."""
+    docs = spread(texts.select(F.col(text_id).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null"))
+    docs = docs.withColumn("print", F.xxhash64("text"))
+    items = patterns.select(F.col(pattern_id).alias("item"), F.col(text).cast("string").alias("pattern")).where("pattern is not null")
+    wanted = written(items.select("pattern").distinct().withColumn("n", F.monotonically_increasing_id()), "patterns")
+    named = wanted.select("n", F.regexp_extract_all("pattern", F.lit(_WHOLE), F.lit(0)).alias("w"), F.regexp_extract_all("pattern", F.lit(_WORD), F.lit(0)).alias("all"))
+    kinds = {r[0] for r in named.select(_kind()).distinct().collect()}  # four at most
+    found = []
+    if "gram" in kinds:
+        found.append(_anchored(docs, _grams(named.where(_kind() == "gram"), GRAM), GRAM))
+    one = [_grams(named.where(_kind() == "word"), 1)] if "word" in kinds else []
+    if "part" in kinds:
+        one.append(_expanded(docs, named.where(_kind() == "part")))
+    for index in one:
+        found.append(_anchored(docs, index, 1))
+    pairs = None
+    for candidates in found:
+        # a text meets each of its candidates once, a repeated row as often as it is there
+        near = candidates.join(wanted, "n").select(F.col("id").alias("of"), F.col("print").alias("of_print"), "pattern")
+        here = docs.join(near, F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print"))).where(F.contains("text", "pattern")).select("id", "pattern")
+        pairs = here if pairs is None else pairs.unionByName(here)
+    if "blank" in kinds:
+        blanks = wanted.join(named.where(_kind() == "blank").select("n"), "n").select("pattern")
+        everywhere = docs.select("id", "text").join(blanks, F.contains("text", "pattern")).select("id", "pattern")
+        pairs = everywhere if pairs is None else pairs.unionByName(everywhere)
+    if pairs is None:
+        pairs = docs.limit(0).select("id", F.lit("").alias("pattern"))
+    return pairs.join(items, "pattern").select(F.col("id").alias(text_id), F.col("item").alias(pattern_id))
+
+
+def _kind() -> Column:
+    return F.when(F.size("w") >= GRAM, "gram").when(F.size("w") > 0, "word").when(F.size("all") > 0, "part").otherwise("blank")
+
+
+def _grams(named: DataFrame, k: int) -> DataFrame:
+    """n, gram: each of these grams alone anchors the pattern."""
+    at = named.select("n", "w", F.explode(starts(F.col("w"), k)).alias("i"))
+    return at.select("n", shingle(F.col("w"), F.col("i"), k).alias("gram")).distinct().withColumn("all", F.lit(False))
+
+
+def _expanded(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """n, gram: the words of the texts that contain a pattern's longest run; any of them may be where the pattern is."""
+    runs = named.select("n", F.array_max(F.transform("all", lambda w: F.struct(F.length(w).alias("size"), w.alias("run"))))["run"].alias("run"))
+    runs = written(runs.withColumn("size", F.least(F.length("run"), F.lit(LETTERS))).withColumn("letters", F.left("run", F.col("size"))), "runs")
+    words = written(docs.select(F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("word")).distinct(), "words")
+    sizes = runs.select("size").distinct()  # LETTERS at most
+    cut = words.join(F.broadcast(sizes), F.length("word") >= F.col("size")).select("word", "size", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("size") + 1)).alias("i"))
+    cut = cut.select("word", "size", F.substr("word", F.col("i"), F.col("size")).alias("letters")).distinct()
+    met = cut.join(runs, ["size", "letters"]).where(F.contains("word", "run"))
+    return met.select("n", F.xxhash64("word").alias("gram")).distinct().withColumn("all", F.lit(True))
+
+
+def _anchored(docs: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """n, id, print: the texts that have a pattern's rarest gram, or, where `all`, any of its grams."""
+    index = written(index, "grams")
+    words = docs.select("id", "print", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("w"))
+    grams = words.select("id", "print", "w", F.explode(starts(F.col("w"), k)).alias("i")).select("id", "print", shingle(F.col("w"), F.col("i"), k).alias("gram"))
+    hits = written(grams.join(index.select("gram").distinct(), "gram", "left_semi"), "hits")
+    counts = hits.groupBy("gram").agg(F.count("*").alias("hits"))
+    held = index.join(counts, "gram", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    rarest = held.where("not all").groupBy("n").agg(F.min(F.struct("hits", "gram")).alias("r")).where("r.hits > 0").select("n", F.col("r.gram").alias("gram"))
+    return hits.join(rarest.unionByName(held.where("all and hits > 0").select("n", "gram")), "gram").select("n", "id", "print").distinct()

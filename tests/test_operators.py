@@ -65,13 +65,36 @@ def test_top_k_and_first(spark):
     assert sorted((r["key"] or "", r["v"], r["copies"]) for r in ranking.first_of_each(df, F.col("g"), "v").collect()) == [("", 4, 1), ("a", 1, 3), ("b", 9, 1)]
 
 
-@pytest.mark.parametrize("most", [10**6, 20, 3])
-def test_containing(spark, monkeypatch, most):
-    monkeypatch.setattr(search, "MOST_CHARS", most)
-    docs = spark.createDataFrame([(1, "abcabc"), (2, None), (3, ""), (4, "xbcy")], "d long, text string")
+def test_containing(spark):
+    docs = spark.createDataFrame([(1, "abcabc"), (2, None), (3, ""), (4, "xbcy"), (4, "xbcy"), (None, "abc")], "d long, text string")
     items = spark.createDataFrame([(7, "abc"), (8, "bc"), (9, "bc"), (10, None)], "i long, text string")
-    assert sorted(map(tuple, search.containing(docs, items, "d", "i").collect())) == [(1, 7), (1, 8), (1, 9), (4, 8), (4, 9)]
-    assert search.containing(docs, items.limit(0), "d", "i").count() == 0
+    want = [(1, 7), (1, 8), (1, 9), (4, 8), (4, 8), (4, 9), (4, 9), (None, 7), (None, 8), (None, 9)]
+    assert sorted(map(tuple, search.containing(docs, items, "d", "i").collect()), key=str) == sorted(want, key=str)
+    assert search.containing(docs, items.limit(0), "d", "i").count() == search.containing(docs.limit(0), items, "d", "i").count() == 0
+
+
+WORDS = st.lists(st.sampled_from(["a", "ab", "b", "ba", "aba", " ", "  ", "\n", "é"]), max_size=12).map("".join)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(WORDS, min_size=1, max_size=6), st.lists(WORDS, min_size=1, max_size=12))
+def test_containing_is_all_pairs(spark, texts, patterns):
+    """With patterns of every kind: grams, single words, parts of words, blanks, nothing."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, text string")
+    items = spark.createDataFrame(list(enumerate(patterns)), "i long, text string")
+    got = sorted(map(tuple, search.containing(docs, items, "d", "i").collect()))
+    assert got == sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(patterns) if p in t)
+
+
+def test_a_hundred_thousand_patterns(spark):
+    """Parts of the texts, cut anywhere, among very many patterns that share common words with them."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    cut = [(i, r["text"][7 * i % max(1, len(r["text"])) :][: 40 + i]) for i, r in enumerate(rows)]
+    many = spark.range(100_000).selectExpr("id + 1000 as item_id", "concat('of the in no. ', id, ' and the ', id * 7 % 1000, ' with it') as text")
+    items = spark.createDataFrame(cut, "item_id long, text string").unionByName(many)
+    got = sorted(map(tuple, search.containing(docs, items, "doc_id", "item_id").collect()))
+    assert got == sorted((r["doc_id"], i) for i, t in cut for r in rows if t in r["text"])
 
 
 def test_vectors_and_text(spark):
@@ -160,6 +183,15 @@ def test_near_duplicates_recall(spark):
     assert len(pairs) > 50 and sum(got[i] == got[j] for i, j in pairs) >= 0.98 * len(pairs)
 
 
+def test_near_duplicates_in_a_hot_bucket(spark, monkeypatch):
+    """Buckets whose parts span two class numbers, short texts with mostly empty bins, rows that repeat an identifier."""
+    monkeypatch.setattr(near, "SPAN", 1)
+    base = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(100, 160)] + [(7, "one two three four five six"), (7, " ".join([*base, "x7"]))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(7, 7), (7, 7), *((i, 7) for i in range(100, 160))]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
