@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniteql.functions import text
+from graniteql.functions import html, text
 from graniteql.operators import near, ranking, search
 from graniteql.plans.registry import Registry
 from graniteql.session import table
@@ -58,6 +58,17 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("plain"))
 
 
+#: Comments, scripts and styles with their bodies, then tags, then the references that the tables have, `&amp;` last.
+_PAGE_TEXT = """SELECT page_id, replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'gs'), '<[^>]*>', '', 'g'),
+'&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS plain FROM pages"""
+
+
+@query("t6_html_text", _PAGE_TEXT)
+def t6h(spark: SparkSession, d: str) -> DataFrame:
+    """The text of pages by a scanner; the statement does the same for the markup that these pages have."""
+    return table(spark, d, "pages").select("page_id", html.plain_text(F.col("html")).alias("plain"))
+
+
 @query("t7_role_sequence", "SELECT roles, count(*) AS n FROM (SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id) GROUP BY roles")
 def t7(spark: SparkSession, d: str) -> DataFrame:
     turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
