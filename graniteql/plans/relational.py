@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniteql.functions import sketches
+from graniteql.functions import bitmaps, sketches
 from graniteql.operators import joins, quantiles, ranking, ranks
 from graniteql.plans.registry import Registry
 from graniteql.session import table
@@ -243,7 +243,21 @@ def a1(spark: SparkSession, d: str) -> DataFrame:
 
 
 query.sql("a1b_max_by_group", "orders", "SELECT o_custkey, max(o_totalprice) AS most, min(o_totalprice) AS least, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean FROM orders GROUP BY o_custkey")
-query.sql("a2_multi_distinct", "lineitem", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+
+
+@query("a2_multi_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def a2(spark: SparkSession, d: str) -> DataFrame:
+    """By bitmaps: rows are not multiplied, and no distinct value is shuffled."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_partkey", "l_suppkey")
+    return bitmaps.distinct_counts(rows, ["l_returnflag"], {"l_partkey": "parts", "l_suppkey": "suppliers"})
+
+
+@query("a2_distinct_rollup", "SELECT l_returnflag, l_linestatus, CAST(2 - grouping(l_returnflag) - grouping(l_linestatus) AS INT) AS level, count(DISTINCT l_partkey) AS parts, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def a2r(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct counts of all levels from the bitmaps of the finest."""
+    return bitmaps.rollup_counts(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_partkey"), ["l_returnflag", "l_linestatus"], "l_partkey", "parts")
+
+
 query.sql("a3_filtered", "orders", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_totalprice > 250000) AS dear FROM orders GROUP BY o_orderpriority")
 query.sql("a4_having", "lineitem", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 6 AND max(l_quantity) > 40")
 _CUBE = "count(*) AS n, CAST(grouping(l_returnflag) AS INT) AS gf, CAST(grouping(l_linestatus) AS INT) AS gs"

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graniteql.functions import sketches, text, vectors
+from graniteql.functions import bitmaps, sketches, text, vectors
 from graniteql import plans
 from graniteql.operators import graph, joins, near, ranking, search
 from graniteql.sources import formats
@@ -117,6 +117,17 @@ def test_count_min_is_never_low(spark):
     assert sketches.CountMin(words.limit(0), "w", 0.01, 0.99, 3).estimate("a") == 0
 
 
+def test_distinct_counts_by_bitmaps(spark):
+    rows = [("a", i % 70000, -i) for i in range(3000)] + [("a", 10**12, None), ("b", None, None), (None, 5, -40000), (None, 5, 7), ("a", 40000, 40000)]
+    df = spark.createDataFrame(rows, "g string, x long, y int").repartition(4)
+    got = sorted(map(tuple, bitmaps.distinct_counts(df, ["g"], {"x": "xs", "y": "ys"}).collect()), key=str)
+    assert got == sorted(map(tuple, df.groupBy("g").agg(F.count_distinct("x"), F.count_distinct("y"), F.count("*")).collect()), key=str)
+    levels = sorted(map(tuple, bitmaps.rollup_counts(df, ["g"], "x", "xs").select("g", "xs", "n", "level").collect()), key=str)
+    assert levels == sorted([*((r[0], r[1], r[3], 1) for r in got), (None, 3002, len(rows), 0)], key=str)
+    assert bitmaps.distinct_counts(df.limit(0), ["g"], {"x": "xs"}).count() == 0
+    assert "Expand" not in plan_of(spark, "a2_multi_distinct") and "Expand" not in plan_of(spark, "a2_distinct_rollup")
+
+
 def test_exact_sums(spark):
     from graniteql.plans import relational
 
