@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes before the hash factors: version, total, depth, width; and the modulus of the hashes, as Spark writes them.
+_HEAD, _MODULUS = 20, (1 << 31) - 1
 
-class CountMin:
-    """A count-min sketch of a column, made on the executors: the counts of values, too high by `error` of all rows at
-    most, with the given confidence. Its size depends on these two alone. Nulls are not counted."""
 
-    def __init__(self, rows: DataFrame, column: str, error: float, confidence: float, seed: int):
-        made = rows.agg(F.count_min_sketch(column, F.lit(error), F.lit(confidence), F.lit(seed))).first()[0]
-        self._jvm = rows.sparkSession.sparkContext._jvm
-        self.sketch = self._jvm.org.apache.spark.util.sketch.CountMinSketch.readFrom(made)
-        self.long = dict(rows.dtypes)[column] == "bigint"
+def _number(sketch: Column, at: Column, size: int) -> Column:
+    """The big-endian number of so many bytes from a place on (from 0)."""
+    return F.conv(F.hex(F.substr(sketch, at.cast("int") + 1, F.lit(size))), 16, 10).cast("long")
 
-    def estimate(self, value) -> int:
-        """How often a value occurs."""
-        return self.sketch.estimateCount(self._jvm.java.lang.Long(value) if self.long else value)
+
+def _slot(factor: Column, key: Column, width: Column) -> Column:
+    """Where a row of the sketch counts a key: factor times key modulo 2^64, folded to 31 bits, modulo the width. The product
+    is taken in two halves of the key, neither of which overflows."""
+    low = factor * key.bitwiseAND(F.lit(0xFFFFFFFF))
+    high = F.shiftrightunsigned(low, 32) + factor * F.shiftright(key, 32)
+    return (low.bitwiseAND(F.lit(_MODULUS)) + high.bitwiseAND(F.lit(_MODULUS))).bitwiseAND(F.lit(_MODULUS)) % width
+
+
+def count_min_estimate(sketch: Column, key: Column) -> Column:
+    """How often a key (long) was counted by a count_min_sketch, by expressions over its bytes; null for a null key."""
+    depth, width = _number(sketch, F.lit(12), 4), _number(sketch, F.lit(16), 4)
+
+    def cell(row: Column) -> Column:
+        factor = _number(sketch, row * 8 + _HEAD, 8)
+        return _number(sketch, (row * width + _slot(factor, key, width) + depth) * 8 + _HEAD, 8)
+
+    return F.when(key.isNotNull(), F.array_min(F.transform(F.sequence(F.lit(0).cast("long"), depth - 1), cell)))
+
+
+def count_min(rows: DataFrame, column: str, keys: DataFrame, error: float, confidence: float, seed: int, name: str = "estimate") -> DataFrame:
+    """keys, a table with that column, and how often each of them is in rows: too high by `error` of all rows at most, with the
+    given confidence, never too low. The sketch, whose size depends on these two alone, is made by an aggregate and joined to
+    the keys, which may be any number; the driver sees neither."""
+    made = rows.select(F.col(column).cast("long").alias("of")).agg(F.count_min_sketch("of", F.lit(error), F.lit(confidence), F.lit(seed)).alias("sketch"))
+    return keys.crossJoin(F.broadcast(made)).withColumn(name, count_min_estimate(F.col("sketch"), F.col(column).cast("long"))).drop("sketch")  # one row

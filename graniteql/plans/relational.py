@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniteql.functions import bitmaps, sketches
-from graniteql.operators import joins, quantiles, ranking, ranks
+from graniteql.operators import buckets, joins, quantiles, ranking, ranks
 from graniteql.plans.registry import Registry
 from graniteql.session import table
 
@@ -157,6 +157,15 @@ def j6(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").join(table(spark, d, "orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), revenue_sum().alias("revenue"))
 
 
+@query("j6_bucketed", f"SELECT o_orderpriority, count(*) AS n, sum({REVENUE}) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority")
+def j6b(spark: SparkSession, d: str) -> DataFrame:
+    """Of tables kept bucketed and sorted by the order: the join itself shuffles neither."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = buckets.bucketed(table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount"), "l_orderkey", n, "lines")
+    orders = buckets.bucketed(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", n, "orders")
+    return lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), revenue_sum().alias("revenue"))
+
+
 @query("j6_shuffle_hash", "SELECT p_brand, CAST(sum(l_linenumber) AS BIGINT) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
 def j6h(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").join(table(spark, d, "part").hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.sum("l_linenumber").alias("n"))
@@ -336,9 +345,18 @@ def a13(spark: SparkSession, d: str) -> DataFrame:
 @query("a13_count_min", "SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY l_linenumber")
 def a13c(spark: SparkSession, d: str) -> DataFrame:
     """Counts by a count-min sketch, merged from the partitions' sketches. Seven values seldom meet in 20,000 places."""
-    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("k"))
-    counts = sketches.CountMin(rows, "k", 0.0001, 0.99, 1)
-    return spark.createDataFrame([(k, counts.estimate(k)) for k in range(1, 8) if counts.estimate(k)], "l_linenumber int, n long")
+    rows = table(spark, d, "lineitem").select("l_linenumber")
+    return sketches.count_min(rows, "l_linenumber", rows.distinct(), 0.0001, 0.99, 1, "n")
+
+
+@query("a13_count_min_keys", "SELECT l_partkey, count(*) AS n, true AS near FROM lineitem GROUP BY l_partkey")
+def a13k(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates for all parts beside their counts: not below, and above by a ten-thousandth of all rows at most."""
+    rows = table(spark, d, "lineitem").select("l_partkey")
+    counts = rows.groupBy("l_partkey").agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("total"))
+    held = sketches.count_min(rows, "l_partkey", counts, 0.0001, 0.99, 1).crossJoin(F.broadcast(total))  # one row
+    return held.select("l_partkey", "n", F.col("estimate").between(F.col("n"), F.col("n") + 0.0001 * F.col("total")).alias("near"))
 
 
 # -- windows -------------------------------------------------------------------------------------------------------

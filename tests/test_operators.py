@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graniteql.functions import bitmaps, sketches, text, vectors
 from graniteql import plans
-from graniteql.operators import graph, joins, near, ranking, search
+from graniteql.operators import buckets, graph, joins, near, ranking, search
 from graniteql.sources import formats
 from graniteql.streaming import events
 
@@ -108,13 +108,44 @@ def test_vectors_and_text(spark):
     assert t.select(text.jaccard(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3)))).first()[0] == pytest.approx(1 / 3)
 
 
-def test_count_min_is_never_low(spark):
-    rows = spark.createDataFrame([(i % 50,) for i in range(1000)] + [(None,)], "k long")
-    counts = sketches.CountMin(rows, "k", 0.01, 0.99, 3)
-    assert all(20 <= counts.estimate(k) <= 20 + 0.01 * 1000 for k in range(50)) and counts.estimate(999) <= 10
-    words = spark.createDataFrame([("a",), ("a",), ("b",)], "w string")
-    assert sketches.CountMin(words, "w", 0.01, 0.99, 3).estimate("a") == 2
-    assert sketches.CountMin(words.limit(0), "w", 0.01, 0.99, 3).estimate("a") == 0
+def test_count_min_is_the_library_and_never_low(spark):
+    """Each estimate is the one that Spark's own reader gives, for keys of all sizes; none is too low."""
+    keys = [0, 1, -1, 7, 2**31, -(2**31), 2**32 - 1, 2**62 + 12345, -(2**63), 2**63 - 1, *range(100, 160)]
+    rows = spark.createDataFrame([(k,) for i, k in enumerate(keys) for _ in range(1 + i % 5)] + [(None,)], "k long")
+    ask = spark.createDataFrame([(k,) for k in [*keys, 424242, None]], "k long")
+    made = rows.agg(F.count_min_sketch("k", F.lit(0.05), F.lit(0.9), F.lit(3))).first()[0]
+    library = spark._jvm.org.apache.spark.util.sketch.CountMinSketch.readFrom(made)
+    got = {r["k"]: r["estimate"] for r in sketches.count_min(rows, "k", ask, 0.05, 0.9, 3).collect()}
+    assert got == {k: library.estimateCount(spark._jvm.java.lang.Long(k)) for k in [*keys, 424242]} | {None: None}
+    assert all(got[k] >= 1 + i % 5 for i, k in enumerate(keys))
+    assert sketches.count_min(rows.limit(0), "k", ask, 0.05, 0.9, 3).where("estimate > 0").count() == 0
+
+
+def test_count_min_error(spark):
+    rows = spark.range(20000).selectExpr("id % 3000 as k")
+    out = sketches.count_min(rows, "k", rows.distinct(), 0.001, 0.99, 5)
+    off = out.selectExpr("count_if(estimate < 6) low", "count_if(estimate > 7 + 20) high", "count(*) n").first()
+    assert off["low"] == 0 and off["high"] <= 0.01 * off["n"] and off["n"] == 3000
+
+
+def test_bucketed_join_without_shuffle(spark):
+    """Nine tenths of the rows have one key; nulls on both sides."""
+    left = spark.createDataFrame([(1 if i % 10 else i, i) for i in range(2000)] + [(None, -1)], "a long, v int")
+    right = spark.createDataFrame([(i, f"w{i}") for i in range(0, 2000, 3)] + [(1, "one"), (None, "none")], "b long, w string")
+    assert buckets.largest_bucket(left, "a", 6) > 0.85 and buckets.largest_bucket(left.limit(0), "a", 6) == 0
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = buckets.bucketed(left, "a", 6).join(buckets.bucketed(right, "b", 6), F.col("a") == F.col("b"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        want = left.join(right, F.col("a") == F.col("b"))
+        assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, want.collect())) and want.count() > 1800
+        whole = plan_of(spark, "j6_bucketed")
+        assert "SortMergeJoin" in whole and "hashpartitioning(l_orderkey" not in whole and "hashpartitioning(o_orderkey" not in whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert buckets.bucketed(left.limit(0), "a", 6).count() == 0
 
 
 def test_distinct_counts_by_bitmaps(spark):
