@@ -23,9 +23,10 @@ def _folder(spark: SparkSession, sf_dir: str) -> str:
     return f"{sf_dir}/events.parque[t]"
 
 
-def result(rows: DataFrame, mode: str, keep: str | None = None, store: str | None = None) -> DataFrame:
+def result(rows: DataFrame, mode: str, keep: str | None = None, store: str | None = None, checkpoint: str | None = None, once: bool = False) -> DataFrame:
     """Runs a stream until all input is read, and returns what it wrote to the shared folder. keep: of rows with the same first column the
-    one with the largest value of this column counts (update mode)."""
+    one with the largest value of this column counts (update mode). checkpoint: of a stream that goes on where it was left; the
+    result has what was written since. once: one batch, for state timed by processing, for which there would always be another."""
     spark = rows.sparkSession
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
@@ -38,7 +39,7 @@ def result(rows: DataFrame, mode: str, keep: str | None = None, store: str | Non
             df.write.mode("overwrite").parquet(f"{path}/batch={i}")  # a repeated batch overwrites its folder, so that its rows come once
             batches.append(i)
 
-        run = rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start()
+        run = rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint or fresh_path(spark, "stream")).trigger(**({"once": True} if once else {"availableNow": True})).start()
         run.awaitTermination()
     finally:
         if store:
@@ -92,12 +93,12 @@ def late(spark: SparkSession, sf_dir: str) -> DataFrame:
     least, most = rows.agg(F.min("event_id"), F.max("event_id")).first()
     middle = ((least or 0) + (most or 0)) // 2
     path = fresh_path(spark, "late")
-    rows.where(F.col("event_id") > middle).coalesce(1).write.parquet(path)
+    rows.where(F.col("event_id") > middle).write.parquet(path)
     counts = spark.readStream.schema(rows.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
     out, checkpoint = fresh_path(spark, "sink"), fresh_path(spark, "stream")
     counts = counts.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
     for part in (None, rows.where(F.col("event_id") <= middle)):
         if part is not None:
-            part.coalesce(1).write.mode("append").parquet(path)
+            part.write.mode("append").parquet(path)
         counts.writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("start timestamp_ntz, n long").parquet(out).select("start", "n")
