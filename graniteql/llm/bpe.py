@@ -256,21 +256,22 @@ def tokenized(docs: DataFrame, codec: Codec, text: str = "text") -> DataFrame:
     ship(spark)
     shared = spark.sparkContext.broadcast(codec)
     names = ["n_tokens", "ids", "round_trip"]
-    fields = [f for f in docs.schema.fields if f.name not in (*names, text)]
+    fields = [(i, f) for i, f in enumerate(docs.schema.fields) if f.name not in (*names, text)]
+    at_text = docs.columns.index(text)
 
     def run(batches):
         own = shared.value.ready()
         for batch in batches:
             at = 0
-            for part in groups(batch.column(text)):
+            for part in groups(batch.column(at_text)):
                 packed = [own.encode(x) for x in part]
                 whole = [own.decode(p) == x.encode("utf-8", "surrogatepass") for p, x in zip(packed, part, strict=True)]
                 counts = np.array([len(p) // 4 for p in packed], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-                own_rows = [batch.column(f.name).slice(at, len(part)) for f in fields]
+                own_rows = [batch.column(i).slice(at, len(part)) for i, _ in fields]
                 at += len(part)
-                yield pa.RecordBatch.from_arrays([*own_rows, pa.array(counts), ids, pa.array(whole)], names=[*(f.name for f in fields), *names])
+                yield pa.RecordBatch.from_arrays([*own_rows, pa.array(counts), ids, pa.array(whole)], names=[*(f.name for _, f in fields), *names])
 
-    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([*(f for _, f in fields), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, schema)  # names with dots can't be given to it

@@ -65,6 +65,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plainly(docs: DataFrame, *own: str) -> tuple[DataFrame, list[str]]:
+    """docs with plain names for all columns but these, so that no name of theirs meets one that an operator uses inside; and
+    the names that toDF gives back."""
+    return docs.toDF(*(c if c in own else f"c{i}" for i, c in enumerate(docs.columns))), docs.columns
+
+
 def groups(texts: pa.Array, chars: int = 1 << 21) -> Iterator[list[str]]:
     """Lists of texts of about so many characters; null is empty."""
     part, n = [], 0

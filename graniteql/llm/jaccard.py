@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graniteql.llm.common import forget, ship, written
+from graniteql.llm.common import forget, plainly, ship, written
 from graniteql.llm.components import by_other_key, components
 
 #: Classes in a block, and blocks outside a cluster's largest group; clusters with more are dealt by shingle.
@@ -475,9 +475,11 @@ def kept(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     text decides, then one of the row), with its columns. Rows that repeat an identifier are documents of their own, so
     one of them goes only if it is a near copy of another row. Of rows without words, alike in identifier and text, one
     stays."""
+    docs, names = plainly(docs, "doc_id", "text")
     rows, classes, found = links(docs, n, percent)
     best = by_other_key(_named(classes, found), "component", lambda x: x.agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("row")))
     stay = best.select(*_row_key("row.doc", "row.print")).unionByName(rows.where("size = 0").select(*_row_key("doc", "print"))).distinct()
     own = docs.select("*", *_row_key("doc_id", F.xxhash64(F.col("text").cast("string")))).join(stay, ROW)
-    first = F.row_number().over(Window.partitionBy(*ROW).orderBy(F.xxhash64(*docs.columns)))
-    return own.withColumn("__first", first).where("__first = 1").select(docs.columns)
+    whole = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema.fields]  # maps have no hash
+    first = F.row_number().over(Window.partitionBy(*ROW).orderBy(F.xxhash64(*whole)))
+    return own.withColumn("__first", first).where("__first = 1").select(docs.columns).toDF(*names)

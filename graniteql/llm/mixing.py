@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graniteql.llm.common import forget, ship, written
+from graniteql.llm.common import forget, plainly, ship, written
 
 #: Words in a block; most blocks that the sampler takes at once; most times that a word may be taken.
 BLOCK_WORDS, MOST_BLOCKS, MOST_TIMES = 64, 500_000_000, 3
@@ -273,6 +273,7 @@ def resampled(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int
     """The mix in whole documents, with their columns, shard by shard in each shard's local order: a document is drawn
     with the word in its middle, so that a source's words miss its target by one document at most. Rows alike in
     identifier, text and source come equally often; rows without words come once, in the first shard."""
+    docs, names = plainly(docs, "doc_id", "text", "source")
     at, shared = _planned(docs, weights, shards, seed)
 
     def draw(batches):
@@ -290,4 +291,4 @@ def resampled(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int
     rows = docs.withColumn("__key", F.xxhash64("text", "source"))
     rows = rows.join(drawn, docs["doc_id"].cast("long").eqNullSafe(drawn["__doc"]) & (F.col("__key") == drawn["__salt"]))
     rows = rows.withColumn("__place", F.explode("__places")).withColumn("__shard", F.col("__place.shard")).withColumn("__order", F.col("__place.order"))
-    return rows.repartitionByRange("__shard", "__order").sortWithinPartitions("__shard", "__order").drop("__key", "__places", "__place", "__doc", "__salt", "__shard", "__order")
+    return rows.repartitionByRange("__shard", "__order").sortWithinPartitions("__shard", "__order").select(docs.columns).toDF(*names)

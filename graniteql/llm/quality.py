@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graniteql.llm import labelled
-from graniteql.llm.common import groups, ship
+from graniteql.llm.common import groups, plainly, ship
 
 PASSAGE, LAGS, HIDDEN, ATTENTION = 512, (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16), 24, 16
 #: Characters that are turned into code points at once.
@@ -183,4 +183,5 @@ def predictions(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFr
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows whose score reaches the threshold, with their columns. labels: doc_id, quality."""
-    return scored(docs, fitted(docs, labels), "__quality").where(F.col("__quality") >= threshold).drop("__quality")
+    docs, names = plainly(docs, "doc_id", "text")
+    return scored(docs, fitted(docs, labels), "__quality").where(F.col("__quality") >= threshold).drop("__quality").toDF(*names)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graniteql.llm import labelled
-from graniteql.llm.common import groups, ship
+from graniteql.llm.common import groups, plainly, ship
 from graniteql.llm.pretokens import Known
 from graniteql.llm.quality import _sigmoid
 
@@ -374,4 +374,5 @@ def predictions(docs: DataFrame, model: Chain, threshold: float = 0.7) -> DataFr
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows whose score stays below the threshold, with their columns. labels: doc_id, toxic."""
-    return scored(docs, fitted(docs, labels), "__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    docs, names = plainly(docs, "doc_id", "text")
+    return scored(docs, fitted(docs, labels), "__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity").toDF(*names)

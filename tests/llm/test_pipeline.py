@@ -96,3 +96,26 @@ def test_repeated_identifiers_are_documents(spark, tmp_path):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, texts[0]), (1, texts[1]), (0, texts[2])])
     mixed = corpus_pipeline.mixture(spark, kept, str(tmp_path))
     assert {r["text"] for r in mixed.collect()} == set(texts)
+
+
+def test_extra_columns_of_any_name_go_through(spark, odd, tmp_path):
+    """Columns named like those inside the operators, names with dots, a struct and a map: all are kept, with their values."""
+    from pyspark.sql import functions as F
+
+    inside = "__id __none __print __first __places __key __doc __salt __place __shard __order __toxicity __quality row class name size number start order c0 c1 a.b".split()
+    docs = odd.drop("score", "size", "ids", "item", "range")
+    whole = F.xxhash64("doc_id", "text", "source")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}:"), whole.cast("string")) for c in inside} | {"some struct": F.struct(F.col("n_chars").alias("__id"), F.lit("x").alias("text")), "some map": F.create_map(F.lit("k"), F.col("n_chars"))})
+    docs.write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    names = [c for c in docs.columns if c not in ("text",)]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / str(i)))
+        after = spark.read.parquet(str(tmp_path / str(i)))
+        assert after.columns == docs.columns if i < 4 else after.columns == [*names, "n_tokens", "ids", "round_trip"]
+        docs = after
+    rows = docs.collect()
+    assert len(rows) > 3
+    for r in rows:
+        values = {r[c].removeprefix(f"{c}:") for c in inside}
+        assert len(values) == 1 and r["some struct"]["__id"] == r["n_chars"] and r["some map"] == {"k": r["n_chars"]}
