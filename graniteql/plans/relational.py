@@ -113,10 +113,12 @@ query.sql("pf8_unpivot", "labels", "SELECT doc_id, kind, mark FROM labels UNPIVO
 )
 def j1(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
-    here = t("nation").join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    # the region holds for both sides: suppliers and, by the equal nations, customers; so orders shrink before they meet lines
+    here = t("nation").join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name")
     sellers = t("supplier").join(here, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
-    lines = t("lineitem").join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
-    buyers = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    customers = t("customer").join(here.select("n_nationkey"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey", "c_nationkey")
+    buyers = t("orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    lines = t("lineitem").join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_extendedprice", "l_discount", "s_nationkey", "n_name")
     return lines.join(buyers, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))).groupBy("n_name").agg(revenue_sum().alias("revenue"))
 
 

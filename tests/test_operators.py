@@ -188,6 +188,22 @@ def test_plans_are_the_ones_meant(spark):
     assert "l_extendedprice" not in plan_of(spark, "pf2_filter")
 
 
+def test_revenue_by_nation_filters_at_runtime(spark):
+    """Where lines are shuffled, a Bloom filter of the orders that are left cuts them down before that. The thresholds, of
+    gigabytes, are set down here."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = plan_of(spark, "j1_revenue_by_nation")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "might_contain" in plan and "NestedLoop" not in plan
+    assert "left_semi" in plan.lower() or "LeftSemi" in plan
+
+
 def test_sample_is_a_part_of_the_table(spark):
     rows = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
     drawn, again = (sorted(map(tuple, plans.QUERIES["pf6_sample"](spark, SMALL).collect())) for _ in range(2))
