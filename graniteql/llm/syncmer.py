@@ -1,7 +1,7 @@
 """Operator 8: document fingerprints from closed syncmers, with DataFrame functions only.
 
-A text's units are its words (a word of over UNIT characters is cut into pieces of that length). A k-mer is K
-consecutive units, its inner substrings are the S consecutive units inside it, ordered by their hashes. A k-mer is a
+A text's units are its words; of a word of over UNIT characters, as in scripts without blanks, each character is a unit of
+its own, so that units never depend on where a word began. A k-mer is K consecutive units, its inner substrings are the S consecutive units inside it, ordered by their hashes. A k-mer is a
 closed syncmer if its smallest inner substring is the first or the last one. Whether a k-mer is chosen depends on the
 k-mer alone, not on what stands around it; so an edit changes the anchors that it touches and no others.
 
@@ -47,7 +47,8 @@ def _long(n: int) -> Column:
 
 def anchors(text: Column) -> Column:
     """Closed syncmers in order: longs, the hash's upper 40 bits above 24 bits of position."""
-    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{1,{UNIT}}}"), F.lit(0))
+    letter = r"[^\x20\x09-\x0D]"
+    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?<!{letter}){letter}{{1,{UNIT}}}+(?!{letter})|{letter}"), F.lit(0))
 
     def packed(h: Column, i: Column) -> Column:
         return F.shiftleft(F.shiftrightunsigned(h, _POS), _POS).bitwiseOR(F.least(i, F.lit(_TOP)).cast("long"))
@@ -188,7 +189,7 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     copy = lambda r, c: F.struct(r.alias("range"), F.lit(c).alias("copy"))
     place = F.when(F.col("doc_id").eqNullSafe(F.get(top, F.col("range"))), F.array(copy(F.col("range"), 0), copy(F.get(sent, F.col("range")), 1))).otherwise(F.array(copy(F.col("range"), 0)))
     docs = docs.withColumn("place", F.explode(place)).withColumn("range", F.col("place.range")).withColumn("copy", F.col("place.copy")).drop("place")
-    docs = docs.repartition("range").withColumn("made", made(F.col("text")))
+    docs = docs.repartition(ranges, "range").withColumn("made", made(F.col("text")))
     ahead = Window.partitionBy("range").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
     return docs.withColumn("next_text", F.lead("text").over(ahead)).withColumn("next_made", F.lead("made").over(ahead)).filter("copy = 0").drop("copy", "range")
 

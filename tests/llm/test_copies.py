@@ -32,7 +32,7 @@ def hash_of(values):
 
 
 def anchors(text):
-    units = [u for w in SPACE.findall(text or "") for u in (w[i : i + syncmer.UNIT] for i in range(0, len(w), syncmer.UNIT))]
+    units = [u for w in SPACE.findall(text or "") for u in ([w] if len(w) <= syncmer.UNIT else w)]
     h = [signed(xxhash.xxh64_intdigest(u.encode(), seed=42)) for u in units]
     if not h:
         return []
@@ -86,6 +86,17 @@ def test_odd_fingerprints(spark, odd, empty, odd_rows, ranges):
     assert one["near_next"] == 1.0
 
 
+def test_texts_without_blanks(spark):
+    """One character put in anywhere changes the anchors around it and no others, at the front too."""
+    text = "".join(chr(0x4E00 + i * i * 7 % 6000 + i % 13) for i in range(1200))
+    edits = [text[:at] + "龍" + text[at:] for at in (0, 1, 100, 601, 1200)] + [text[:50] + text[53:]]
+    df = spark.createDataFrame([(text, e) for e in [*edits, "😀" * 30 + text]], "a string, b string")
+    made = df.select("b", syncmer.made(F.col("a")).alias("x"), syncmer.made(F.col("b")).alias("y"))
+    got = {r["b"]: r["l"] for r in made.select("b", syncmer.likeness(F.col("x.links"), F.col("y.links")).alias("l")).collect()}
+    assert all(got[e] > 0.98 for e in edits) and 0.9 < got["😀" * 30 + text] < 1
+    assert all(got[e] == pytest.approx(likeness(text, e)) for e in got)
+
+
 def test_op8_has_no_python(spark):
     plan = queries.QUERIES["op8_syncmers"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
