@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graniteql.plans.registry import Registry
 from graniteql.session import table
 from graniteql.shared import fresh_path
-from graniteql.sources import formats, numbers
+from graniteql.sources import arrow_files, formats
 
 query = Registry()
 
@@ -44,7 +44,10 @@ def partitioned(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).where("o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority")
 
 
-@query("io6_python_source", "SELECT CAST(range AS BIGINT) AS n, CAST(range * range AS BIGINT) AS square FROM range(1000)")
+@query("io6_python_source", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000")
 def python_source(spark: SparkSession, d: str) -> DataFrame:
-    numbers.register(spark)
-    return spark.read.format("squares").option("count", "1000").load()
+    """Written and read by a format in Python, batch by batch."""
+    arrow_files.register(spark)
+    path = fresh_path(spark, "arrow")
+    table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice").write.format("arrowfiles").mode("append").save(path)
+    return spark.read.format("arrowfiles").load(path).where("o_orderstatus = 'F' and o_totalprice > 200000").select("o_orderkey", "o_orderpriority", "o_totalprice")
