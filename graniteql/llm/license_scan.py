@@ -4,19 +4,24 @@ A paragraph is a line of a text; a longer line is cut into pieces of PIECE words
 sentence counts as a word, so that a notice differs from a sentence that goes on. A paragraph's features are its distinct
 word n-grams of one to three words. A multinomial logistic regression with a sparse penalty, one class for each licence
 family and one for everything else, is trained on the templates below: whole, in part, with words left out and with
-strange words around. Everything else is notices of other licences, also of invented names, sentences that use the
+strange words around; and on names of licences, with the versions that they come in, in frames of short notices.
+Everything else is notices of other licences, also of invented names, sentences that use the
 templates' words otherwise, and lines of the corpus (a bounded sample); lines with such words but unlike any template
 are among them. Probabilities are calibrated on templates and counter-examples that a fit has not seen: in FOLDS turns a
-part of them is left out with all that was made of it. A prediction, of the likeliest family, counts if its probability
-against the unknown class is so high that of what was left out RIGHT are licences from there on, and it is confirmed if
-the paragraph, or one of its sentences, is like a template of that family.
+part of them is left out with all that was made of it. A prediction, of the likeliest family, is confirmed if
+the paragraph, or one of its sentences, is like a template of that family, and it counts if its probability against the
+unknown class is so high that of what was left out, and confirmed if it is a counter-example, RIGHT are licences from
+there on.
 
 Likeness is two-sided: the weight of the common n-grams over that of the side that has more; n-grams that few families
 have weigh more, and strange ones most. A part of a long template also counts against the paragraph alone if it has RUN
-words in a row in common.
+words in a row in common. A short notice is also compared with a frame around a name: of a sentence that has a name of the
+family, the words that are neither of the name nor of frames (FRAME_WORDS, numbers, months) count against it: two are too
+many, one for names that mean other things too, such as "MIT" and "Apache", which also need a word of licences beside
+them.
 
-Only n-grams with a weight take part, a few hundred; a paragraph without any of their words is unknown at once. Every
-line of every text is scored. Notices wrapped over several lines are found in windows of PIECE words, overlapping by
+Only n-grams with a weight take part, a few hundred, none of them of common words alone; a paragraph without any
+of their words is unknown at once. Every line of every text is scored. Notices wrapped over several lines are found in windows of PIECE words, overlapping by
 half, over consecutive lines that are not blank: a window adds a family that none of its lines has, and if it is unsure
 it is scored again without the lines that are licences by themselves. Lines of a window that are different parts of one
 template are one licence, at the first line's offset; lines that repeat each other are several. n_paragraphs counts lines and their pieces, not windows.
@@ -142,6 +147,26 @@ ELSEWHERE = [
     "This program is free software under the terms of the Server Side Public License, version 1.",
     "Released under the Unicode License.",
 ]
+#: Names of licences by family, and the versions that stand for {}; fixed values.
+FORMS = {
+    "agpl": (["GNU AGPL", "AGPL", "GNU Affero General Public License", "Affero General Public License", "Affero GPL", "AGPLv{}", "AGPL-{}.0", "AGPL-{}.0-only", "AGPL-{}.0-or-later"], "3"),
+    "apache-2.0": (["Apache License", "Apache Licence", "Apache Software License", "Apache Public License", "Apache licensed", "Apache 2 license", "Apache 2.0 license", "ASL {}.0", "Apache-{}.0", "Apache {}.0", "Apache v{}", "Apache {}", "Apachev{}"], "2"),
+    "bsd": (["BSD License", "BSD Licence", "BSD licensed", "BSD style license", "BSD-style license", "BSD", "BSD-{}-Clause", "BSD {}-Clause", "{}-Clause BSD", "New BSD License", "Simplified BSD License", "Modified BSD License"], "234"),
+    "cc-by": (["Creative Commons Attribution", "Creative Commons Attribution-ShareAlike", "Creative Commons Attribution ShareAlike", "Creative Commons Attribution Share Alike", "CC BY", "CC-BY", "CC BY-SA", "CC-BY-SA", "CC BY-ND", "CC-BY-{}.0", "CC-BY-SA-{}.0", "CC-BY-ND-{}.0"], "34"),
+    "cc-by-nc": (["Creative Commons Attribution-NonCommercial", "Creative Commons Attribution NonCommercial", "Creative Commons Attribution Non-Commercial", "Creative Commons Attribution-NonCommercial-ShareAlike", "Creative Commons Attribution-NonCommercial-NoDerivatives", "CC BY-NC", "CC-BY-NC", "CC BY-NC-SA", "CC-BY-NC-SA", "CC BY-NC-ND", "CC-BY-NC-ND", "CC-BY-NC-{}.0", "CC-BY-NC-SA-{}.0", "CC-BY-NC-ND-{}.0"], "34"),
+    "cc0": (["CC0", "CC0-1.0", "Creative Commons Zero", "Creative Commons CC0", "Public Domain", "Public Domain Dedication", "CC0 Universal", "The Unlicense", "Unlicense"], ""),
+    "gpl": (["GNU GPL", "GPL", "GNU General Public License", "GNU General Public Licence", "GNU Public License", "GPLv{}", "GPLv{}+", "GPL v{}", "GNU GPLv{}", "GPL-{}.0", "GPL-{}.0-only", "GPL-{}.0-or-later", "GPL {}"], "23"),
+    "lgpl": (["GNU LGPL", "LGPL", "GNU Lesser General Public License", "Lesser General Public License", "GNU Library General Public License", "GNU Lesser GPL", "LGPLv2.1", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPLv{}", "LGPL-{}.0", "LGPL-{}.0-only", "LGPL-{}.0-or-later"], "23"),
+    "mit": (["MIT License", "MIT Licence", "MIT licensed", "MIT style license", "MIT-style license", "MIT X11 License", "X11 License", "Expat License", "MIT", "MIT-0"], ""),
+    "mpl-2.0": (["Mozilla Public License", "Mozilla Public Licence", "MPL", "MPL {}.0", "MPLv{}", "MPL-{}.0", "MPL v{}.0"], "2"),
+}
+#: Frames of short notices, and the words of them and others; fixed values.
+FRAMES = ["{}", "{}", "License: {}", "Licensed under {}.", "Licensed under the {}.", "Released under the {}", "Distributed under the terms of the {}.", "This project is licensed under the {}.", "This software is available under the {}.", "Code is licensed under {}", "Published under the {} as found in the license file.", "This file is subject to the {}.", "SPDX-License-Identifier: {}", "This library is {}", "See the {} for details.", "{}, version 3, 1 May 2009", "{} Version 2.0", "{} 4.0 International"]
+FRAME_WORDS = frozenset("a all allowed governed dual-licensed style also an and any are as at available be by can code content contents copyright copies covered data dedicated details distributed documentation dual either file files following for found free freely full general here herein in international into is it its later license licensed licenses licence licenced licences made may more notice of on only open or original otherwise package product program project provided published redistributed released repository rights see software source spdx spdx-license-identifier subject term terms text that the this to under universal unported use used v version versions with work you c".split()) | frozenset("january february march april may june july august september october november december".split())
+ALONE = frozenset("mit bsd apache expat".split())
+NUMBER = re.compile(r"v?\d+(?:[.\-]\d+)*|\d+(?:st|nd|rd|th)")
+#: Words so common that n-grams of them alone tell nothing; fixed values.
+COMMON = frozenset("a about above after all also an and any are as at be been before but by can code common copy could do each either first for form free from general had has have he her his if in include including into is it its later limited made may more most must no not of on one only open or other our out over part person provided public see she so some such than that the their them there these they this those to under up use used was we were what when which who will with without work would you your".split())
 NAMES = "Harbour Orchid Falcon Meridian Copper Granite Willow Summit Lantern Juniper Cobalt Prairie Beacon Thistle Ember Tundra".split()
 PATTERNS = ["Licensed under the {} License.", "Released under the {} License.", "Licensed under the {} Public License, version 2.0.", "This work is licensed under the {} License, version 3.", "This work is licensed under the {} General License.", "SPDX-License-Identifier: {}-1.0"]
 #: Beginnings of notices that go on as sentences; fixed values.
@@ -164,7 +189,7 @@ UNKNOWN = "unknown"
 #: A word, or the end of a sentence.
 WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*|(?<=[a-z0-9)\"'\]])[.;!?](?=\s|$)")
 STOPS = frozenset(".;!?")
-PIECE, RIGHT, ALIKE, RUN, FOLDS, CORPUS_LINES, MOST_LINE = 64, 0.98, 0.5, 8, 3, 2000, 400
+PIECE, RIGHT, ALIKE, RUN, FOLDS, CORPUS_LINES, MOST_LINE, LONG = 64, 0.98, 0.5, 8, 3, 2000, 400, 65536
 
 
 def grams(words: list[str], most: int = 3) -> set[str]:
@@ -177,6 +202,12 @@ def pieces(text: str) -> Iterator[tuple[int, list[str]]]:
     while at <= len(text):
         end = text.find("\n", at)
         end = len(text) if end < 0 else end
+        if end - at <= LONG:
+            words = WORD.findall(text[at:end].lower())
+            for i in range(0, max(1, len(words) - PIECE // 2) if words else 0, PIECE // 2):
+                yield at, words[i : i + PIECE]
+            at = end + 1
+            continue
         found, words = WORD.finditer(text[at:end].lower()), []
         while more := [m.group() for m in islice(found, PIECE - len(words))]:
             words += more
@@ -222,8 +253,30 @@ def _longest(words: list[str], template: frozenset[str]) -> int:
     return best + 2 if best else 0
 
 
+def forms(family: str) -> list[str]:
+    """Names of a family's licences, one for each version."""
+    written, versions = FORMS.get(family, ([], ""))
+    return [x for form in written for x in ([form.format(v) for v in versions] if "{}" in form else [form])]
+
+
+def names(family: str) -> frozenset[str]:
+    """They as words."""
+    return frozenset(" ".join(WORD.findall(x.lower())) for x in forms(family))
+
+
+def _sums(rows: np.ndarray, take: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the sum of the rows taken for it; the places come in order."""
+    out = np.zeros((n, rows.shape[1]))
+    if len(to):
+        first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        out[to[first]] = np.add.reduceat(rows[take], first, axis=0)
+    return out
+
+
 class Model:
     def __init__(self):
+        self.names = {f: names(f) for f in TEMPLATES}
+        self.own = {f: frozenset(w for n in self.names[f] for w in n.split()) for f in TEMPLATES}
         self.families = sorted(TEMPLATES)
         self.templates = {f: [frozenset(grams(WORD.findall(t.lower()))) for t in TEMPLATES[f]] for f in self.families}
         have = [frozenset().union(*t) for t in self.templates.values()]
@@ -234,10 +287,9 @@ class Model:
     def fit(self, corpus: list[str], seed: int = 1, rounds: int = 250) -> Model:
         """corpus: lines that are no licences, for all one knows."""
         rng = np.random.default_rng(seed)
-        names = [*self.families, UNKNOWN]
-        named = [p.format(n) for p in PATTERNS for n in NAMES]
+        named = [p.format(n) for p in PATTERNS for n in NAMES] + [p.format(f"{n} License") for p in FRAMES for n in NAMES]
         others = [w for w in (WORD.findall(t.lower())[:PIECE] for t in (*corpus, *named)) if w]
-        hard = [WORD.findall(t.lower()) for t in (*OTHERS, *ELSEWHERE, *CONTINUED)]
+        hard = [WORD.findall(t.lower()) for t in (*OTHERS, *ELSEWHERE, *CONTINUED, *sorted(ALONE))]
         noise = [w for line in (*others[: len(corpus)], *hard) for w in line if w not in STOPS]
         pool = np.array(noise)  # once: a draw from a list converts all of it
         examples: list[tuple[list[str], int, int]] = []  # words, class, fold
@@ -256,20 +308,30 @@ class Model:
                         a, b = (list(rng.choice(pool, int(rng.integers(0, 12)))) for _ in range(2))
                         part = [*a, *["."] * bool(a), *part, *["."] * (part[-1] not in STOPS), *b]
                     examples.append((part, c, i % FOLDS))
+            for i, name in enumerate(forms(f)):
+                for k in [0, *rng.choice(len(FRAMES), 7, replace=False).tolist()]:
+                    if FRAMES[k] != "{}" or name.lower() not in ALONE:
+                        examples.append((WORD.findall(FRAMES[k].format(name).lower()), c, i % FOLDS))
         examples += [(w, len(self.families), i % FOLDS) for i, w in enumerate(others)]
         examples += [(w, len(self.families), i % FOLDS) for i, w in enumerate(hard) for _ in range(8)]
         every = [frozenset(grams(w)) for w, _, _ in examples]
-        known = {x: i for i, x in enumerate(sorted({x for ts in self.templates.values() for t in ts for x in t}))}
-        rows = [np.array([known[x] for x in g if x in known], np.int64) for g in every]
+        told = {x for g, (_, c, _) in zip(every, examples) if c < len(self.families) for x in g if not (COMMON | STOPS).issuperset(x.split())}
+        formed = {x for f in self.families for name in (*(WORD.findall(t.lower()) for t in TEMPLATES[f]), *(n.split() for n in self.names[f])) for x in grams(name)}
+        known = {x: i for i, x in enumerate(sorted(told & formed))}
+        merged: dict[tuple, list[list[str]]] = {}  # examples alike count as one, as often as they come
+        for g, (words, c, k) in zip(every, examples):
+            merged.setdefault((tuple(sorted(known[x] for x in g if x in known)), c, k), []).append(words)
+        rows = [np.array(cols, np.int64) for cols, _, _ in merged]
+        times, first = np.array([len(x) for x in merged.values()], float), list(merged.values())
         at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         col = np.concatenate(rows)
-        y, fold = (np.array([x[i] for x in examples]) for i in (1, 2))
-        logits = np.zeros((len(rows), len(names)))
+        y, fold = (np.array([x[i] for x in merged]) for i in (1, 2))
+        logits = np.zeros((len(rows), len(self.families) + 1))
         for k in range(FOLDS):
-            w, bias = self._trained(at, col, y, fold != k, len(known), rounds // 2)
+            w, bias = self._trained(at, col, y, times * (fold != k), len(known), rounds // 2)
             logits[fold == k] = self._logits(w, bias, at, col, len(rows))[fold == k]
-        share = 1 / np.bincount(y, minlength=len(names))[y]  # classes count alike
-        share[y == len(names) - 1] *= len(self.families)
+        share = times / np.bincount(y, times, len(self.families) + 1)[y]  # classes count alike
+        share[y == len(self.families)] *= len(self.families)
         heat = np.exp(np.linspace(-1.5, 1.5, 61))
 
         def loss(t: float) -> float:
@@ -279,12 +341,14 @@ class Model:
 
         self.heat = float(min(heat, key=loss))
         z = np.exp(logits / self.heat - (logits / self.heat).max(1, keepdims=True))
+        c = z[:, :-1].argmax(1)
         q = z[:, :-1].max(1) / (z[:, :-1].max(1) + z[:, -1])
-        order = np.argsort(-q, kind="stable")
+        counts = np.array([k < len(self.families) or q[i] >= 0.5 and any(self._alike(words, int(c[i])) >= ALIKE for words in first[i]) for i, k in enumerate(y)])
+        order = np.flatnonzero(counts)[np.argsort(-q[counts], kind="stable")]
         right = np.cumsum((y != len(self.families))[order] * share[order]) / np.cumsum(share[order])
         good = np.flatnonzero(right >= RIGHT)
         self.sure = max(0.5, float(q[order][good[-1]])) if len(good) else 1.0
-        w, self.bias = self._trained(at, col, y, np.ones(len(y), bool), len(known), rounds)
+        w, self.bias = self._trained(at, col, y, times, len(known), rounds)
         kept = np.flatnonzero(np.abs(w).max(1) > 1e-4)
         order = list(known)
         self.weights = {order[i]: w[i] for i in kept.tolist()}
@@ -309,24 +373,26 @@ class Model:
                 silent.add(x)
         return self.words - silent
 
-    def _trained(self, at: np.ndarray, col: np.ndarray, y: np.ndarray, use: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weights and constants, by proximal steps (Adagrad) on the examples in use."""
+    def _trained(self, at: np.ndarray, col: np.ndarray, y: np.ndarray, times: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and constants, by proximal steps (Adagrad) on the examples, each as often as times says."""
         k = len(self.families) + 1
-        share = np.bincount(y[use], minlength=k).astype(float)
+        share = np.bincount(y, times, k)
         share[:-1] *= 2  # a family counts half as much as everything else
-        weight = np.where(use, 1 / np.maximum(share[y], 1), 0.0)
+        weight = times / np.maximum(share[y], 1)
+        weight /= weight.sum()
         w, bias = np.zeros((size, k)), np.zeros(k)
         bias[-1] = 2.0
         target = np.eye(k)[y]
         rate, sparse = 0.3, 2e-5
         g2 = np.full_like(w, 1e-6)
+        order = np.argsort(col, kind="stable")
+        turned, back = col[order], at[order]  # the examples of one n-gram after another
         for _ in range(rounds):
             logits = self._logits(w, bias, at, col, len(y))
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            e = (p - target) * weight[:, None] / weight.sum()
-            g = np.zeros_like(w)
-            np.add.at(g, col, e[at])
+            e = (p - target) * weight[:, None]
+            g = _sums(e, back, turned, size)
             g2 += g * g
             step = rate / np.sqrt(g2)
             w -= step * g
@@ -336,9 +402,7 @@ class Model:
 
     @staticmethod
     def _logits(w, bias, at, col, n):
-        out = np.zeros((n, w.shape[1]))
-        np.add.at(out, at, w[col])
-        return out + bias
+        return _sums(w, col, at, n) + bias
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         g = grams(words)
@@ -379,7 +443,20 @@ class Model:
                 best = max(best, self._weight(g & t) / max(size, self._weight(g)))
             if best < 1 and _longest(words, t) >= RUN:
                 best = max(best, self._weight(whole & t) / self._weight(whole))
-        return best
+        return max(best, *(self._framed(x, self.families[c]) for x in parts), 0.0)
+
+    def _framed(self, words: list[str], family: str) -> float:
+        """How much of a sentence is a name of the family in a frame."""
+        words = [w for w in words if w not in STOPS]
+        for k in range(6, 0, -1):
+            for i in range(len(words) - k + 1):
+                if (name := " ".join(words[i : i + k])) in self.names[family]:
+                    rest = [*words[:i], *words[i + k :]]
+                    if k > 1 or name not in ALONE or any(w.startswith(("licen", "spdx")) or w == "under" for w in rest):
+                        other = sum(w not in FRAME_WORDS and w not in self.own[family] and not NUMBER.fullmatch(w) for w in rest)
+                        sure = 0.9 if name in ALONE else 1.9
+                        return sure / (sure + other)
+        return 0.0
 
     def unlike(self, words: list[str]) -> bool:
         """Whether a line is like no template of any family."""
@@ -395,7 +472,8 @@ class Model:
                 continue
             c, p = self._judged(self._softmax([self.weights[x] for x in found]))
             if p >= self.sure:
-                if same := [h for h in own if h[3] == self.families[c]]:
+                same = [h for h in own if h[3] == self.families[c]]
+                if any(h[5] >= ALIKE for h in same):
                     return self._parts(held, same, c)
                 first = part[min((i for x, i in found.items() if self.weights[x][c] > 0), default=0)]
                 return [first[1], part[-1][1], first[2], self.families[c], p, self._alike(words, c)]
@@ -418,10 +496,10 @@ class Model:
         hits: list[list] = []  # first and last line, offset, family, probability, similarity, whether of a window
         recent: list[list] = []  # those of lines that the window may hold
         held: list[tuple[str, int, int]] = []  # the window
-        count, fresh = 0, False
+        count, fresh, hot = 0, False, -1  # hot: the last line with a telling word
 
         def look() -> None:
-            if fresh and held and held[0][1] != held[-1][1] and not self.telling.isdisjoint([x[0] for x in held]) and (got := self._window(held, recent)):
+            if fresh and held and held[0][1] <= hot and held[0][1] != held[-1][1] and not self.telling.isdisjoint([x[0] for x in held]) and (got := self._window(held, recent)):
                 hits.append([*got, True])
 
         for line, at, words, new in numbered(text):
@@ -430,12 +508,14 @@ class Model:
                 look()
                 held, recent, fresh = [], [], False
             if not self.telling.isdisjoint(words):
+                hot = line
                 c, p = self._judged(self.probabilities(words))
                 if p >= self.sure:
                     hits.append([line, line, at, self.families[c], p, self._alike(words, c), False])
                     recent.append(hits[-1])
-            for w in new:
-                held.append((w, line, at))
+            while new:
+                part, new = new[: PIECE - len(held)], new[PIECE - len(held) :]
+                held += [(w, line, at) for w in part]
                 fresh = True
                 if len(held) == PIECE:
                     look()

@@ -198,6 +198,93 @@ def test_notices_that_no_template_has():
     assert {t: confirmed(t) for t in others} == {t: [] for t in others}
 
 
+#: Headings, identifiers and notices of one line, none of them a template, a name or a frame of the module.
+WORDINGS = {
+    "MIT License\n\nCopyright (c) 2021 Jane Doe": "mit",
+    "This project is MIT licensed.": "mit",
+    "License: MIT": "mit",
+    "All code here is under the MIT license": "mit",
+    "// SPDX-License-Identifier: MIT-0": "mit",
+    "Distributed under the Expat license.": "mit",
+    "Dual licensed, MIT": "mit",
+    "MIT licence, see LICENSE.txt": "mit",
+    "Licensed under the Apache License 2.0.": "apache-2.0",
+    "Code is licensed under Apache License 2.0": "apache-2.0",
+    "This program is distributed under the Apache 2.0 license.": "apache-2.0",
+    "License: Apache-2.0": "apache-2.0",
+    "Files are licensed under the Apache Software License 2.0": "apache-2.0",
+    "BSD 2-Clause License": "bsd",
+    "License: BSD-3-Clause": "bsd",
+    "SPDX-License-Identifier: BSD-2-Clause": "bsd",
+    "This code is released under the BSD 3-clause license.": "bsd",
+    "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.": "bsd",
+    "The library is available under the new BSD license": "bsd",
+    "SPDX-License-Identifier: MPL-2.0": "mpl-2.0",
+    "Mozilla Public License Version 2.0": "mpl-2.0",
+    "You may use this under the terms of the MPL 2.0": "mpl-2.0",
+    "SPDX-License-Identifier: LGPL-2.1-only": "lgpl",
+    "Copying is governed by the GNU Lesser General Public License": "lgpl",
+    "This package is covered by the LGPLv3": "lgpl",
+    "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999": "lgpl",
+    "// SPDX-License-Identifier: GPL-2.0": "gpl",
+    "Distributed under the terms of the GNU GPL version 3.": "gpl",
+    "This software is available under the GNU General Public License.": "gpl",
+    "The driver is licensed under the GPLv3.": "gpl",
+    "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": "gpl",
+    "License GPLv2+": "gpl",
+    "# SPDX-License-Identifier: AGPL-3.0-or-later": "agpl",
+    "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007": "agpl",
+    "You can use it under the AGPL": "agpl",
+    "CC BY-NC-SA 4.0": "cc-by-nc",
+    "Free for use under Creative Commons Attribution-NonCommercial 3.0": "cc-by-nc",
+    "Images: CC-BY-NC-4.0": "cc-by-nc",
+    "Creative Commons Attribution 4.0 International": "cc-by",
+    "Content is available under Creative Commons Attribution-ShareAlike 3.0 Unported": "cc-by",
+    "The documentation is licensed under CC-BY-4.0.": "cc-by",
+    "This text is in the public domain (CC0).": "cc0",
+    "Released under the Unlicense": "cc0",
+    "To the public domain dedicated, see CC0": "cc0",
+}
+MENTIONS = [
+    "He read about the MIT License in a magazine.",
+    "MIT is in Cambridge.",
+    "The BSD daemon is a mascot.",
+    "An Apache helicopter landed at the base.",
+    "Licensed under the Harbour Licence.",
+    "The GPL was the topic of her thesis.",
+    "Critics of the GNU General Public License met in Paris.",
+    "Public domain books are cheap.",
+    "The Mozilla Foundation publishes a browser.",
+    "License plates are made of metal.",
+    "SPDX-License-Identifier: ISC",
+    "SPDX-License-Identifier: EPL-2.0",
+    "Licensed under the Eclipse Public License 2.0",
+    "Creative Commons is a foundation.",
+    "The general public has free access.",
+    "A fishing license is required at the lake.",
+    "His MIT degree opened doors.",
+    "Lawyers compared the Apache License with the Mozilla Public License.",
+    "The court asked whether the GPL binds a buyer.",
+]
+
+
+def test_short_notices_and_mentions():
+    model = license_scan.Model().fit(["Grapes ripen slowly on those hills.", "Rivers carry silt to valleys"] * 20)
+    known = {*(t for ts in license_scan.TEMPLATES.values() for t in ts), *(f for x in license_scan.TEMPLATES for f in license_scan.forms(x))}
+    assert known.isdisjoint(WORDINGS) and len(WORDINGS) >= 40
+    confirmed = lambda t: [f for _, f, _, alike in model.scan(t)[1] if alike >= license_scan.ALIKE]
+    missed = {t: confirmed(t) for t, f in WORDINGS.items() if confirmed(t) != [f]}
+    assert len(missed) <= 0.1 * len(WORDINGS), missed
+    assert {t: x for t in MENTIONS if (x := confirmed(t))} == {}
+
+
+def test_pieces_of_long_lines_are_those_of_short_ones(monkeypatch):
+    texts = [" ".join(f"w{i}." for i in range(n)) for n in (0, 1, 31, 32, 33, 48, 49, 64, 65, 200)] + ["", "\n\n", "a\r\nb\x0cc"]
+    short = [list(license_scan.pieces(t)) for t in texts]
+    monkeypatch.setattr(license_scan, "LONG", 0)
+    assert [[(at, list(w)) for at, w in x] for x in map(license_scan.pieces, texts)] == short
+
+
 def test_lines_that_are_passed_over_are_no_licences():
     model = license_scan.Model().fit(["Grapes ripen slowly on those hills of the valley."] * 20)
     silent = sorted(model.words - model.telling)
