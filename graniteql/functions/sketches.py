@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graniteql.shared import written
+
 #: Bytes before the hash factors: version, total, depth, width; and the modulus of the hashes, as Spark writes them.
 _HEAD, _MODULUS = 20, (1 << 31) - 1
 
 
-def _number(sketch: Column, at: Column, size: int) -> Column:
-    """The big-endian number of so many bytes from a place on (from 0)."""
-    return F.conv(F.hex(F.substr(sketch, at.cast("int") + 1, F.lit(size))), 16, 10).cast("long")
-
-
 def _slot(factor: Column, key: Column, width: Column) -> Column:
     """Where a row of the sketch counts a key: factor times key modulo 2^64, folded to 31 bits, modulo the width. The product
     is taken in two halves of the key, neither of which overflows."""
@@ -22,20 +21,29 @@ def _slot(factor: Column, key: Column, width: Column) -> Column:
     return (low.bitwiseAND(F.lit(_MODULUS)) + high.bitwiseAND(F.lit(_MODULUS))).bitwiseAND(F.lit(_MODULUS)) % width
 
 
-def count_min_estimate(sketch: Column, key: Column) -> Column:
-    """How often a key (long) was counted by a count_min_sketch, by expressions over its bytes; null for a null key."""
-    depth, width = _number(sketch, F.lit(12), 4), _number(sketch, F.lit(16), 4)
-
-    def cell(row: Column) -> Column:
-        factor = _number(sketch, row * 8 + _HEAD, 8)
-        return _number(sketch, (row * width + _slot(factor, key, width) + depth) * 8 + _HEAD, 8)
-
-    return F.when(key.isNotNull(), F.array_min(F.transform(F.sequence(F.lit(0).cast("long"), depth - 1), cell)))
+def _laid_out(sketch: DataFrame) -> DataFrame:
+    """A count_min_sketch (a row, a column) as rows: at (the number's place in it), row (of the sketch; null for the hash factors,
+    which come first), slot, n, width. The bytes are cut in one pass, as each access to a long value of a row copies it."""
+    column = F.col(sketch.columns[0])
+    head = lambda at: F.conv(F.hex(F.substr(column, F.lit(at + 1), F.lit(4))), 16, 10).cast("long")
+    numbers = F.regexp_extract_all(F.substr(F.hex(column), F.lit(2 * _HEAD + 1)), F.lit(".{16}"), F.lit(0))
+    rows = sketch.select(head(12).alias("depth"), head(16).alias("width"), numbers.alias("numbers")).select("depth", "width", F.posexplode("numbers").alias("at", "n"))
+    place = F.col("at") - F.col("depth")
+    return rows.select("at", F.when(place >= 0, F.floor(place / F.col("width"))).alias("row"), F.pmod(place, F.col("width")).alias("slot"), F.conv("n", 16, 10).cast("long").alias("n"), "width")
 
 
 def count_min(rows: DataFrame, column: str, keys: DataFrame, error: float, confidence: float, seed: int, name: str = "estimate") -> DataFrame:
     """keys, a table with that column, and how often each of them is in rows: too high by `error` of all rows at most, with the
-    given confidence, never too low. The sketch, whose size depends on these two alone, is made by an aggregate and joined to
-    the keys, which may be any number; the driver sees neither."""
+    given confidence, never too low. The sketch, whose size depends on these two alone, is made by an aggregate and written
+    once as a table of its numbers; each of its rows is one lookup of the keys. These may be any number: none of them
+    carries the sketch, and the driver doesn't see it."""
     made = rows.select(F.col(column).cast("long").alias("of")).agg(F.count_min_sketch("of", F.lit(error), F.lit(confidence), F.lit(seed)).alias("sketch"))
-    return keys.crossJoin(F.broadcast(made)).withColumn(name, count_min_estimate(F.col("sketch"), F.col(column).cast("long"))).drop("sketch")  # one row
+    table = written(_laid_out(made), "sketch")
+    factors = F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"])
+    head = table.where("row IS NULL").agg(factors.alias("__factors"), F.max("width").alias("__width"))
+    key, depth = F.col(column).cast("long"), math.ceil(-math.log(1 - confidence) / math.log(2))  # as Spark has it
+    out, held = keys.crossJoin(F.broadcast(head)), [f"__{row}" for row in range(depth)]  # one row
+    for row, c in enumerate(held):
+        cells = table.where(F.col("row") == row).select(F.col("slot").alias("__slot"), F.col("n").alias(c))
+        out = out.join(F.broadcast(cells), _slot(F.col("__factors")[row], key, F.col("__width")) == F.col("__slot"), "left").drop("__slot")
+    return out.withColumn(name, F.array_min(F.array(*held))).drop(*held, "__factors", "__width")

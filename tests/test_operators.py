@@ -128,6 +128,15 @@ def test_count_min_error(spark):
     assert off["low"] == 0 and off["high"] <= 0.01 * off["n"] and off["n"] == 3000
 
 
+def test_count_min_keys_do_not_carry_the_sketch(spark):
+    """Rows that meet the keys are small, however large the sketch is: 100,000 keys and a sketch of 1.1 MB; repeated keys stay."""
+    rows = spark.range(50_000).selectExpr("id % 500 as k")
+    keys = spark.range(100_000).selectExpr("id % 50000 as k")
+    out = sketches.count_min(rows, "k", keys, 0.0001, 0.99, 1)
+    assert "binary" not in {kind for _, kind in out.dtypes} and "count_min_sketch" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(out.selectExpr("count(*)", "count_if(k < 500 and estimate < 100)", "count_if(estimate > 105)").first()) == (100_000, 0, 0)
+
+
 def test_bucketed_join_without_shuffle(spark):
     """Nine tenths of the rows have one key; nulls on both sides."""
     left = spark.createDataFrame([(1 if i % 10 else i, i) for i in range(2000)] + [(None, -1)], "a long, v int")
