@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], prefix: str = "right_", part: Column | None = None) -> DataFrame:
     """Backward as-of join: each left row gets the right row of the same key with the latest time not after its own
-    (among right rows of equal time the greatest values; nulls if there is none). One shuffle on the key and one
-    sorted pass: both sides are united and the last right row is carried forward; no pair of rows is made.
+    (among right rows of equal time the greatest values; nulls if there is none, or if key or time is null). One shuffle on
+    the key and one sorted pass: both sides are united and the last right row is carried forward; no pair of rows is made.
 
     part, if given, is a column that never falls as time rises (a day, say). A key's rows are then dealt by it, for keys
     that have very many, and the last right row before each part comes from one row for each key and part."""
     held = F.struct(F.col(time), *values)
     a = left.select(*left.columns, F.lit(None).cast(right.select(held.alias("r")).schema["r"].dataType).alias("__r"), F.lit(1).alias("__side"))
-    b = right.select(*by, time, held.alias("__r"), F.lit(0).alias("__side"))
+    known = reduce(and_, (F.col(c).isNotNull() for c in [*by, time]))
+    b = right.where(known).select(*by, time, held.alias("__r"), F.lit(0).alias("__side"))
     both = a.unionByName(b, allowMissingColumns=True).withColumn("__part", F.lit(0) if part is None else part)
     seen = Window.partitionBy(*by, *["__part"] * (part is not None)).orderBy(time, "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("__last", F.last("__r", ignorenulls=True).over(seen)).where("__side = 1")

@@ -37,6 +37,22 @@ def test_asof_by_parts_is_asof(spark):
     assert joins.asof(left, right.limit(0), ["k"], "t", ["v"], part=F.date_trunc("hour", F.col("t"))).where("right_v is null").count() == 150
 
 
+def test_asof_nulls_meet_nothing(spark):
+    left = spark.createDataFrame([(1, "a", None), (2, None, at(5)), (3, "a", at(5)), (4, "b", at(5))], "id int, k string, t timestamp")
+    right = spark.createDataFrame([("a", None, 1), (None, at(1), 2), ("b", at(2), 3)], "k string, t timestamp, v int")
+    for part in (None, F.date_trunc("hour", F.col("t"))):
+        assert {r["id"]: r["right_v"] for r in joins.asof(left, right, ["k"], "t", ["v"], part=part).collect()} == {1: None, 2: None, 3: None, 4: 3}
+
+
+def test_pandas_asof_makes_no_pairs(spark, tmp_path):
+    """A user with 4,000 purchases and 4,000 views would make 8 million pairs and more."""
+    spark.range(8000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id) AS ts", "7L AS user_id", "if(id % 2 = 0, 'view', 'purchase') AS event_type", "if(id = 4, null, id / 1D) AS value").write.parquet(f"{tmp_path}/events.parquet")
+    out = plans.QUERIES["j10_pandas_asof"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" in plan
+    assert {r["event_id"]: r["seen"] for r in out.collect()} == {i: None if i == 5 else i - 1.0 for i in range(1, 8000, 2)}
+
+
 def test_asof_with_an_empty_side(spark):
     left = spark.createDataFrame([(1, "a", at(5))], "id int, k string, t timestamp")
     right = spark.createDataFrame([], "k string, t timestamp, v int")
