@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniteql.plans.registry import Registry
-from graniteql.session import table
+from graniteql.session import table, text_batches
 
 query = Registry()
 
@@ -22,6 +22,7 @@ def u1(spark: SparkSession, d: str) -> DataFrame:
     def length(s: pd.Series) -> pd.Series:
         return s.str.len()
 
+    text_batches(spark)
     return table(spark, d, "documents").select("doc_id", length("text").alias("n"))
 
 

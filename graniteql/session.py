@@ -33,3 +33,11 @@ def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -
     """Makes temporary views of the tables, for SQL text."""
     for name in names or TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def text_batches(spark: SparkSession, most: str = "512k") -> None:
+    """Bounds the bytes of the batches that go to Python, unless someone has set that. Spark counts rows alone, and 10,000
+    whole texts may be any size; a worker's memory then follows the files, not the batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(name):
+        spark.conf.set(name, most)

@@ -4,7 +4,9 @@ import hashlib
 import math
 
 import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from graniteql import plans
 from graniteql.session import TABLES
@@ -64,3 +66,20 @@ def test_containment_decides(spark):
     want = {r["doc_id"] for r in docs if r["lang"] in r["text"]}
     assert 0 < len(want) < len(docs)
     assert {r["doc_id"] for r in plans.QUERIES["pf4_contains_columns"](spark, SMALL).collect()} == want
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    """3,000 texts of 10,000 characters: no batch holds more than a few of them, for both queries that send texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    try:
+        for q in ("u1_vectorised_scalar", "t6_html_text"):
+            spark.conf.unset(name)
+            plans.QUERIES[q](spark, SMALL)
+            rows = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+            assert rows.mapInPandas(lambda frames: (pd.DataFrame({"n": [len(f)]}) for f in frames), "n long").agg(F.max("n")).first()[0] < 100
+        spark.conf.set(name, "1m")
+        plans.QUERIES["u1_vectorised_scalar"](spark, SMALL)
+        assert spark.conf.get(name) == "1m"  # what someone has set stays
+    finally:
+        spark.conf.unset(name)
