@@ -1,4 +1,4 @@
-"""Sessions with state of their own: event-time timers, map, list and value state, initial state, and state that expires."""
+"""Sessions with state of their own: event-time timers, list, value and map state, initial state, and state that expires."""
 
 from __future__ import annotations
 
@@ -12,8 +12,11 @@ SESSION = "user_id long, start_us long, last_us long, n long, total long, before
 
 class Sessions(StatefulProcessor):
     """Emits a user's session when the watermark passes its end: the last event and a gap later, by a timer. Events may come
-    in any order and join sessions that were apart. State of a user: the open sessions by their start (a map), the sizes of
-    the latest closed ones (a list), and how many events there were in all (a value, which may start from elsewhere).
+    in any order and join sessions that were apart. State of a user: the open sessions and the sizes of the latest closed ones
+    (lists), and how many events there were in all (a value, which may start from elsewhere).
+
+    Each access to state is a call to the executor's JVM, so open sessions are read and written together, and a user has one
+    timer: for the open session that ends first, and when that has ended for the next.
 
     Once the watermark has passed a session, nothing can join it: later rows of that time are late and don't arrive here."""
 
@@ -22,45 +25,51 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start_us long", "last_us long, n long")
+        self.open = handle.getListState("open", "start_us long, last_us long, n long")
         self.sizes = handle.getListState("sizes", "n long")
         self.total = handle.getValueState("total", "n long")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         self.total.update((int(initialState["total"].iloc[0]),))
 
+    def _first_end(self, open_) -> int:
+        """The time in ms when the first of some sessions has ended."""
+        return (min(last for _, last, _ in open_) + self.gap) // 1000 + 1
+
     def handleInputRows(self, key, rows, timerValues):
         times = sorted(int(t) for frame in rows for t in frame["us"])
-        known = {k[0]: (k[0], *v) for k, v in self.open.iterator()}
-        open_ = sorted([*known.values(), *((t, t, 1) for t in times)])
+        known = [tuple(x) for x in self.open.get()]
         merged = []
-        for start, last, n in open_:
+        for start, last, n in sorted([*known, *((t, t, 1) for t in times)]):
             if merged and start < merged[-1][1] + self.gap:
                 a, b, m = merged[-1]
                 merged[-1] = (a, max(b, last), m + n)
             else:
                 merged.append((start, last, n))
-        now = {s[0]: s for s in merged}
-        for start in known.keys() - now.keys():
-            self.open.removeKey((start,))
-        for start, session in now.items():
-            if known.get(start) != session:
-                self.open.updateValue((start,), session[1:])
-                self.handle.registerTimer((session[1] + self.gap) // 1000 + 1)
+        if merged and merged != known:
+            self.open.put(merged)
+            if not known or self._first_end(merged) < self._first_end(known):  # else a timer comes no later
+                self.handle.registerTimer(self._first_end(merged))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        ended = sorted((k[0], *v) for k, v in self.open.iterator() if v[0] + self.gap < passed)
+        known = sorted(tuple(x) for x in self.open.get())
+        ended, left = [x for x in known if x[1] + self.gap < passed], [x for x in known if x[1] + self.gap >= passed]
+        if left:
+            self.handle.registerTimer(self._first_end(left))
         if not ended:
             return
-        sizes, total = [x[0] for x in self.sizes.get()], self.total.get()[0] if self.total.exists() else 0
+        sizes, total = [x[0] for x in self.sizes.get()], (self.total.get() or (0,))[0]
         out = []
         for start, last, n in ended:
             total += n
             out.append((key[0], start, last, n, total, ",".join(map(str, sizes))))
             sizes = [*sizes, n][-self.latest :]
-            self.open.removeKey((start,))
+        if left:
+            self.open.put(left)
+        else:
+            self.open.clear()
         self.sizes.put([(x,) for x in sizes])
         self.total.update((total,))
         yield pd.DataFrame(out, columns=[x.split()[0] for x in SESSION.split(", ")])

@@ -3,6 +3,7 @@
 import datetime as dt
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from graniteql.streaming import events, sessions
@@ -38,6 +39,73 @@ def test_sessions_over_a_restart(spark, tmp_path):
     assert run() == [(1, 590, 590, 1, 107, "2,1,3"), (2, 600, 600, 1, 2, "1")]
 
 
+class Handle:
+    """State of one user in memory, which counts the calls to it: each is one to the executor's JVM."""
+
+    def __init__(self):
+        self.calls, self.timers, self.held = 0, set(), {}
+
+    def state(self, name, kind):
+        self.held[name], handle = kind(), self
+
+        class State:
+            def __getattr__(self, what):
+                def call(*x):
+                    handle.calls += 1
+                    held = handle.held[name]
+                    if what in ("put", "update"):
+                        handle.held[name] = x[0]
+                    elif what == "clear":
+                        handle.held[name] = kind()
+                    elif what == "updateValue":
+                        held[x[0]] = x[1]
+                    elif what == "removeKey":
+                        del held[x[0]]
+                    return {"get": iter(held) if kind is list else held, "iterator": iter(dict(held).items()) if kind is dict else None, "exists": held is not None}.get(what)
+
+                return call
+
+        return State()
+
+    def getMapState(self, name, *_):
+        return self.state(name, dict)
+
+    def getListState(self, name, *_):
+        return self.state(name, list)
+
+    def getValueState(self, name, *_):
+        return self.state(name, lambda: None)
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_user_has_few_calls_to_state():
+    """200 sessions of two events that end at once, one timer and a few calls; one more ends later, by a timer of its own."""
+    hour, gap = 3_600_000_000, 1_800_000_000
+    handle, processor = Handle(), sessions.Sessions(gap)
+    processor.init(handle)
+    times = [t for i in range(200) for t in (i * hour, i * hour + 1000)] + [1000 * hour]
+    list(processor.handleInputRows((1,), iter([pd.DataFrame({"us": times[::-1]})]), None))
+    got = []
+    for watermark in (300 * hour // 1000, 1001 * hour // 1000):
+        while due := sorted(t for t in handle.timers if t <= watermark):
+            handle.timers.remove(due[0])
+            got += [tuple(r) for frame in processor.handleExpiredTimer((1,), Now(watermark), None) for r in frame.itertuples(index=False)]
+    assert [r[1:5] for r in got] == [(i * hour, i * hour + 1000, 2, 2 * i + 2) for i in range(200)] + [(1000 * hour, 1000 * hour, 1, 401)]
+    assert [r[5] for r in got[:5]] == ["", "2", "2,2", "2,2,2", "2,2,2"] and not handle.timers
+    assert handle.calls < 30
+
+
 def test_what_is_remembered_expires(spark, tmp_path):
     path = str(tmp_path / "in")
 
